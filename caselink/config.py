@@ -152,6 +152,7 @@ class StudyConfig:
     series_floor: date = date(2020, 2, 24)  # exclusive, first notification in the epidemic series
     event_floor: date = date(2020, 1, 11)  # exclusive
     event_ceiling: date = date(2021, 11, 12)  # exclusive
+    severe_floor: date = date(2020, 2, 11)  # exclusive
     axis_start: date = date(2020, 2, 1)
     axis_end: date = date(2021, 11, 12)
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Ties can keep any number of levels; up to this many are written into the plan as literals.
+MAX_INLINE = 1000
+
 
 def level_weights(df: DataFrame, column: str, weight: str | None = None) -> DataFrame:
     """Rows, or summed weight, per non-null level."""
@@ -17,36 +20,19 @@ def lump_levels(
 ) -> DataFrame:
     """Keep the ``keep`` largest levels as text and lump the rest, ties by best rank.
 
-    The cut-off is the weight of the ``keep``-th level, so every level tied with it stays. A single
-    level below the cut-off is left alone. Only the cut-off and a level count come to the driver;
-    the rare levels are found by joining the level table back.
+    The cut-off is the weight of the ``keep``-th level, found as a distributed top-k, so every level
+    tied with it stays. A single level below the cut-off is left alone.
     """
     weights = level_weights(df, column, weight)
-    cut = (
-        weights.orderBy(F.col("_w").desc())
-        .limit(keep)
-        .agg(F.min("_w").alias("cut"))
-        .first()["cut"]
-    )
     text = F.col(column).cast("string")
-    if cut is None or weights.where(F.col("_w") < cut).count() <= 1:
+    cut = weights.orderBy(F.desc("_w")).limit(keep).agg(F.min("_w")).first()[0]
+    if cut is None or len(weights.where(F.col("_w") < cut).take(2)) < 2:
         return df.withColumn(column, text)
+
     kept = weights.where(F.col("_w") >= cut)
-    names = [row[0] for row in kept.select(column).limit(MAX_INLINE + 1).collect()]
+    names = [row[0] for row in kept.select(column).take(MAX_INLINE + 1)]
     if len(names) <= MAX_INLINE:
         lumped = F.when(F.col(column).isin(names), text).when(F.col(column).isNotNull(), other)
         return df.withColumn(column, lumped)
-    marked = kept.select(column, F.lit(True).alias("_kept"))
-    return (
-        df.join(marked, column, "left")
-        .withColumn(column, _lumped(text, F.col(column), F.col("_kept"), other))
-        .drop("_kept")
-    )
-
-
-# Ties can keep any number of levels; up to this many are written into the plan as literals.
-MAX_INLINE = 1000
-
-
-def _lumped(text: Column, value: Column, kept: Column, other: str) -> Column:
-    return F.when(kept, text).when(value.isNotNull(), F.lit(other))
+    lumped = F.when(F.col("_w").isNotNull(), text).when(F.col(column).isNotNull(), other)
+    return df.join(kept, column, "left").withColumn(column, lumped).drop("_w")

@@ -171,27 +171,34 @@ def analysis_table(lab: DataFrame, vacc: DataFrame, cfg: StudyConfig) -> DataFra
     )
 
 
-def prepare_cohort(
-    lab: DataFrame,
-    vacc: DataFrame,
-    mun_region: DataFrame,
-    cfg: StudyConfig,
-    root: str | None = None,
+def prepare_rows(
+    lab: DataFrame, vacc: DataFrame, cfg: StudyConfig, root: str | None = None
 ) -> DataFrame:
-    """The full preparation, with a savepoint where the comorbidity levels need a whole-table count.
+    """The analysis table with comorbidity counts lumped.
 
-    Without it the count and the final table would each run the rules from the raw notifications.
+    The levels need counts over the whole linked table, so that table becomes a savepoint. Otherwise
+    the counts and the final table would each run the rules from the raw notifications.
     """
     linked = savepoint(
         lab.transform(clean_tests, cfg).transform(link_vaccination, vacc, cfg), "linked", root
     )
-    return (
-        linked.transform(lump_levels, "n_comorb", keep=2, other="2+")
-        .transform(analysis_rows, cfg)
-        .transform(regions.region_lookup_join, mun_region, cfg)
+    return linked.transform(lump_levels, "n_comorb", keep=2, other="2+").transform(
+        analysis_rows, cfg
     )
 
 
+def prepare_cohort(
+    lab: DataFrame,
+    vacc: DataFrame,
+    mun_region: DataFrame,
+    cfg: StudyConfig,
+    root: str | None = None,
+) -> DataFrame:
+    """The full preparation, micro-regions included."""
+    rows = prepare_rows(lab, vacc, cfg, root)
+    return rows.transform(regions.region_lookup_join, mun_region, cfg)
+
+
 def revise_follow_up(cohort: DataFrame, cfg: StudyConfig) -> DataFrame:
     """The revised table: exposure labels and booster follow-up recomputed to an earlier end date."""
     revised = cfg.revised()

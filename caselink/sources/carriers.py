@@ -32,6 +32,7 @@ CARRIER_STUDY = StudyConfig(
     series_floor=date(1995, 2, 4),
     event_floor=date(1995, 1, 11),
     event_ceiling=date(2001, 6, 4),
+    severe_floor=date(1995, 2, 11),
     axis_start=date(1995, 2, 1),
     axis_end=date(2001, 6, 4),
 )
