@@ -60,10 +60,16 @@ def case_control_counts(
     df: DataFrame, by_age: bool = False, cohorts: Sequence[str] | None = None
 ) -> DataFrame:
     """One row per cohort and exposure with its cases and controls, zero cells included."""
+    return df.transform(exposure_counts).transform(case_control_of_counts, by_age, cohorts)
+
+
+def case_control_of_counts(
+    counts: DataFrame, by_age: bool = False, cohorts: Sequence[str] | None = None
+) -> DataFrame:
+    """The same from a frame already counted by :func:`exposure_counts`."""
     keys = ["cohort", *(["idade_cat"] if by_age else []), "vs_type2"]
     return (
-        df.transform(exposure_counts)
-        .transform(expand_cohorts, cohorts)
+        counts.transform(expand_cohorts, cohorts)
         .groupBy(*keys)
         .agg(
             F.coalesce(F.sum(F.when(F.col("confirmado") == C.CASE, F.col("n"))), F.lit(0)).alias("cases"),
@@ -111,8 +117,18 @@ def crude_or(
 
     Null where a cell is empty. All exposures are compared, not only the reported ones.
     """
+    return crude_or_of_counts(df.transform(exposure_counts), reference, by_age, cohorts)
+
+
+def crude_or_of_counts(
+    exposures: DataFrame,
+    reference: str = C.NEVER_VACCINATED,
+    by_age: bool = False,
+    cohorts: Sequence[str] | None = None,
+) -> DataFrame:
+    """The same from a frame already counted by :func:`exposure_counts`."""
     groups = ["cohort", *(["idade_cat"] if by_age else [])]
-    counts = df.transform(case_control_counts, by_age, cohorts)
+    counts = exposures.transform(case_control_of_counts, by_age, cohorts)
     window = Window.partitionBy(*groups)
 
     def of_reference(column: str):
