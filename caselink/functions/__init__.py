@@ -5,7 +5,6 @@ from caselink.functions.columns import (
     any_not_null,
     bigint,
     contains_flag,
-    day_bins,
     days_between,
     label_map,
     month_start,
@@ -24,7 +23,6 @@ __all__ = [
     "clean_name",
     "clean_names",
     "contains_flag",
-    "day_bins",
     "days_between",
     "label_map",
     "month_start",

@@ -46,14 +46,6 @@ def days_between(later: Column | str, earlier: Column | str) -> Column:
     return F.datediff(as_col(later), as_col(earlier))
 
 
-def day_bins(days: Column, labelled: Iterable[tuple[int, int | None, str]]) -> list[tuple[Column, str]]:
-    """(condition, label) pairs for inclusive day ranges."""
-    return [
-        (days >= low if high is None else days.between(low, high), label)
-        for low, high, label in labelled
-    ]
-
-
 def paste(*parts: Column | str, sep: str = "_") -> Column:
     """Concatenate with null shown as the text ``NA``; ``concat_ws`` would skip it instead."""
     shown = [F.coalesce(as_col(part).cast("string"), F.lit("NA")) for part in parts]

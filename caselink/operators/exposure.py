@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caselink import config as C
 from caselink.config import StudyConfig
-from caselink.functions import day_bins, days_between, label_map, paste
+from caselink.functions import days_between, label_map, paste
 
 DOSES = ["d1_data_aplicacao", "d2_data_aplicacao", "d3_data_aplicacao"]
 
@@ -42,18 +42,6 @@ def vaccine_consistency(df: DataFrame, cfg: StudyConfig, check_age: bool = False
     )
 
 
-def join_vaccination(tests: DataFrame, vacc: DataFrame, cfg: StudyConfig) -> DataFrame:
-    """Each test with its person's vaccination record; unvaccinated persons count as consistent.
-
-    ``vacc`` holds one row per person, so the join never multiplies tests. It reuses the
-    partitioning by person the windows left behind.
-    """
-    flagged = vacc.withColumn("flag_incon", inconsistency_flag(cfg))
-    return tests.join(flagged, "id_vigvac", "left").withColumn(
-        "flag_incon", F.coalesce("flag_incon", F.lit(0))
-    )
-
-
 def recode_products(df: DataFrame) -> DataFrame:
     """Short product codes; no first dose reads ``uv``, unknown names are null."""
     codes = {f"d{k}_nome_vacina": label_map(f"d{k}_nome_vacina", C.PRODUCT_CODES) for k in (1, 2, 3)}
@@ -64,6 +52,30 @@ def recode_products(df: DataFrame) -> DataFrame:
     return df.withColumns(codes)
 
 
+def coded_vaccination(vacc: DataFrame, cfg: StudyConfig) -> DataFrame:
+    """Persons vaccinated, flagged for consistency and with product codes: one row each."""
+    return (
+        vacc.transform(vaccinated_persons)
+        .withColumn("flag_incon", inconsistency_flag(cfg))
+        .transform(recode_products)
+    )
+
+
+def join_vaccination(tests: DataFrame, coded: DataFrame) -> DataFrame:
+    """Each test with its person's record; unvaccinated persons are consistent and read ``uv``.
+
+    ``coded`` holds one row per person, so the join never multiplies tests, and the recodes run once
+    per person. The join reuses the partitioning by person the windows left behind.
+    """
+    unmatched = F.col("flag_incon").isNull()
+    return tests.join(coded, "id_vigvac", "left").withColumns(
+        {
+            "d1_nome_vacina": F.when(unmatched, C.NEVER_VACCINATED).otherwise(F.col("d1_nome_vacina")),
+            "flag_incon": F.coalesce("flag_incon", F.lit(0)),
+        }
+    )
+
+
 def days_since_dose(df: DataFrame) -> DataFrame:
     """Days from each dose to symptom onset; negative before the dose."""
     return df.withColumns(
@@ -74,8 +86,19 @@ def days_since_dose(df: DataFrame) -> DataFrame:
     )
 
 
-def _labelled(dose: int, bins: list[tuple[int, int | None]]):
-    return [(low, high, C.bin_label(dose, low, high)) for low, high in bins]
+def _bin_of(days: Column, dose: int, bins: list[tuple[int, int | None]]) -> Column:
+    """Label of the bin holding a non-negative number of days.
+
+    Looked up in a literal array with one label per day up to the open-ended bin. That keeps the
+    expression small: filters on labels copy it into the scan side many times over.
+    """
+    last = bins[-1][0]
+    labels = [
+        C.bin_label(dose, low, high)
+        for low, high in bins
+        for _ in range(low, (last if high is None else high) + 1)
+    ]
+    return F.get(F.lit(labels), F.least(days, F.lit(last)))
 
 
 def vacc_status(df: DataFrame) -> DataFrame:
@@ -85,40 +108,34 @@ def vacc_status(df: DataFrame) -> DataFrame:
     unvaccinated. Never-vaccinated persons keep a null status.
     """
     days = {k: F.col(f"days_vacc_{k}_test") for k in (1, 2, 3)}
-    has = {k: F.col(f"d{k}_data_aplicacao").isNotNull() for k in (1, 2, 3)}
-    after_first = day_bins(days[1], _labelled(1, C.DOSE_1_BINS))
-
-    branches = [(has[3] & c, label) for c, label in day_bins(days[3], _labelled(3, C.DOSE_3_BINS))]
-    branches += [(days[1] < 0, C.NEVER_VACCINATED)]
-    branches += [((~has[2] | (days[2] < 0)) & c, label) for c, label in after_first]
-    branches += [(has[2] & (days[2] < 0), "test_before_vaccination2")]
-    branches += [(has[2] & c, label) for c, label in day_bins(days[2], _labelled(2, C.DOSE_2_BINS))]
-
-    status = F
-    for condition, label in branches:
-        status = status.when(condition, F.lit(label))
+    before_second = days[2].isNull() | (days[2] < 0)
+    status = (
+        F.when(days[3] >= 0, _bin_of(days[3], 3, C.DOSE_3_BINS))
+        .when(days[1] < 0, C.NEVER_VACCINATED)
+        .when((days[1] >= 0) & before_second, _bin_of(days[1], 1, C.DOSE_1_BINS))
+        .when(days[2] < 0, "test_before_vaccination2")
+        .when(days[2] >= 0, _bin_of(days[2], 2, C.DOSE_2_BINS))
+    )
     return df.withColumn("vacc_status", status)
 
 
 def vs_type(df: DataFrame) -> DataFrame:
     """Product-and-bin labels; drops second doses of the one-dose product.
 
-    A null status pastes as ``NA``, so never vaccinated reads ``uv_NA`` before it becomes ``uv``.
+    A null status pastes as ``NA``, so a label is never null; never vaccinated reads ``uv``.
     """
-    joined = paste("d1_nome_vacina", "vacc_status")
-    unexposed = [f"{code}_uv" for code in C.PRODUCT_CODES.values()] + ["uv_NA"]
-    label = F.when(joined.isin(unexposed), C.NEVER_VACCINATED).otherwise(joined)
-    boosted = F.col("vacc_status").contains("v3_")
-    return (
-        df.withColumn("vs_type", label)
-        .where(~F.col("vs_type").contains("Ad26_v2"))
-        .withColumn("vacc_3_type", F.when(boosted, paste("d1_nome_vacina", "d3_nome_vacina", sep="-")))
-        .withColumn(
-            "vs_type2",
-            F.when(F.col("vs_type").contains("v3_"), paste("vs_type", "d3_nome_vacina")).otherwise(
-                F.col("vs_type")
-            ),
-        )
+    first, status = F.col("d1_nome_vacina"), F.col("vacc_status")
+    never = (first == C.NEVER_VACCINATED) & status.isNull()
+    not_yet = first.isin(list(C.PRODUCT_CODES.values())) & (status == C.NEVER_VACCINATED)
+    label = F.when(never | not_yet, C.NEVER_VACCINATED).otherwise(paste(first, status))
+    boosted = status.startswith("v3_")
+    one_dose_twice = (first == "Ad26") & status.startswith("v2_")
+    return df.where(~F.coalesce(one_dose_twice, F.lit(False))).withColumns(
+        {
+            "vs_type": label,
+            "vacc_3_type": F.when(boosted, paste(first, "d3_nome_vacina", sep="-")),
+            "vs_type2": F.when(boosted, paste(first, status, "d3_nome_vacina")).otherwise(label),
+        }
     )
 
 

@@ -218,6 +218,8 @@ def baseline_table(
             ).alias("stat"),
         )
     )
+    if not numbers:
+        return categorical
     return categorical.unionByName(_quartiles(df, by, by_values, numbers, strata))
 
 

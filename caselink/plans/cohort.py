@@ -99,11 +99,10 @@ def clean_tests(lab: DataFrame, cfg: StudyConfig) -> DataFrame:
 
 
 def link_vaccination(tests: DataFrame, vacc: DataFrame, cfg: StudyConfig) -> DataFrame:
-    """Tests of persons with consistent vaccination records, with codes and person covariates."""
+    """Tests of persons with consistent vaccination records, with person covariates."""
     return (
-        tests.transform(E.join_vaccination, E.vaccinated_persons(vacc), cfg)
+        tests.transform(E.join_vaccination, E.coded_vaccination(vacc, cfg))
         .where(F.col("flag_incon") == 0)
-        .transform(E.recode_products)
         .withColumns(
             {
                 "days_first_positive": days_between("dt_coleta", "firstcasedate"),

@@ -85,9 +85,8 @@ def _later_steps(lab: DataFrame, vacc: DataFrame, cfg: StudyConfig) -> DataFrame
         .transform(_remove, "complete", complete)
         .withColumn("days_diff_test", W.days_diff_test(SEQUENCE, ["seq_no"]))
         .transform(_remove, "severe_negative", W.severe_negative_spacing(cfg, SEQUENCE))
-        .transform(E.join_vaccination, E.vaccinated_persons(vacc), cfg)
+        .transform(E.join_vaccination, E.coded_vaccination(vacc, cfg))
         .transform(_remove, "vaccine_consistency", F.col("flag_incon") == 0)
-        .transform(E.recode_products)
         .transform(E.days_since_dose)
         .transform(E.vacc_status)
         .transform(_remove, "one_dose_product", ~F.coalesce(one_dose_twice, F.lit(False)))

@@ -344,9 +344,9 @@ def vaccine_consistency(spark, sf_dir):
 
 @query()
 def join_vaccination(spark, sf_dir):
-    vacc = _vacc(spark, sf_dir).transform(exposure.vaccinated_persons)
     tests = _lab(spark, sf_dir).transform(P.clean_tests, CFG)
-    return tests.transform(exposure.join_vaccination, vacc, CFG).select(
+    coded = _vacc(spark, sf_dir).transform(exposure.coded_vaccination, CFG)
+    return tests.transform(exposure.join_vaccination, coded).select(
         "rec_id", "id_vigvac", "flag_incon", "d_idade", *exposure.DOSES
     )
 
