@@ -17,12 +17,13 @@ STEPS: dict[str, str] = {
 ORACLE: dict[str, str] = {}
 
 
-def _sql(final: str) -> str:
+def _sql(final: str, given: tuple[str, ...] = ()) -> str:
+    """``final`` with the steps it needs, except those that exist as tables (``given``)."""
     needed: set[str] = set()
 
     def visit(text: str) -> None:
         for name in STEPS:
-            if name not in needed and re.search(rf"\b{name}\b", text):
+            if name not in needed and name not in given and re.search(rf"\b{name}\b", text):
                 needed.add(name)
                 visit(STEPS[name])
 
