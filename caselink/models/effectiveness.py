@@ -58,7 +58,7 @@ def extract_ve(terms: DataFrame, product: str = "CV", booster: str = "BNT", pref
             label_map("term", order).cast("bigint").alias("term_rank"),
             *[F.round(c, 1).alias(c) for c in ("ve", "ve_lower", "ve_upper")],
             F.when(
-                F.col("ve").isNotNull(),
+                F.col("ve_lower").isNotNull(),
                 F.format_string("%.1f%% (%.1f-%.1f)", "ve", "ve_lower", "ve_upper"),
             ).alias("ve_ci"),
         )

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
+from pyspark.errors import UnsupportedOperationException
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
@@ -137,7 +138,8 @@ def fit_logit(
 ) -> DataFrame:
     """Tidy parametric terms of a binomial logit model: estimate and standard error.
 
-    Terms that are not estimable have nulls. If the reference level of a ``required`` factor is not
+    Terms that are not estimable have nulls. Where the columns are aliased, as in a cohort with fewer
+    records than terms, there are no standard errors and ``converged`` is false. If the reference level of a ``required`` factor is not
     estimable in these data, none of its contrasts is, and the frame is empty but for nulls.
     """
     spark = patterns.sparkSession
@@ -166,13 +168,18 @@ def fit_logit(
         model = GeneralizedLinearRegression(
             family="binomial", link="logit", labelCol="rate", weightCol="n", maxIter=max_iter, tol=1e-8
         ).fit(design)
-        converged = model.summary.numIterations < max_iter
-        errors = model.summary.coefficientStandardErrors
+        summary = model.summary
+        try:
+            errors = [float(e) for e in summary.coefficientStandardErrors]
+        except UnsupportedOperationException:
+            # Aliased columns: the solver fell back to a gradient method without a covariance.
+            errors = [None] * (len(model.coefficients) + 1)
+        converged = errors[-1] is not None and summary.numIterations < max_iter
         rows += [
-            (name, float(model.coefficients[i]), float(errors[i]), converged)
+            (name, float(model.coefficients[i]), errors[i], converged)
             for i, (name, _) in enumerate(indicators)
         ]
-        rows.append(("(Intercept)", float(model.intercept), float(errors[-1]), converged))
+        rows.append(("(Intercept)", float(model.intercept), errors[-1], converged))
     finally:
         design.unpersist()
     return spark.createDataFrame(rows, TERM_SCHEMA)

@@ -162,3 +162,9 @@ def test_figure_frame(spark):
         ("Overall", "181+", 1), ("≥80", "31+_BNT162b2", 4),
     ]
     assert C.exposure_terms()[got[0]["term_rank"] - 1] == "v2_181+"
+
+
+def test_aliased_columns_give_estimates_without_errors(spark, rows):
+    twins = [(*r[:3], "11" if r[0] == "AZ_v1_14+" else "35", *r[4:]) for r in rows]
+    got = terms(fit_logit(spark.createDataFrame(twins, FRAME), ["vs_type2", "uf"], smooths=[]))
+    assert got["uf11"]["std_error"] is None and not got["uf11"]["converged"]
