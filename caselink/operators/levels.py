@@ -20,19 +20,26 @@ def lump_levels(
 ) -> DataFrame:
     """Keep the ``keep`` largest levels as text and lump the rest, ties by best rank.
 
-    The cut-off is the weight of the ``keep``-th level, found as a distributed top-k, so every level
-    tied with it stays. A single level below the cut-off is left alone.
+    The cut-off is the weight of the ``keep``-th level, so every level tied with it stays. A single
+    level below the cut-off is left alone. One distributed top-k job settles all but columns with
+    very many levels.
     """
     weights = level_weights(df, column, weight)
     text = F.col(column).cast("string")
-    cut = weights.orderBy(F.desc("_w")).limit(keep).agg(F.min("_w")).first()[0]
-    if cut is None or len(weights.where(F.col("_w") < cut).take(2)) < 2:
+    top = weights.orderBy(F.desc("_w")).take(MAX_INLINE + 1)
+    if not top:
         return df.withColumn(column, text)
-
-    kept = weights.where(F.col("_w") >= cut)
-    names = [row[0] for row in kept.select(column).take(MAX_INLINE + 1)]
-    if len(names) <= MAX_INLINE:
-        lumped = F.when(F.col(column).isin(names), text).when(F.col(column).isNotNull(), other)
+    cut = top[min(keep, len(top)) - 1]["_w"]
+    kept = [row[column] for row in top if row["_w"] >= cut]
+    complete = len(top) <= MAX_INLINE
+    if complete or len(kept) <= MAX_INLINE - 1:
+        if len(top) - len(kept) < 2:
+            return df.withColumn(column, text)
+        lumped = F.when(F.col(column).isin(kept), text).when(F.col(column).isNotNull(), other)
         return df.withColumn(column, lumped)
+
+    if len(weights.where(F.col("_w") < cut).take(2)) < 2:
+        return df.withColumn(column, text)
     lumped = F.when(F.col("_w").isNotNull(), text).when(F.col(column).isNotNull(), other)
-    return df.join(kept, column, "left").withColumn(column, lumped).drop("_w")
+    kept_levels = weights.where(F.col("_w") >= cut)
+    return df.join(kept_levels, column, "left").withColumn(column, lumped).drop("_w")

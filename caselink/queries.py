@@ -80,6 +80,11 @@ def _notifications(spark, sf_dir):
     )
 
 
+def _variants(spark, sf_dir):
+    """The surveillance table, kept because lumping reads it twice."""
+    return savepoint(carrier(spark, sf_dir, "variants"), "variants")
+
+
 def _patterns(spark, sf_dir):
     return models.compress(P.prepare_rows(_lab(spark, sf_dir), _vacc(spark, sf_dir), CFG))
 
@@ -532,7 +537,7 @@ def lump_levels(spark, sf_dir):
 
 @query()
 def lump_levels_weighted(spark, sf_dir):
-    return S.lumped_variants(carrier(spark, sf_dir, "variants"))
+    return S.lumped_variants(_variants(spark, sf_dir))
 
 
 # --- series -----------------------------------------------------------------------------------
@@ -603,7 +608,7 @@ def severe_outcomes(spark, sf_dir):
 
 @query()
 def variant_share(spark, sf_dir):
-    return carrier(spark, sf_dir, "variants").transform(S.variant_share)
+    return _variants(spark, sf_dir).transform(S.variant_share)
 
 
 # --- effectiveness ----------------------------------------------------------------------------
