@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselink import config as C
-from caselink.models.splines import natural_basis
+from caselink.models.penalised import penalised_terms
+from caselink.models.splines import Spline, natural_spline
 from caselink.operators.cohorts import COHORT_COLUMNS, with_age_groups
 from caselink.session import savepoint
 
@@ -119,10 +120,9 @@ def _indicators(levels: Levels, references: dict[str, str]) -> list[tuple[str, C
     return columns
 
 
-def _with_basis(patterns: DataFrame, smooth: str, values: list[int], knots: int) -> DataFrame:
+def _with_basis(patterns: DataFrame, smooth: str, values: list[int], spline: Spline) -> DataFrame:
     """Attach the spline columns of a smooth from a table with one row per distinct day or year."""
-    basis = natural_basis(values, knots)
-    rows = [(value, [float(b) for b in row]) for value, row in zip(values, basis)]
+    rows = [(value, [float(b) for b in row]) for value, row in zip(values, spline.basis)]
     table = patterns.sparkSession.createDataFrame(rows, f"{smooth} int, _{smooth} array<double>")
     return patterns.join(F.broadcast(table), smooth)
 
@@ -134,13 +134,14 @@ def fit_logit(
     references: dict[str, str] | None = None,
     required: Sequence[str] = ("vs_type2",),
     knots: int = 10,
-    max_iter: int = 50,
+    penalised: bool = True,
 ) -> DataFrame:
     """Tidy parametric terms of a binomial logit model: estimate and standard error.
 
-    Terms that are not estimable have nulls. Where the columns are aliased, as in a cohort with fewer
-    records than terms, there are no standard errors and ``converged`` is false. If the reference level of a ``required`` factor is not
-    estimable in these data, none of its contrasts is, and the frame is empty but for nulls.
+    The smooths' roughness is chosen by restricted maximum likelihood; ``penalised=False`` fits them
+    freely with the library's own generalised linear model. Terms that are not estimable have nulls.
+    If the reference level of a ``required`` factor is not estimable in these data, neither is any
+    of its contrasts, and all estimates are null.
     """
     spark = patterns.sparkSession
     references = {**REFERENCES, **(references or {})}
@@ -154,32 +155,40 @@ def fit_logit(
         return spark.createDataFrame(rows, TERM_SCHEMA)
 
     indicators = _indicators(levels, references)
+    splines = {s: natural_spline(levels.smooths[s], knots) for s in smooths}
     framed = usable
-    for smooth in smooths:
-        framed = _with_basis(framed, smooth, levels.smooths[smooth], knots)
-    parts = [F.array(*[column for _, column in indicators])] if indicators else []
+    for smooth, spline in splines.items():
+        framed = _with_basis(framed, smooth, levels.smooths[smooth], spline)
+    parts = [F.array(F.lit(1.0), *[column for _, column in indicators])]
     parts += [F.col(f"_{smooth}") for smooth in smooths]
     design = framed.select(
-        array_to_vector(F.concat(*parts)).alias("features"),
+        F.concat(*parts).alias("x"),
         (F.col("cases") / F.col("n")).alias("rate"),
         F.col("n").cast("double").alias("n"),
     ).persist(StorageLevel.MEMORY_AND_DISK)
+    names = ["(Intercept)", *[name for name, _ in indicators]]
     try:
-        model = GeneralizedLinearRegression(
-            family="binomial", link="logit", labelCol="rate", weightCol="n", maxIter=max_iter, tol=1e-8
-        ).fit(design)
-        summary = model.summary
-        try:
-            errors = [float(e) for e in summary.coefficientStandardErrors]
-        except UnsupportedOperationException:
-            # Aliased columns: the solver fell back to a gradient method without a covariance.
-            errors = [None] * (len(model.coefficients) + 1)
-        converged = errors[-1] is not None and summary.numIterations < max_iter
-        rows += [
-            (name, float(model.coefficients[i]), errors[i], converged)
-            for i, (name, _) in enumerate(indicators)
-        ]
-        rows.append(("(Intercept)", float(model.intercept), errors[-1], converged))
+        if penalised:
+            rows += penalised_terms(design, names, list(splines.values()))
+        else:
+            rows += free_terms(design, names)
     finally:
         design.unpersist()
     return spark.createDataFrame(rows, TERM_SCHEMA)
+
+
+def free_terms(design: DataFrame, names: list[str], max_iter: int = 50) -> list[tuple]:
+    """Unpenalised fit with ``pyspark.ml``. Aliased columns leave it without standard errors."""
+    columns = F.slice("x", F.lit(2), F.size("x") - 1)
+    vectors = design.select(array_to_vector(columns).alias("features"), "rate", "n")
+    model = GeneralizedLinearRegression(
+        family="binomial", link="logit", labelCol="rate", weightCol="n", maxIter=max_iter, tol=1e-8
+    ).fit(vectors)
+    estimates = [model.intercept, *model.coefficients]
+    try:
+        errors = model.summary.coefficientStandardErrors
+        errors = [float(e) for e in [errors[-1], *errors[:-1]]]
+    except UnsupportedOperationException:
+        errors = [None] * len(estimates)
+    converged = errors[0] is not None and model.summary.numIterations < max_iter
+    return [(name, float(estimates[i]), errors[i], converged) for i, name in enumerate(names)]

@@ -9,7 +9,7 @@ import pytest
 from caselink import config as C
 from caselink.models import extract_ve, fit_logit, ve_figure_frame
 from caselink.models.effectiveness import ve_model
-from caselink.models.splines import natural_basis
+from caselink.models.splines import natural_basis, natural_spline
 
 FRAME = (
     "vs_type2 string, prev_infected string, sexo string, uf string, n_comorb string, puerpera int, "
@@ -62,12 +62,13 @@ def test_single_factor_fit_is_the_crude_odds_ratio(spark, rows):
 
 def test_full_fit_matches_newton_and_does_not_depend_on_compression(spark, rows):
     df = spark.createDataFrame(rows, FRAME)
-    got = terms(ve_model(df))
+    factors = ["vs_type2", "prev_infected", "sexo", "uf"]
+    got = terms(fit_logit(df, factors, penalised=False))
     keys = [c for c in df.columns if c not in ("n", "cases")]
     packed = df.groupBy(*keys).agg({"n": "sum", "cases": "sum"}).withColumnsRenamed(
         {"sum(n)": "n", "sum(cases)": "cases"}
     )
-    again = terms(ve_model(packed.repartition(3)))
+    again = terms(fit_logit(packed.repartition(3), factors, penalised=False))
 
     days, ages = sorted({r[7] for r in rows}), sorted({r[8] for r in rows})
     spline_day = dict(zip(days, natural_basis(days)))
@@ -164,7 +165,78 @@ def test_figure_frame(spark):
     assert C.exposure_terms()[got[0]["term_rank"] - 1] == "v2_181+"
 
 
-def test_aliased_columns_give_estimates_without_errors(spark, rows):
+def test_aliased_columns(spark, rows):
     twins = [(*r[:3], "11" if r[0] == "AZ_v1_14+" else "35", *r[4:]) for r in rows]
-    got = terms(fit_logit(spark.createDataFrame(twins, FRAME), ["vs_type2", "uf"], smooths=[]))
-    assert got["uf11"]["std_error"] is None and not got["uf11"]["converged"]
+    df = spark.createDataFrame(twins, FRAME)
+    free = terms(fit_logit(df, ["vs_type2", "uf"], smooths=[], penalised=False))
+    assert free["uf11"]["std_error"] is None and not free["uf11"]["converged"]
+    got = terms(fit_logit(df, ["vs_type2", "uf"], smooths=[]))
+    plain = terms(fit_logit(df, ["vs_type2"], smooths=[]))
+    assert got["uf11"]["estimate"] is None and got["uf11"]["converged"]
+    for name, row in plain.items():
+        assert got[name]["estimate"] == pytest.approx(row["estimate"], abs=1e-6)
+        assert got[name]["std_error"] == pytest.approx(row["std_error"], abs=1e-6)
+
+
+def test_free_and_penalised_agree_without_smooths(spark, rows):
+    df = spark.createDataFrame(rows, FRAME)
+    free = terms(fit_logit(df, ["vs_type2", "sexo"], smooths=[], penalised=False))
+    for name, row in terms(fit_logit(df, ["vs_type2", "sexo"], smooths=[])).items():
+        assert free[name]["estimate"] == pytest.approx(row["estimate"], abs=1e-6)
+        assert free[name]["std_error"] == pytest.approx(row["std_error"], abs=1e-6)
+
+
+def working_reml(x, y, beta, penalties, strengths):
+    """Restricted log-likelihood of the working model at ``beta``, up to a constant."""
+    mu = 1 / (1 + np.exp(-x @ beta))
+    w = mu * (1 - mu)
+    z = x @ beta + (y - mu) / w
+    total = x.T @ (x * w[:, None]) + sum(s * p for s, p in zip(strengths, penalties))
+    hat = np.linalg.solve(total, x.T @ (w * z))
+    fit = np.sum(w * (z - x @ hat) ** 2) + sum(s * hat @ p @ hat for s, p in zip(strengths, penalties))
+    ranks = [np.linalg.matrix_rank(p) for p in penalties]
+    return -0.5 * fit - 0.5 * np.linalg.slogdet(total)[1] + 0.5 * sum(r * math.log(s) for r, s in zip(ranks, strengths))
+
+
+def test_penalised_fit_is_the_reml_optimum(spark, rows):
+    """Solve the same model by brute force: Newton for the coefficients, a grid for the strengths."""
+    got = terms(fit_logit(spark.createDataFrame(rows, FRAME), ["vs_type2", "sexo"]))
+    days, ages = sorted({r[7] for r in rows}), sorted({r[8] for r in rows})
+    s_day, s_age = natural_spline(days), natural_spline(ages)
+    of_day, of_age = dict(zip(days, s_day.basis)), dict(zip(ages, s_age.basis))
+    names = ["CV_v2_0:13", "CV_v2_181+", "AZ_v1_14+"]
+    x = np.array([[1.0, *[float(r[0] == n) for n in names], float(r[2] == "M"), *of_day[r[7]], *of_age[r[8]]] for r in rows])
+    y = np.array([r[-1] for r in rows], dtype=float)
+    first, second = np.zeros((23, 23)), np.zeros((23, 23))
+    first[5:14, 5:14], second[14:, 14:] = s_day.penalty, s_age.penalty
+
+    def fit(strengths):
+        beta = np.zeros(23)
+        for _ in range(30):
+            mu = 1 / (1 + np.exp(-x @ beta))
+            total = x.T @ (x * (mu * (1 - mu))[:, None]) + strengths[0] * first + strengths[1] * second
+            beta = beta + np.linalg.solve(total, x.T @ (y - mu) - (strengths[0] * first + strengths[1] * second) @ beta)
+        return beta, np.sqrt(np.diag(np.linalg.inv(total)))
+
+    strengths = np.array([1.0, 1.0])
+    for _ in range(8):  # alternate the working model and a coordinate search over it
+        beta, error = fit(strengths)
+        for _ in range(3):
+            for j in (0, 1):
+                grid = [np.where(np.arange(2) == j, s, strengths) for s in 10 ** np.linspace(-6, 8, 281)]
+                strengths = max(grid, key=lambda g: working_reml(x, y, beta, [first, second], g))
+    beta, error = fit(strengths)
+    for i, term in enumerate(["(Intercept)", *[f"vs_type2{n}" for n in names], "sexoM"]):
+        assert got[term]["converged"]
+        assert got[term]["estimate"] == pytest.approx(beta[i], abs=2e-3)
+        assert got[term]["std_error"] == pytest.approx(error[i], abs=2e-4)
+
+
+def test_penalty_is_the_integrated_squared_second_derivative():
+    values = list(range(0, 400))
+    spline = natural_spline(values, 8)
+    coefficients = np.random.default_rng(1).normal(size=spline.basis.shape[1])
+    curve = spline.basis @ coefficients
+    step = 1 / (len(values) - 1)
+    second = np.diff(curve, 2) / step**2
+    assert coefficients @ spline.penalty @ coefficients == pytest.approx(np.sum(second**2) * step, rel=0.02)
