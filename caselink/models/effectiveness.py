@@ -23,7 +23,7 @@ LADDER = {
     "ms": [*ADJUSTMENT, *PREGNANCY],
     "full": [*ADJUSTMENT, *PREGNANCY, "raca"],
 }
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
 
 
 def extract_ve(terms: DataFrame, product: str = "CV", booster: str = "BNT", prefix: str = "vs_type2") -> DataFrame:

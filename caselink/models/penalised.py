@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from caselink.models.splines import Spline
 
 MAX_STEPS = 40
-TOLERANCE = 1e-7
+TOLERANCE = 1e-9  # relative change of the penalised deviance
 ALIASED = 1e-9
 
 
@@ -31,19 +31,23 @@ def _score(coefficients: np.ndarray) -> Column:
     return F.greatest(F.least(total, F.lit(30.0)), F.lit(-30.0))
 
 
-def cross_products(design: DataFrame, coefficients: np.ndarray) -> np.ndarray:
-    """Weighted cross-product matrix of the columns with the working response as the last one."""
+def cross_products(design: DataFrame, coefficients: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weighted cross-products of the columns and, last, the working response; and the deviance."""
+    p = F.col("p")
     scored = design.withColumn("eta", _score(coefficients)).withColumn("p", 1 / (1 + F.exp(-F.col("eta"))))
-    spread = F.col("p") * (1 - F.col("p"))
-    working = F.col("eta") + (F.col("rate") - F.col("p")) / spread
-    root = F.sqrt(F.col("n") * spread)
-    rows = scored.select("x", root.alias("root"), working.alias("z")).select(
-        array_to_vector(
-            F.transform(F.concat("x", F.array("z")), lambda value: value * F.col("root"))
-        ).alias("row")
+    working = F.col("eta") + (F.col("rate") - p) / (p * (1 - p))
+    loss = -2 * F.col("n") * (F.col("rate") * F.log(p) + (1 - F.col("rate")) * F.log(1 - p))
+    # The root of each pattern's loss rides along as one more column, so its square sums to the
+    # deviance in the same pass.
+    weighted = scored.select(
+        F.concat("x", F.array(working)).alias("row"),
+        F.sqrt(F.col("n") * p * (1 - p)).alias("root"),
+        F.sqrt(loss).alias("loss"),
     )
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "row"))
-    return matrix.computeGramianMatrix().toArray()
+    scaled = F.concat(F.transform("row", lambda value: value * F.col("root")), F.array("loss"))
+    rows = MLUtils.convertVectorColumnsFromML(weighted.select(array_to_vector(scaled).alias("row")), "row")
+    matrix = RowMatrix(rows, numCols=len(coefficients) + 2).computeGramianMatrix().toArray()
+    return matrix[:-1, :-1], float(matrix[-1, -1])
 
 
 def independent_columns(product: np.ndarray) -> np.ndarray:
@@ -109,21 +113,23 @@ def penalised_terms(design: DataFrame, names: Sequence[str], splines: Sequence[S
     ranks = [splines[i].rank for i in used]
 
     coefficients, strength, kept = np.zeros(size), np.ones(len(used)), None
-    converged = False
+    converged, previous = False, np.inf
     for _ in range(MAX_STEPS):
-        product = cross_products(design, coefficients)
+        product, deviance = cross_products(design, coefficients)
         if kept is None:
             kept = independent_columns(product[:size, :size])
+        objective = deviance + sum(
+            s * coefficients @ penalties[i] @ coefficients for i, s in zip(used, strength)
+        )
         block = np.ix_(kept, kept)
-        updated = np.zeros(size)
-        updated[kept], covariance, strength = _solve(
+        coefficients = np.zeros(size)
+        coefficients[kept], covariance, strength = _solve(
             product[block], product[kept, size], [penalties[i][block] for i in used], ranks, strength
         )
-        change = np.max(np.abs(updated - coefficients))
-        coefficients = updated
-        if change < TOLERANCE * (1 + np.max(np.abs(coefficients))):
-            converged = True
+        converged = bool(abs(previous - objective) < TOLERANCE * (abs(objective) + 0.1))
+        if converged:
             break
+        previous = objective
     errors = dict(zip(kept.tolist(), np.sqrt(np.diag(covariance))))
     return [
         (name, float(coefficients[i]), float(errors[i]), converged)
