@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselink.llm import rules
+from caselink.llm import rules, simhash
 from caselink.session import tune
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where it was not installed or submitted with the job."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+    return spark
+
+
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(tune(spark), sf_dir)
+        return fn(importable(tune(spark)), sf_dir)
 
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
     QUERIES[fn.__name__] = run
@@ -68,3 +79,9 @@ SELECT *, ({base}) AS base_failed, (NOT ({base}) AND {ok}) AS kept FROM m"""
 
 
 ORACLE["op9_quality_rules"] = _quality_sql()
+
+
+@query
+def op10_simhash_near_dedup(spark, sf_dir):
+    found = simhash.classes(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
