@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselink.llm import rules, simhash
+from caselink.llm import decontam, rules, simhash, substring
 from caselink.session import tune
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -85,3 +85,15 @@ ORACLE["op9_quality_rules"] = _quality_sql()
 def op10_simhash_near_dedup(spark, sf_dir):
     found = simhash.classes(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op5_substring_dedup(spark, sf_dir):
+    cut = substring.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+@query
+def op6_benchmark_decontamination(spark, sf_dir):
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontam.contaminations(docs, items).drop("key")

@@ -58,9 +58,12 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         at = to
 
 
-def word_spans(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and the index of each document's first word."""
-    inside = ~_SPACE[part.buf]
+def word_spans(part: Slice, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and the index of each document's first word.
+
+    ``space`` tells for each byte value whether it separates words.
+    """
+    inside = ~space[part.buf]
     edge = np.zeros(len(part.buf) + 1, bool)
     edge[part.offsets] = True
     starts, ends = inside.copy(), inside.copy()
