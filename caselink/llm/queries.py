@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselink.llm import decontam, rules, simhash, substring
+from caselink.llm import decontam, packing, rules, simhash, substring
 from caselink.session import tune
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -97,3 +97,8 @@ def op5_substring_dedup(spark, sf_dir):
 def op6_benchmark_decontamination(spark, sf_dir):
     docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     return decontam.contaminations(docs, items).drop("key")
+
+
+@query
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.pack(packing.measured(_table(spark, sf_dir, "documents")))
