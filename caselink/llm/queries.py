@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselink.llm import decontam, packing, rules, simhash, substring
-from caselink.session import tune
+from caselink.llm import decontam, packing, rules, simhash, substring, token_files
+from caselink.session import shared_dir, tune
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,3 +103,13 @@ def op6_benchmark_decontamination(spark, sf_dir):
 @query
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(packing.measured(_table(spark, sf_dir, "documents")))
+
+
+@query
+def op3_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    path = f"{shared_dir(spark)}/tokens/{uuid.uuid4().hex}"
+    docs = _table(spark, sf_dir, "documents")
+    token_files.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_index(spark, path)
