@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselink.llm import decontam, packing, rules, simhash, substring, token_files
+from caselink.llm import decontam, packing, rules, simhash, substring, token_files, word_backoff
 from caselink.session import shared_dir, tune
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -113,3 +113,12 @@ def op3_token_files(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     token_files.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read_index(spark, path)
+
+
+@query
+def op2_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    model = word_backoff.train(docs.where(~F.col("held_out")))
+    found = word_backoff.predict(docs.select("doc_id", "held_out", "text"), model)
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
