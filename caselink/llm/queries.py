@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselink.llm import decontam, packing, rules, simhash, substring, token_files, word_backoff
+from caselink.llm import decontam, packing, rules, simhash, site_style, substring, token_files, word_backoff
 from caselink.session import shared_dir, tune
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -122,3 +122,9 @@ def op2_language_id(spark, sf_dir):
     model = word_backoff.train(docs.where(~F.col("held_out")))
     found = word_backoff.predict(docs.select("doc_id", "held_out", "text"), model)
     return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
+@query
+def op1_site_style_text(spark, sf_dir):
+    found = site_style.main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("row.page_id", "row.url", "text", "n_chars")
