@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselink.llm import decontam, packing, rules, simhash, site_style, substring, token_files, word_backoff
+from caselink.llm import decontam, kneser_ney, packing, rules, simhash, site_style, substring, token_files, word_backoff
 from caselink.session import shared_dir, tune
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -128,3 +128,10 @@ def op2_language_id(spark, sf_dir):
 def op1_site_style_text(spark, sf_dir):
     found = site_style.main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("row.page_id", "row.url", "text", "n_chars")
+
+
+@query
+def op4_kneser_ney_quality(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    return kneser_ney.judge(docs, trusted)
