@@ -18,15 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselink.llm.texts import mix
+from caselink.llm.texts import longs, mix
 from caselink.session import savepoint
 
 PACKED = "bucket int, keys binary, contexts binary, docs binary, spots binary, often binary"
-FOUND = "key bigint, spot int, kind int"
+FOUND = "key bigint, spot bigint, kind int, meeting bigint"
 #: Marks of packed entries: one occurrence in its load, several, or known to repeat.
 ONCE, SEVERAL, KNOWN = 0, 1, 2
-#: Kinds of found places: the whole context repeats; its parts must be looked at.
-REPEATED, OPEN = 1, 2
+#: Kinds of found places: the whole context repeats; its parts must be looked at, for keys of few
+#: and of many contexts.
+REPEATED, OPEN, CROWDED = 1, 2, 3
 LOAD = 600_000
 
 
@@ -79,7 +80,7 @@ class Packer:
         self.size = 0
 
     def add(self, key, context, doc, spot) -> Iterator[pa.RecordBatch]:
-        self.held.append((key, context, doc.astype(np.int64), spot.astype(np.int32)))
+        self.held.append((key, context, doc.astype(np.int64), spot.astype(np.int64)))
         self.size += len(key)
         if self.size >= LOAD:
             yield from self.flush()
@@ -111,25 +112,38 @@ class Packer:
 
 
 def unpack(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
-    kinds = (np.uint64, np.uint64, np.int64, np.int32, np.uint8)
+    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.uint8)
     return tuple(
         np.frombuffer(b"".join(memoryview(c.as_buffer()) for b in batches for c in b.column(i)), kind)
         for i, kind in enumerate(kinds, start=1)
     )
 
 
-def found(doc: np.ndarray, spot: np.ndarray, kind: int) -> pa.RecordBatch:
+def found(doc: np.ndarray, spot: np.ndarray, kind: np.ndarray | int, key: np.ndarray | None = None) -> pa.RecordBatch:
+    n = len(doc)
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc), pa.array(spot), pa.array(np.full(len(doc), kind, np.int32))],
-        names=["key", "spot", "kind"],
+        [
+            pa.array(doc),
+            pa.array(spot),
+            pa.array(np.broadcast_to(np.asarray(kind, np.int32), n)),
+            longs(key) if key is not None else pa.nulls(n, pa.int64()),
+        ],
+        names=["key", "spot", "kind", "meeting"],
     )
 
 
 def compare(
-    key: np.ndarray, context: np.ndarray, doc: np.ndarray, spot: np.ndarray, often: np.ndarray, opened: bool = True
+    key: np.ndarray,
+    context: np.ndarray,
+    doc: np.ndarray,
+    spot: np.ndarray,
+    often: np.ndarray,
+    opened: bool = True,
+    crowd: int | None = None,
 ) -> Iterator[pa.RecordBatch]:
     """Places whose context occurs twice or more, and one place of each context of a key that has
-    several contexts. Every entry is one occurrence at least, so all counting is exact."""
+    several contexts: ``OPEN``, or ``CROWDED`` if there are more than ``crowd``. Every entry is one
+    occurrence at least, so all counting is exact."""
     known = often == KNOWN
     if known.any():
         yield found(doc[known], spot[known], REPEATED)
@@ -145,11 +159,12 @@ def compare(
     if every.any():
         yield found(doc[every], spot[every], REPEATED)
     if opened:
-        group = runs(key[first])
-        several = np.repeat(np.diff(np.r_[group, len(first)]) > 1, np.diff(np.r_[group, len(first)]))
-        lead = first[several]
+        contexts = np.diff(np.r_[runs(key[first]), len(first)])
+        contexts = np.repeat(contexts, contexts)
+        lead = first[contexts > 1]
         if len(lead):
-            yield found(doc[lead], spot[lead], OPEN)
+            many = contexts[contexts > 1] > (crowd or len(key))
+            yield found(doc[lead], spot[lead], np.where(many, CROWDED, OPEN), key[lead])
 
 
 def meet(packed: DataFrame, judge: Callable[..., Iterator[pa.RecordBatch]] = compare, schema: str = FOUND) -> DataFrame:

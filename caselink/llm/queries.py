@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselink.llm import decontam, kneser_ney, packing, rules, simhash, site_style, substring, token_files, word_backoff
+from caselink.llm import decontam, kneser_ney, packing, rules, run_index, simhash, site_style, substring, token_files, word_backoff
 from caselink.session import shared_dir, tune
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -135,3 +135,11 @@ def op4_kneser_ney_quality(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     trusted = _table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
     return kneser_ney.judge(docs, trusted)
+
+
+@query
+def op8_run_index_dedup(spark, sf_dir):
+    cut = run_index.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256")
+    )
