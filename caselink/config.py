@@ -155,6 +155,8 @@ class StudyConfig:
     severe_floor: date = date(2020, 2, 11)  # exclusive
     axis_start: date = date(2020, 2, 1)
     axis_end: date = date(2021, 11, 12)
+    case_control_start: date = date(2021, 1, 1)  # axis of the case-control histograms
+    case_control_end: date = date(2021, 11, 12)
 
     default_micro_region: str = "530001"
     macro_regions: dict[str, str] = field(default_factory=lambda: dict(MACRO_REGIONS))

@@ -18,11 +18,16 @@ from pyspark.sql import functions as F
 
 from caselink.models.splines import Spline
 
-MAX_STEPS = 40
+#: Iterations allowed for a fit, and for the penalty strengths inside each of them.
+MAX_STEPS, MAX_STRENGTH_STEPS = 40, 500
 TOLERANCE = 1e-9  # relative change of the penalised deviance
 ALIASED = 1e-9
 
 
+class NotConverged(RuntimeError):
+    """A fit that used up its iterations; its numbers would not be estimates."""
+
+
 def _score(coefficients: np.ndarray) -> Column:
     """Linear predictor, kept in the range where probabilities stay off 0 and 1."""
     weights = F.lit([float(c) for c in coefficients])
@@ -78,7 +83,7 @@ def _solve(
 
     Fellner-Schall updates: each raises the restricted likelihood and keeps strengths positive.
     """
-    for _ in range(500):
+    for _ in range(MAX_STRENGTH_STEPS):
         total = product + sum(s * p for s, p in zip(strength, penalties))
         covariance = np.linalg.inv(total)
         coefficients = covariance @ response
@@ -89,14 +94,18 @@ def _solve(
             ]
         )
         if not len(strength) or np.max(np.abs(np.log(updated / strength))) < 1e-6:
-            break
+            return coefficients, covariance, strength
         strength = updated
-    return coefficients, covariance, strength
+    raise NotConverged(f"penalty strengths after {MAX_STRENGTH_STEPS} steps")
 
 
-def penalised_terms(design: DataFrame, names: Sequence[str], splines: Sequence[Spline]) -> list[tuple]:
+def penalised_terms(
+    design: DataFrame, names: Sequence[str], splines: Sequence[Spline], max_steps: int = MAX_STEPS
+) -> list[tuple]:
     """(term, estimate, standard error, converged) of the parametric terms.
 
+    Raises ``NotConverged`` if the penalised deviance still moves after ``max_steps`` iterations.
+
     ``design`` has the columns ``x`` (parametric columns, then those of each spline), ``rate`` and
     ``n``. Standard errors come from the covariance that counts the penalty as prior information.
     Aliased terms have nulls.
@@ -114,7 +123,7 @@ def penalised_terms(design: DataFrame, names: Sequence[str], splines: Sequence[S
 
     coefficients, strength, kept = np.zeros(size), np.ones(len(used)), None
     converged, previous = False, np.inf
-    for _ in range(MAX_STEPS):
+    for _ in range(max_steps):
         product, deviance = cross_products(design, coefficients)
         if kept is None:
             kept = independent_columns(product[:size, :size])
@@ -130,6 +139,8 @@ def penalised_terms(design: DataFrame, names: Sequence[str], splines: Sequence[S
         if converged:
             break
         previous = objective
+    if not converged:
+        raise NotConverged(f"penalised deviance after {max_steps} steps")
     errors = dict(zip(kept.tolist(), np.sqrt(np.diag(covariance))))
     return [
         (name, float(coefficients[i]), float(errors[i]), converged)

@@ -144,6 +144,15 @@ def exposure(df: DataFrame) -> DataFrame:
     return df.transform(days_since_dose).transform(vacc_status).transform(vs_type)
 
 
+BOOSTER_GROUPS = ("CV_v3_BNT162b2", "Other Vaccines")
+
+
+def booster_group() -> Column:
+    """Product of a third dose after the two-dose course: the main one, or any other."""
+    main, others = BOOSTER_GROUPS
+    return F.when(F.col("vs_type2").contains("CV_v3_") & F.col("vs_type2").endswith("_BNT162b2"), main).otherwise(others)
+
+
 def product_groups(df: DataFrame) -> DataFrame:
     """Broad exposure groups used in tables and plots."""
     label, label2 = F.col("vs_type"), F.col("vs_type2")

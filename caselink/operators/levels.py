@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Ties can keep any number of levels; up to this many are written into the plan as literals.
-MAX_INLINE = 1000
+from caselink.session import savepoint
 
 
 def level_weights(df: DataFrame, column: str, weight: str | None = None) -> DataFrame:
@@ -21,25 +20,16 @@ def lump_levels(
     """Keep the ``keep`` largest levels as text and lump the rest, ties by best rank.
 
     The cut-off is the weight of the ``keep``-th level, so every level tied with it stays. A single
-    level below the cut-off is left alone. One distributed top-k job settles all but columns with
-    very many levels.
+    level below the cut-off is left alone. The weights are summed and written once; the cut-off, the
+    levels below it and the join all read that table, so they agree also for inexact sums, and Spark
+    joins the kept levels by their true size.
     """
-    weights = level_weights(df, column, weight)
+    weights = savepoint(level_weights(df, column, weight), "level_weights")
     text = F.col(column).cast("string")
-    top = weights.orderBy(F.desc("_w")).take(MAX_INLINE + 1)
-    if not top:
-        return df.withColumn(column, text)
-    cut = top[min(keep, len(top)) - 1]["_w"]
-    kept = [row[column] for row in top if row["_w"] >= cut]
-    complete = len(top) <= MAX_INLINE
-    if complete or len(kept) <= MAX_INLINE - 1:
-        if len(top) - len(kept) < 2:
-            return df.withColumn(column, text)
-        lumped = F.when(F.col(column).isin(kept), text).when(F.col(column).isNotNull(), other)
-        return df.withColumn(column, lumped)
-
-    if len(weights.where(F.col("_w") < cut).take(2)) < 2:
+    top = weights.orderBy(F.desc("_w")).take(keep)
+    below = weights.where(F.col("_w") < top[-1]["_w"]).take(2) if top else []
+    if len(below) < 2:
         return df.withColumn(column, text)
+    kept = weights.where(F.col("_w") >= top[-1]["_w"])
     lumped = F.when(F.col("_w").isNotNull(), text).when(F.col(column).isNotNull(), other)
-    kept_levels = weights.where(F.col("_w") >= cut)
-    return df.join(kept_levels, column, "left").withColumn(column, lumped).drop("_w")
+    return df.join(kept, column, "left").withColumn(column, lumped).select(*df.columns)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from caselink import config as C
 from caselink.operators.reshape import map_columns
+from caselink.session import savepoint
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -36,8 +37,12 @@ def first_positive(df: DataFrame) -> DataFrame:
 
 
 def attach_first_positive(df: DataFrame) -> DataFrame:
-    """Every record with its person's first positive date (null if never positive)."""
-    return df.join(first_positive(df), "id_vigvac", "left")
+    """Every record with its person's first positive date (null if never positive).
+
+    The dates are written first: both join sides are then plain exchanges, and adaptive execution
+    splits the records of a person who has very many.
+    """
+    return df.join(savepoint(first_positive(df), "first_positive"), "id_vigvac", "left")
 
 
 def first_known_value(df: DataFrame, value: str = "raca") -> DataFrame:
@@ -57,7 +62,10 @@ def person_comorbidities(df: DataFrame, flags: Sequence[str] = tuple(C.COMORBIDI
 
 
 def person_features(df: DataFrame) -> DataFrame:
-    """Notifications with person-level comorbidities and first known race in place of their own."""
+    """Notifications with person-level comorbidities and first known race in place of their own.
+
+    The persons are written first, so that a person's many records can be split over join tasks.
+    """
     known_race = F.when(
         F.col("raca").isNotNull(),
         F.struct("dt_notificacao", (F.col("sistema") == "sg").alias("late"), "rec_id", "raca"),
@@ -66,7 +74,7 @@ def person_features(df: DataFrame) -> DataFrame:
         *_any_flag(C.COMORBIDITIES), F.min(known_race)["raca"].alias("raca"),
     )
     notifications = df.drop("raca", *C.COMORBIDITIES)
-    return notifications.join(persons, "id_vigvac", "left")
+    return notifications.join(savepoint(persons, "person_features"), "id_vigvac", "left")
 
 
 def flags_fill_zero(df: DataFrame, flags: Sequence[str] = tuple(C.FLAGS)) -> DataFrame:

@@ -27,6 +27,7 @@ from caselink.operators.levels import lump_levels
 from caselink.operators.persons import keep_first
 from caselink.operators.records import impute_dates
 from caselink.operators.reshape import doses_to_long, stack_frames, tagged_union
+from caselink.session import savepoint
 
 # --- histograms -------------------------------------------------------------------------------
 
@@ -44,6 +45,13 @@ def weekly_histogram(
     return kept.groupBy(week.alias("week"), *keys).agg(F.count("*").alias("n"))
 
 
+def case_control_histogram(df: DataFrame, cfg: StudyConfig) -> DataFrame:
+    """Samples per week, product group and case status on the axis of the case-control figures."""
+    return weekly_histogram(
+        df, "dt_coleta", ["vs_type3", "confirmado"], cfg.case_control_start, cfg.case_control_end
+    )
+
+
 def number_histogram(df: DataFrame, value: str, low: int, high: int, width: int = 7) -> DataFrame:
     """Records per bin of an integer column within the axis limits."""
     return (
@@ -265,19 +273,43 @@ def notified_tests(lab: DataFrame, cfg: StudyConfig) -> DataFrame:
     )
 
 
-def admissions(tests: DataFrame) -> DataFrame:
+EVENT_COLUMNS = ["rec_id", "id_vigvac", "confirmado", "dt_interna_dt", "evolucao", "dt_evoluca"]
+
+
+def event_records(tests: DataFrame) -> DataFrame:
+    """Per person, admission date and result, the first record and the one of the earliest outcome.
+
+    Both come from one grouping, whose partial minima keep a person with very many records from
+    filling a task. No admission date forms a group too. Written once, since all series read it.
+    """
+    record = F.struct(*EVENT_COLUMNS)
+    outcome_order = F.struct(F.col("dt_evoluca").isNull(), "dt_evoluca", "rec_id")
+    rows = tests.groupBy("id_vigvac", "dt_interna_dt", "confirmado").agg(
+        F.min_by(record, "rec_id").alias("admitted"), F.min_by(record, outcome_order).alias("ended")
+    )
+    return savepoint(rows.select("admitted", "ended"), "event_records")
+
+
+def admissions(events: DataFrame) -> DataFrame:
     """One record per person, admission date and result; no admission forms a group too."""
-    return keep_first(tests, ["id_vigvac", "dt_interna_dt", "confirmado"], ["rec_id"])
+    return events.select("admitted.*")
 
 
-def deaths(tests: DataFrame) -> DataFrame:
+def deaths(events: DataFrame) -> DataFrame:
     """Fatal cases, the earliest outcome per person, admission date and result."""
-    first = keep_first(
-        tests,
-        ["id_vigvac", "dt_interna_dt", "confirmado"],
-        [F.col("dt_evoluca").asc_nulls_last(), "rec_id"],
+    return events.select("ended.*").where(
+        (F.col("confirmado") == C.CASE) & F.col("evolucao").isin("2", "3")
+    )
+
+
+def _severe(events: DataFrame, admitted_only: bool = False) -> DataFrame:
+    admitted = events.transform(admissions)
+    if admitted_only:
+        admitted = admitted.where(F.col("dt_interna_dt").isNotNull())
+    only_death = events.transform(deaths).join(admitted.select("id_vigvac"), "id_vigvac", "left_anti")
+    return stack_frames(only_death.select(*EVENT_COLUMNS), admitted.select(*EVENT_COLUMNS)).withColumn(
+        "data_severe", F.coalesce("dt_interna_dt", "dt_evoluca")
     )
-    return first.where((F.col("confirmado") == C.CASE) & F.col("evolucao").isin("2", "3"))
 
 
 def severe_outcomes(lab: DataFrame, cfg: StudyConfig, admitted_only: bool = False) -> DataFrame:
@@ -286,34 +318,35 @@ def severe_outcomes(lab: DataFrame, cfg: StudyConfig, admitted_only: bool = Fals
     Records without an admission date count as admissions here, as in the original analysis;
     ``admitted_only`` leaves them out.
     """
-    tests = lab.transform(notified_tests, cfg)
-    admitted = tests.transform(admissions)
-    if admitted_only:
-        admitted = admitted.where(F.col("dt_interna_dt").isNotNull())
-    only_death = tests.transform(deaths).join(admitted.select("id_vigvac"), "id_vigvac", "left_anti")
-    columns = ["rec_id", "id_vigvac", "confirmado", "dt_interna_dt", "evolucao", "dt_evoluca"]
-    return (
-        stack_frames(only_death.select(*columns), admitted.select(*columns))
-        .withColumn("data_severe", F.coalesce("dt_interna_dt", "dt_evoluca"))
-    )
+    return lab.transform(notified_tests, cfg).transform(event_records).transform(_severe, admitted_only)
+
+
+def severe_series(lab: DataFrame, cfg: StudyConfig) -> DataFrame:
+    """Weekly severe outcomes of all results whose outcome date lies before the ceiling."""
+    kept = lab.transform(severe_outcomes, cfg).where(
+        (F.col("data_severe") > F.lit(cfg.event_floor)) & (F.col("dt_evoluca") < F.lit(cfg.event_ceiling))
+    )
+    return weekly_histogram(kept, "data_severe", start=cfg.axis_start, end=cfg.grid_end)
 
 
 def epidemic_series(lab: DataFrame, cfg: StudyConfig) -> DataFrame:
-    """Weekly infections, admissions, deaths and severe outcomes of cases."""
+    """Weekly infections, admissions, deaths and severe outcomes of cases.
+
+    The notifications are read twice: for infections, which group by sample date, and for events.
+    """
     tests = lab.transform(notified_tests, cfg)
+    events = tests.transform(event_records)
     case = F.col("confirmado") == C.CASE
 
     def between(day: str, low: date, high: date) -> Column:
         return (F.col(day) > F.lit(low)) & (F.col(day) < F.lit(high))
 
     infections = keep_first(tests, ["id_vigvac", "dt_coleta", "confirmado"], ["rec_id"]).where(case)
-    admitted = tests.transform(admissions).where(
+    admitted = events.transform(admissions).where(
         case & between("dt_interna_dt", cfg.event_floor, cfg.grid_end)
     )
-    died = tests.transform(deaths).where(between("dt_evoluca", cfg.event_floor, cfg.event_ceiling))
-    severe = lab.transform(severe_outcomes, cfg).where(
-        case & between("data_severe", cfg.severe_floor, cfg.grid_end)
-    )
+    died = events.transform(deaths).where(between("dt_evoluca", cfg.event_floor, cfg.event_ceiling))
+    severe = events.transform(_severe).where(case & between("data_severe", cfg.severe_floor, cfg.grid_end))
     series: Mapping[str, tuple[DataFrame, str, date]] = {
         "infection": (infections, "dt_inicio_sintomas", cfg.axis_end),
         "hospitalization": (admitted, "dt_interna_dt", cfg.axis_end),

@@ -288,10 +288,13 @@ SELECT *, {AGE_GROUP} AS idade_cat, {GROUP3} AS vs_type3, {MACRO} AS macro_regio
   CASE WHEN row_number() OVER (PARTITION BY id_vigvac ORDER BY seq_no) = 1 THEN 1 ELSE 0 END AS unique_id FROM lumped_analysis"""
 
 
-def _baseline(source: str, categories: list[str], flags: list[str], numbers: list[str], strata: str = "") -> str:
+def _baseline(
+    source: str, categories: list[str], flags: list[str], numbers: list[str], strata: str = "",
+    by: str = "confirmado", by_values: tuple[str, ...] = ("Confirmado", "Negativo"),
+) -> str:
     lead = f"{strata}, " if strata else ""
     long = "\nUNION ALL ".join(
-        f"SELECT {lead}'{v}' AS variable, CAST({v} AS VARCHAR) AS level, s.stratum FROM {source} CROSS JOIN LATERAL (VALUES (confirmado), ('Overall')) AS s(stratum)"
+        f"SELECT {lead}'{v}' AS variable, CAST({v} AS VARCHAR) AS level, s.stratum FROM {source} CROSS JOIN LATERAL (VALUES ({by}), ('Overall')) AS s(stratum)"
         for v in [*categories, *flags]
     )
     flag_list = ", ".join(f"'{f}'" for f in flags) or "''"
@@ -302,7 +305,7 @@ SELECT {lead}variable, COALESCE(level, 'Unknown') AS level, stratum, n, n_known,
   CASE WHEN level IS NOT NULL THEN round(100.0 * n / NULLIF(n_known, 0), 6) END AS stat
 FROM (SELECT *, CAST(COALESCE(SUM(CASE WHEN level IS NOT NULL THEN n END) OVER (PARTITION BY {lead}variable, stratum), 0) AS BIGINT) AS n_known
   FROM (SELECT {select_strata}l.variable, l.level, s.stratum, COALESCE(c.n, 0) AS n
-    FROM (SELECT DISTINCT {lead}variable, level FROM long_rows) l CROSS JOIN (VALUES ('Confirmado'), ('Negativo'), ('Overall')) AS s(stratum)
+    FROM (SELECT DISTINCT {lead}variable, level FROM long_rows) l CROSS JOIN (VALUES {', '.join(f"('{v}')" for v in (*by_values, 'Overall'))}) AS s(stratum)
     LEFT JOIN (SELECT {lead}variable, level, stratum, COUNT(*) AS n FROM long_rows GROUP BY ALL) c
       ON l.variable = c.variable AND l.level IS NOT DISTINCT FROM c.level AND s.stratum = c.stratum {join_strata}))
 WHERE variable NOT IN ({flag_list}) OR level = '1' OR level IS NULL"""
@@ -312,7 +315,7 @@ WHERE variable NOT IN ({flag_list}) OR level = '1' OR level IS NULL"""
             parts.append(f"""
 SELECT {lead}'{number}' AS variable, '{level}' AS level, s.stratum, COUNT({number}) AS n, COUNT({number}) AS n_known,
   round(CAST(quantile_cont({number}, {p}) AS DOUBLE), 6) AS stat
-FROM {source} CROSS JOIN LATERAL (VALUES (confirmado), ('Overall')) AS s(stratum) GROUP BY {lead}s.stratum""")
+FROM {source} CROSS JOIN LATERAL (VALUES ({by}), ('Overall')) AS s(stratum) GROUP BY {lead}s.stratum""")
     STEPS["long_rows"] = long
     text = _sql("\nUNION ALL".join(parts))
     del STEPS["long_rows"]
@@ -592,11 +595,20 @@ ORACLE["baseline_table"] = _baseline(
 ORACLE["baseline_table_strata"] = _baseline("described", ["vs_type3"], [], [], "idade_cat")
 STEPS["described_boosted"] = f"""
 SELECT *, {AGE_GROUP} AS idade_cat, {MACRO} AS macro_region,
+  CASE WHEN ends_with(vs_type2, '_BNT162b2') THEN 'CV_v3_BNT162b2' ELSE 'Other Vaccines' END AS booster,
   CASE WHEN row_number() OVER (PARTITION BY id_vigvac ORDER BY seq_no) = 1 THEN 1 ELSE 0 END AS unique_id
 FROM analysis WHERE tipo_teste = 'RT-PCR' AND contains(vs_type2, 'CV_v3_')"""
 ORACLE["baseline_table_boosted"] = _baseline(
-    "described_boosted", ["vs_type2", "idade_cat", "sexo", "macro_region"], ["unique_id"], ["idade", "length", "time_2nd_3rd"]
-)
+    "described_boosted",
+    ["idade_cat", "sexo", "raca", "tipo_teste", "macro_region", "n_comorb", "prev_infected", "hosp_event", "death_event",
+     "outcome", "confirmado"],
+    ["gestante", "puerpera", *COMORBIDITIES, "unique_id"], ["idade", "length"],
+    by="booster", by_values=("CV_v3_BNT162b2", "Other Vaccines"),
+)
+STEPS["timed"] = """
+SELECT confirmado, CASE WHEN contains(vs_type, 'CV') THEN vs_type WHEN vs_type <> 'uv' THEN 'other vaccines' ELSE 'Unvaccinated' END AS cv_time
+FROM analysis WHERE tipo_teste = 'RT-PCR'"""
+ORACLE["cv_time_table"] = _baseline("timed", ["cv_time"], [], [])
 ORACLE["unique_persons"] = _sql("""
 SELECT confirmado AS stratum, COUNT(*) AS records, COUNT(*) FILTER (WHERE rn = 1) AS persons
 FROM (SELECT confirmado, row_number() OVER (PARTITION BY id_vigvac ORDER BY seq_no) AS rn FROM analysis) GROUP BY confirmado""")
@@ -604,7 +616,10 @@ ORACLE["lump_levels"] = _sql("SELECT rec_id, lumped AS n_comorb FROM linked l LE
 ORACLE["lump_levels_weighted"] = _sql("SELECT * FROM lumped_variants")
 ORACLE["weekly_histogram"] = _sql(f"""
 SELECT {_week('dt_coleta')} AS week, {GROUP3} AS vs_type3, confirmado, COUNT(*) AS n FROM analysis
-WHERE tipo_teste = 'RT-PCR' AND dt_coleta BETWEEN DATE '1995-02-01' AND DATE '2001-06-04' GROUP BY ALL""")
+WHERE tipo_teste = 'RT-PCR' AND dt_coleta BETWEEN DATE '1995-09-01' AND DATE '2001-06-04' GROUP BY ALL""")
+ORACLE["weekly_histogram_all_tests"] = _sql(f"""
+SELECT {_week('dt_coleta')} AS week, {GROUP3} AS vs_type3, confirmado, COUNT(*) AS n FROM analysis
+WHERE dt_coleta BETWEEN DATE '1995-09-01' AND DATE '2001-06-04' GROUP BY ALL""")
 STEPS["first_pcr"] = """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id_vigvac ORDER BY seq_no) AS rn FROM analysis WHERE tipo_teste = 'RT-PCR') WHERE rn = 1"""
 ORACLE["interval_histogram"] = _sql("""
@@ -641,6 +656,9 @@ ORACLE["epidemic_series"] = _sql("\nUNION ALL ".join([
     _weekly("severe", "severe", "data_severe", f"{CASES} AND data_severe > DATE '1995-02-11' AND data_severe < DATE '2001-06-03'", "2001-06-03"),
 ]))
 ORACLE["severe_outcomes"] = _sql("SELECT * FROM severe")
+ORACLE["severe_series_all_results"] = _sql(f"""
+SELECT {_week('data_severe')} AS week, COUNT(*) AS n FROM severe
+WHERE data_severe > DATE '1995-01-11' AND dt_evoluca < DATE '2001-06-04' AND data_severe BETWEEN DATE '1995-02-01' AND DATE '2001-06-03' GROUP BY ALL""")
 ORACLE["variant_share"] = _sql("""
 SELECT periodo, regiao, variante, n, round(CAST(n AS DOUBLE) / SUM(n) OVER (PARTITION BY periodo, regiao), 6) AS share
 FROM (SELECT periodo, regiao, variante, CAST(SUM(quantidade) AS BIGINT) AS n FROM lumped_variants GROUP BY ALL)""")

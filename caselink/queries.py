@@ -509,21 +509,34 @@ def baseline_table_strata(spark, sf_dir):
 
 @query()
 def baseline_table_boosted(spark, sf_dir):
-    """Boosted persons of the two-dose course, described by case status."""
+    """Tests of boosted persons of the two-dose course, described by booster product."""
     rows = _analysis(spark, sf_dir).where(
         (F.col("tipo_teste") == C.PCR) & F.col("vs_type2").contains("CV_v3_")
     )
     return (
         rows.transform(_described)
+        .withColumn("vs_type3", exposure.booster_group())
         .transform(
             tables.baseline_table,
-            categories=["vs_type2", "idade_cat", "sexo", "macro_region"],
-            flags=["unique_id"],
-            numbers=["idade", "length", "time_2nd_3rd"],
+            by="vs_type3",
+            by_values=exposure.BOOSTER_GROUPS,
+            categories=[
+                "idade_cat", "sexo", "raca", "tipo_teste", "macro_region", "n_comorb", "prev_infected",
+                "hosp_event", "death_event", "outcome", "confirmado",
+            ],
+            flags=tables.TABLE_FLAGS,
+            numbers=["idade", "length"],
         )
     )
 
 
+@query()
+def cv_time_table(spark, sf_dir):
+    """Course and time since dose against case status, with overall."""
+    rows = _analysis(spark, sf_dir).where(F.col("tipo_teste") == C.PCR).transform(exposure.product_groups)
+    return rows.transform(tables.baseline_table, categories=["cv_time"], flags=[], numbers=[])
+
+
 @query()
 def unique_persons(spark, sf_dir):
     return _analysis(spark, sf_dir).transform(tables.unique_persons, "confirmado")
@@ -547,10 +560,16 @@ def lump_levels_weighted(spark, sf_dir):
 def weekly_histogram(spark, sf_dir):
     rows = _analysis(spark, sf_dir).where(F.col("tipo_teste") == C.PCR).transform(exposure.product_groups)
     return rows.transform(
-        S.weekly_histogram, "dt_coleta", ["vs_type3", "confirmado"], CFG.axis_start, CFG.axis_end
+        S.case_control_histogram, CFG
     )
 
 
+@query()
+def weekly_histogram_all_tests(spark, sf_dir):
+    """The case-control histogram over all test types."""
+    return _analysis(spark, sf_dir).transform(exposure.product_groups).transform(S.case_control_histogram, CFG)
+
+
 @query()
 def interval_histogram(spark, sf_dir):
     return _analysis(spark, sf_dir).transform(S.interval_histogram)
@@ -606,6 +625,12 @@ def severe_outcomes(spark, sf_dir):
     return _lab(spark, sf_dir).transform(S.severe_outcomes, CFG)
 
 
+@query()
+def severe_series_all_results(spark, sf_dir):
+    """Weekly severe outcomes of cases and controls."""
+    return _lab(spark, sf_dir).transform(S.severe_series, CFG)
+
+
 @query()
 def variant_share(spark, sf_dir):
     return _variants(spark, sf_dir).transform(S.variant_share)

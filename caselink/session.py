@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,28 +36,34 @@ def build_session(app: str = "caselink", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    A scratch folder is made only for a local master, where driver and executors are one process.
+    There is no other choice: without the setting (or a checkpoint folder set on the context) this
+    raises, also on a local master.
     """
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        path = tempfile.mkdtemp(prefix="caselink-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if not context.getCheckpointDir():
         context.setCheckpointDir(path)
     return path
 
 
+def _savepoints(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/savepoints/{spark.sparkContext.applicationId}"
+
+
 def savepoint(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
-    """Write ``df`` as parquet in the shared folder and return a frame that reads it back."""
+    """Write ``df`` as parquet in the shared folder and return a frame that reads it back.
+
+    Savepoints lie under the application's own folder and stay until ``release``.
+    """
     spark = df.sparkSession
-    path = f"{root or shared_dir(spark)}/savepoints/{uuid.uuid4().hex}/{name}"
+    path = f"{root or _savepoints(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small, often re-read frame with a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def release(spark: SparkSession) -> None:
+    """Delete all savepoints of this application; frames that read them are of no use afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_savepoints(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

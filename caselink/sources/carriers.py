@@ -35,6 +35,8 @@ CARRIER_STUDY = StudyConfig(
     severe_floor=date(1995, 2, 11),
     axis_start=date(1995, 2, 1),
     axis_end=date(2001, 6, 4),
+    case_control_start=date(1995, 9, 1),
+    case_control_end=date(2001, 6, 4),
 )
 
 LAB = """
@@ -67,7 +69,7 @@ VACC = """
 WITH doses AS (
   SELECT DISTINCT o_custkey AS id, CAST(l_shipdate AS DATE) AS dt
   FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
-  WHERE l_returnflag = 'R' AND o_custkey % 5 <> 3),
+  WHERE o_custkey % 5 <> 3),
 ranked AS (SELECT id, dt, row_number() OVER (PARTITION BY id ORDER BY dt) AS k FROM doses),
 wide AS (
   SELECT id, MAX(CASE WHEN k = 1 THEN dt END) AS d1,
@@ -99,8 +101,7 @@ def _slots(count: int) -> str:
     return ",\n  ".join(columns)
 
 
-# Only the first five records of a person have a slot; the rank limit lets Spark
-# drop the rest before the shuffle.
+# A row has five slots. A person's records fill as many rows as they need, in order of time.
 REGISTRY_WIDE = f"""
 WITH base AS (
   SELECT o_custkey AS id, CAST(o_orderdate AS DATE) AS dt, o_orderkey AS k0,
@@ -109,7 +110,8 @@ WITH base AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dt, k0) AS k FROM base)
 SELECT id AS id_vigvac,
   {_slots(5)}
-FROM r WHERE k <= 5 GROUP BY id
+FROM (SELECT id, dt, k0, res, FLOOR((k - 1) / 5) AS block, k - 5 * FLOOR((k - 1) / 5) AS k FROM r)
+GROUP BY id, block
 """
 
 SG_RAW = """
@@ -154,7 +156,7 @@ SELECT o_orderkey AS rec_id, o_custkey AS id_vigvac, CAST(o_orderdate AS DATE) A
   CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 - 20 AS INT) END AS srag_dt_interna,
   CAST(1 + o_orderkey % 3 AS VARCHAR(1)) AS srag_evolucao,
   CAST(o_orderdate AS DATE) + CAST(o_orderkey % 110 - 5 AS INT) AS srag_dt_evoluca
-FROM {orders} WHERE o_orderkey % 5 < 2
+FROM {orders}
 """
 
 MUN_REGION = """

@@ -10,6 +10,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 from caselink import build_session  # noqa: E402
+from caselink.session import release  # noqa: E402
 
 LAB_SCHEMA = (
     "rec_id bigint, id_vigvac bigint, dt_notificacao date, dt_coleta date, dt_inicio_sintomas date, "
@@ -43,6 +44,7 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 

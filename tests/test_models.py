@@ -240,3 +240,16 @@ def test_penalty_is_the_integrated_squared_second_derivative():
     step = 1 / (len(values) - 1)
     second = np.diff(curve, 2) / step**2
     assert coefficients @ spline.penalty @ coefficients == pytest.approx(np.sum(second**2) * step, rel=0.02)
+
+
+def test_a_fit_that_runs_out_of_steps_raises(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from caselink.models.penalised import NotConverged, penalised_terms
+
+    rows = [([1.0, float(i % 2)], 0.25 + 0.5 * (i % 2), 10.0) for i in range(20)]
+    design = spark.createDataFrame(rows, "x array<double>, rate double, n double").withColumn("n", F.col("n"))
+    with pytest.raises(NotConverged):
+        penalised_terms(design, ["(Intercept)", "treated"], [], max_steps=1)
+    assert all(t[3] for t in penalised_terms(design, ["(Intercept)", "treated"], []))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import duckdb
@@ -163,3 +164,78 @@ def test_imputed_dates(lab):
         .collect()
     )
     assert [(r["dt_coleta"], r["dt_inicio_sintomas"]) for r in rows] == [(day(4), day(4)), (None, None)]
+
+
+def _split_joins(df) -> int:
+    """Skewed joins in the plan that ran."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().count("skew=true")
+
+
+@pytest.mark.parametrize("step", [persons.attach_first_positive, persons.person_features])
+def test_a_hot_person_is_split_over_join_tasks(spark, lab, tmp_path, step):
+    records = [
+        {"id_vigvac": 1 if i % 3 else i, "dt_coleta": i % 300, "confirmado": C.CASE if i % 5 else C.CONTROL}
+        for i in range(3000)
+    ]
+    lab(records).repartition(8).write.parquet(str(tmp_path / "lab"))
+    tests = spark.read.parquet(str(tmp_path / "lab"))
+    lowered = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for key, value in lowered.items():
+        spark.conf.set(key, value)
+    try:
+        joined = tests.transform(step)
+        assert _split_joins(joined) > 0
+        assert joined.count() == len(records)
+    finally:
+        for key in lowered:
+            spark.conf.unset(key)
+
+
+def test_epidemic_series_reads_the_notifications_twice(spark, lab, tmp_path):
+    lab([{"rec_id": i, "dt_interna_dt": i % 5} for i in range(50)]).write.parquet(str(tmp_path / "lab"))
+    tests = spark.read.parquet(str(tmp_path / "lab"))
+    text = plan(series.epidemic_series(tests, CFG))
+    # The events have been read once and written; what is left reads the table for infections only.
+    scans = [line for line in text.splitlines() if "FileScan" in line]
+    assert sum("dt_notificacao" in line for line in scans) == 1
+    assert sum("admitted" in line or "ended" in line for line in scans) == len(scans) - 1
+
+
+def test_savepoints_need_a_shared_folder(spark, monkeypatch):
+    from caselink import session
+
+    class Context:
+        master = "local[2]"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+
+
+def test_savepoints_are_released(spark):
+    from caselink import session
+
+    kept = session.savepoint(spark.range(3), "three")
+    assert kept.count() == 3
+    path = kept.inputFiles()[0].removeprefix("file://")
+    folder = path.split("/savepoints/")[0] + "/savepoints/" + spark.sparkContext.applicationId
+    assert os.path.isdir(folder) and path.startswith(folder)
