@@ -170,8 +170,9 @@ def compare(
 def meet(packed: DataFrame, judge: Callable[..., Iterator[pa.RecordBatch]] = compare, schema: str = FOUND) -> DataFrame:
     """Deal packed rows by bucket and run ``judge`` once per partition.
 
-    A partition holds its distinct pairs in memory, about 30 bytes each: the number of shuffle
-    partitions sets that size, as for any Spark aggregation.
+    Buckets are partitions: a load makes one row for each that it has entries for. A partition holds
+    its distinct pairs in memory, about 30 bytes each: the number of shuffle partitions sets that
+    size, as for any Spark aggregation.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +182,7 @@ def meet(packed: DataFrame, judge: Callable[..., Iterator[pa.RecordBatch]] = com
             held.clear()
             yield from judge(*columns)
 
-    return packed.repartition(partitions(packed), "bucket").mapInArrow(run, schema)
+    return packed.repartitionById(partitions(packed), "bucket").mapInArrow(run, schema)
 
 
 def gather(places: DataFrame, name: str) -> DataFrame:

@@ -127,18 +127,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(b" ".join([words[i] for i in np.flatnonzero(stay)]))
         yield pa.RecordBatch.from_arrays(
             [
+                batch.column(0),
                 pa.array(n_words, pa.int64()),
                 pa.array(n_removed, pa.int64()),
                 pa.array(kept, pa.binary()).cast(pa.string()),
                 batch.column(2),
             ],
-            names=["n_words", "n_removed", "kept_text", "row"],
+            names=["text", "n_words", "n_removed", "kept_text", "row"],
         )
 
 
 def repeated_passages(keyed: DataFrame) -> DataFrame:
     """``key, code`` of all repeated windows of ``keyed(key, text)``: 4 * word + kind."""
-    n_buckets = 8 * partitions(keyed)
+    n_buckets = partitions(keyed)
     packed = keyed.select("key", "text").mapInArrow(_anchors(n_buckets), PACKED)
     places = savepoint(meet(packed), "anchor_places")
     opened = gather(places.where(F.col("kind") == OPEN).select("key", F.col("spot").alias("code")), "spots")
@@ -157,7 +158,7 @@ def repeated_passages(keyed: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` but the text in ``row``, with ``n_words, n_removed, kept_text``.
+    """``text, n_words, n_removed, kept_text, row`` per document; ``row`` holds its other columns.
 
     ``kept_text`` holds the words that stay, joined by one space.
     """
@@ -165,4 +166,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = gather(repeated_passages(keyed), "codes")
     joined = keyed.join(marks, "key", "left").select("text", "codes", "row")
     row = keyed.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(_cut, f"n_words bigint, n_removed bigint, kept_text string, row {row}")
+    return joined.mapInArrow(
+        _cut, f"text string, n_words bigint, n_removed bigint, kept_text string, row {row}"
+    )
