@@ -105,7 +105,7 @@ def _repeated_windows(hashes: Column, n: Column) -> Column:
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document the counts that the rules bound; only the two named columns are read."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    trimmed = F.expr(r"trim(BOTH ' \t\n\u000B\f\r' FROM coalesce(text, ''))")
+    trimmed = F.btrim(text, F.lit(SPACES))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(
         F.split(trimmed, "[\\x20\\x09-\\x0D]+")
     )
