@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselink import config as C
-from caselink.models.penalised import penalised_terms
+from caselink.models.penalised import NotConverged, penalised_terms
 from caselink.models.splines import Spline, natural_spline
 from caselink.operators.cohorts import COHORT_COLUMNS, with_age_groups
 from caselink.session import savepoint
@@ -139,7 +139,8 @@ def fit_logit(
     """Tidy parametric terms of a binomial logit model: estimate and standard error.
 
     The smooths' roughness is chosen by restricted maximum likelihood; ``penalised=False`` fits them
-    freely with the library's own generalised linear model. Terms that are not estimable have nulls.
+    freely with the library's own generalised linear model. Terms that are not estimable have nulls, as
+    have all terms of a fit that has not converged.
     If the reference level of a ``required`` factor is not estimable in these data, neither is any
     of its contrasts, and all estimates are null.
     """
@@ -172,6 +173,9 @@ def fit_logit(
             rows += penalised_terms(design, names, list(splines.values()))
         else:
             rows += free_terms(design, names)
+    except NotConverged:
+        # One unfinished fit of many is no reason to lose the others, nor to publish its numbers.
+        rows += [(name, None, None, False) for name in names]
     finally:
         design.unpersist()
     return spark.createDataFrame(rows, TERM_SCHEMA)

@@ -1,20 +1,18 @@
 """Penalised logistic fit from distributed cross-products.
 
 Each iteration is one Spark job: score every pattern under the current coefficients and sum the
-weighted cross-products of its columns and working response. The driver only ever holds matrices
-whose size is the number of model terms.
+weighted cross-products of its columns and working response, with array arithmetic over the Arrow
+batches of a task. The driver only ever holds matrices whose size is the number of model terms.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from caselink.models.splines import Spline
 
@@ -28,31 +26,57 @@ class NotConverged(RuntimeError):
     """A fit that used up its iterations; its numbers would not be estimates."""
 
 
-def _score(coefficients: np.ndarray) -> Column:
-    """Linear predictor, kept in the range where probabilities stay off 0 and 1."""
-    weights = F.lit([float(c) for c in coefficients])
-    products = F.zip_with("x", weights, lambda a, b: a * b)
-    total = F.aggregate(products, F.lit(0.0), lambda sum_, value: sum_ + value)
-    return F.greatest(F.least(total, F.lit(30.0)), F.lit(-30.0))
+def _partial_products(coefficients: np.ndarray):
+    """Cross-products of one task's patterns under the given coefficients, as one row."""
+    size = len(coefficients)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, deviance = np.zeros((size + 1, size + 1)), 0.0
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            rate, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            # Kept in the range where probabilities stay off 0 and 1.
+            eta = np.clip(x @ coefficients, -30.0, 30.0)
+            p = 1.0 / (1.0 + np.exp(-eta))
+            spread = p * (1.0 - p)
+            columns = np.column_stack([x, eta + (rate - p) / spread])
+            total += (columns * (n * spread)[:, None]).T @ columns
+            deviance -= 2.0 * float(n @ (rate * np.log(p) + (1.0 - rate) * np.log1p(-p)))
+        yield _product_row(total, deviance)
 
-def cross_products(design: DataFrame, coefficients: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weighted cross-products of the columns and, last, the working response; and the deviance."""
-    p = F.col("p")
-    scored = design.withColumn("eta", _score(coefficients)).withColumn("p", 1 / (1 + F.exp(-F.col("eta"))))
-    working = F.col("eta") + (F.col("rate") - p) / (p * (1 - p))
-    loss = -2 * F.col("n") * (F.col("rate") * F.log(p) + (1 - F.col("rate")) * F.log(1 - p))
-    # The root of each pattern's loss rides along as one more column, so its square sums to the
-    # deviance in the same pass.
-    weighted = scored.select(
-        F.concat("x", F.array(working)).alias("row"),
-        F.sqrt(F.col("n") * p * (1 - p)).alias("root"),
-        F.sqrt(loss).alias("loss"),
+    return run
+
+
+def _product_row(total: np.ndarray, deviance: float) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([total.tobytes()], pa.binary()), pa.array([deviance])], names=["product", "deviance"]
     )
-    scaled = F.concat(F.transform("row", lambda value: value * F.col("root")), F.array("loss"))
-    rows = MLUtils.convertVectorColumnsFromML(weighted.select(array_to_vector(scaled).alias("row")), "row")
-    matrix = RowMatrix(rows, numCols=len(coefficients) + 2).computeGramianMatrix().toArray()
-    return matrix[:-1, :-1], float(matrix[-1, -1])
+
+
+def _add_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, deviance = None, 0.0
+    for batch in batches:
+        for product, part in zip(batch.column(0), batch.column(1)):
+            matrix = np.frombuffer(product.as_buffer())
+            total = matrix.copy() if total is None else total + matrix
+            deviance += part.as_py()
+    if total is not None:
+        yield _product_row(total, deviance)
+
+
+def cross_products(design: DataFrame, coefficients: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weighted cross-products of the columns and, last, the working response; and the deviance.
+
+    Every task sums its own patterns; the sums are added up in groups of about the root of their
+    number before they reach the driver.
+    """
+    size = len(coefficients) + 1
+    schema = "product binary, deviance double"
+    parts = design.select("x", "rate", "n").mapInArrow(_partial_products(coefficients), schema)
+    groups = max(1, math.isqrt(parts.rdd.getNumPartitions()))
+    rows = parts.repartition(groups).mapInArrow(_add_products, schema).collect()
+    total = sum((np.frombuffer(r.product) for r in rows), np.zeros(size * size))
+    return total.reshape(size, size), float(sum(r.deviance for r in rows))
 
 
 def independent_columns(product: np.ndarray) -> np.ndarray:
@@ -79,24 +103,27 @@ def independent_columns(product: np.ndarray) -> np.ndarray:
 def _solve(
     product: np.ndarray, response: np.ndarray, penalties: list[np.ndarray], ranks: list[int], strength: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coefficients, covariance and penalty strengths at the REML optimum of the working model.
+    """Coefficients, covariance and penalty strengths towards the REML optimum of the working model.
 
-    Fellner-Schall updates: each raises the restricted likelihood and keeps strengths positive.
+    Fellner-Schall updates: each raises the restricted likelihood and keeps strengths positive. A
+    smooth that is a straight line has no finite optimum and its strength drifts on without an
+    effect, so whether a fit has ended is told from its coefficients.
     """
     for _ in range(MAX_STRENGTH_STEPS):
         total = product + sum(s * p for s, p in zip(strength, penalties))
         covariance = np.linalg.inv(total)
         coefficients = covariance @ response
+        taken = np.array([s * np.sum(covariance * p) for s, p in zip(strength, penalties)])
         updated = np.array(
             [
-                np.clip((rank - s * np.sum(covariance * p)) / max(coefficients @ p @ coefficients, 1e-12), 1e-8, 1e10)
-                for s, p, rank in zip(strength, penalties, ranks)
+                np.clip((rank - t) / max(coefficients @ p @ coefficients, 1e-12), 1e-8, 1e10)
+                for t, p, rank in zip(taken, penalties, ranks)
             ]
-        )
+        )
         if not len(strength) or np.max(np.abs(np.log(updated / strength))) < 1e-6:
-            return coefficients, covariance, strength
+            break
         strength = updated
-    raise NotConverged(f"penalty strengths after {MAX_STRENGTH_STEPS} steps")
+    return coefficients, covariance, strength
 
 
 def penalised_terms(
@@ -104,7 +131,8 @@ def penalised_terms(
 ) -> list[tuple]:
     """(term, estimate, standard error, converged) of the parametric terms.
 
-    Raises ``NotConverged`` if the penalised deviance still moves after ``max_steps`` iterations.
+    Raises ``NotConverged`` if the penalised deviance or a coefficient still moves after ``max_steps``
+    iterations.
 
     ``design`` has the columns ``x`` (parametric columns, then those of each spline), ``rate`` and
     ``n``. Standard errors come from the covariance that counts the penalty as prior information.
@@ -131,16 +159,17 @@ def penalised_terms(
             s * coefficients @ penalties[i] @ coefficients for i, s in zip(used, strength)
         )
         block = np.ix_(kept, kept)
-        coefficients = np.zeros(size)
+        last, coefficients = coefficients, np.zeros(size)
         coefficients[kept], covariance, strength = _solve(
             product[block], product[kept, size], [penalties[i][block] for i in used], ranks, strength
         )
-        converged = bool(abs(previous - objective) < TOLERANCE * (abs(objective) + 0.1))
+        moved = np.max(np.abs(coefficients - last) / (1 + np.abs(last)), initial=0.0)
+        converged = bool(abs(previous - objective) < TOLERANCE * (abs(objective) + 0.1) and moved < 1e-6)
         if converged:
             break
         previous = objective
     if not converged:
-        raise NotConverged(f"penalised deviance after {max_steps} steps")
+        raise NotConverged(f"penalised deviance or coefficients after {max_steps} steps")
     errors = dict(zip(kept.tolist(), np.sqrt(np.diag(covariance))))
     return [
         (name, float(coefficients[i]), float(errors[i]), converged)

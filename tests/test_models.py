@@ -253,3 +253,12 @@ def test_a_fit_that_runs_out_of_steps_raises(spark):
     with pytest.raises(NotConverged):
         penalised_terms(design, ["(Intercept)", "treated"], [], max_steps=1)
     assert all(t[3] for t in penalised_terms(design, ["(Intercept)", "treated"], []))
+
+
+def test_an_unfinished_fit_publishes_no_numbers(spark, rows, monkeypatch):
+    from caselink.models import fit
+    from caselink.models.penalised import penalised_terms
+
+    monkeypatch.setattr(fit, "penalised_terms", lambda *a: penalised_terms(*a, max_steps=1))
+    got = fit_logit(spark.createDataFrame(rows, FRAME), ["vs_type2", "sexo"], smooths=[]).collect()
+    assert got and all(r["estimate"] is None and not r["converged"] for r in got)
