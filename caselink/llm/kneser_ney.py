@@ -386,7 +386,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     ``trusted(doc_id)`` names the documents to learn from.
     """
     spark = docs.sparkSession
-    n_shards = 4 * partitions(docs)
+    n_shards = partitions(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     packs = savepoint(
         docs.select("doc_id", "text", F.col("lang").cast("string"), F.xxhash64("doc_id", "text").alias("row")).mapInArrow(
