@@ -6,7 +6,8 @@ seeds, whose size is a constant, and keep the passages that hold a hit. Hits joi
 hash, which names the (passage, item) candidates. Each is scored by local alignment of words, so that
 inserted, dropped and replaced words cost a little and do not hide a copy.
 
-A document is contaminated by an item if the best local alignment reaches ``SHARE`` of the item's
+Items of more than ``ITEM_WORDS`` words are cut into parts, each of which counts like an item of its
+own, so that an alignment never grows with the length of an item. A document is contaminated by an item if the best local alignment reaches ``SHARE`` of the item's
 perfect score, and is not by mere chance (``LEAST`` words' worth, or all of a shorter item). Words
 are runs of letters, digits and non-ASCII bytes, lower-cased. Null or wordless texts and items match
 nothing; items of fewer than ``SEED`` words hold no seed and match nothing; repeated rows and items
@@ -35,6 +36,8 @@ LEAST = 7
 #: A seed is rare in this many items at most; an item needs this many rare seeds to do without others.
 RARE_ITEMS, RARE_SEEDS = 2, 8
 STRIDE = 192
+#: Longer items are matched by parts of about this many words.
+ITEM_WORDS = 512
 ROOM = 1 << 21
 
 _APART = np.ones(256, bool)
@@ -60,31 +63,41 @@ def _short(words: np.ndarray) -> np.ndarray:
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        item, words32, seeds = [], [], []
+        item, part_no, words32, seeds = [], [], [], []
         keys = batch.column(0).to_pylist()
         for part in slices(batch.column(1)):
             words, first = _words(part)
             grams = Rolling(words)
-            for row, lo, hi in zip(part.rows, first[:-1], first[1:]):
-                item.append(keys[row])
-                words32.append(_short(words[lo:hi]).tobytes())
-                at = np.arange(lo, max(lo, hi - SEED + 1))
-                seeds.append(np.unique(grams(at, at + SEED)).view(np.int64))
+            for row, begin, end in zip(part.rows, first[:-1], first[1:]):
+                cuts = np.linspace(begin, end, 1 + max(1, round((end - begin) / ITEM_WORDS))).astype(np.int64)
+                for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
+                    item.append(keys[row])
+                    part_no.append(k)
+                    words32.append(_short(words[lo:hi]).tobytes())
+                    at = np.arange(lo, max(lo, hi - SEED + 1))
+                    seeds.append(np.unique(grams(at, at + SEED)).view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(item, pa.int64()), pa.array(words32, pa.binary()), pa.array(seeds, pa.list_(pa.int64()))],
-            names=["item", "item_words", "seeds"],
+            [
+                pa.array(item, pa.int64()),
+                pa.array(part_no, pa.int32()),
+                pa.array(words32, pa.binary()),
+                pa.array(seeds, pa.list_(pa.int64())),
+            ],
+            names=["item", "part", "item_words", "seeds"],
         )
 
 
 def seed_table(items: DataFrame) -> DataFrame:
-    """``seed, item``: rare seeds of every item, and all seeds of items with few rare ones."""
-    pairs = items.select("item", F.explode("seeds").alias("seed"))
+    """``seed, item, part``: rare seeds of every item, and all seeds of items with few rare ones."""
+    pairs = items.select("item", "part", F.explode("seeds").alias("seed"))
     spread = pairs.groupBy("seed").agg(F.count("*").alias("n_items"))
-    by_item = Window.partitionBy("item")
+    by_item = Window.partitionBy("item", "part")
     ranked = pairs.join(spread, "seed").withColumn(
         "rare", F.sum((F.col("n_items") <= RARE_ITEMS).cast("int")).over(by_item)
     )
-    return ranked.where((F.col("n_items") <= RARE_ITEMS) | (F.col("rare") < RARE_SEEDS)).select("seed", "item")
+    return ranked.where((F.col("n_items") <= RARE_ITEMS) | (F.col("rare") < RARE_SEEDS)).select(
+        "seed", "item", "part"
+    )
 
 
 def _bloom(seeds: DataFrame) -> np.ndarray:
@@ -217,7 +230,7 @@ def contaminations(
     items = savepoint(
         with_key(benchmark.select(item_col, text_col), item_col, text_col)
         .select("key", "text")
-        .mapInArrow(_items, "item bigint, item_words binary, seeds array<bigint>"),
+        .mapInArrow(_items, "item bigint, part int, item_words binary, seeds array<bigint>"),
         "items",
     )
     seeds = savepoint(seed_table(items), "seeds")
@@ -233,13 +246,13 @@ def contaminations(
     pairs = (
         passages.select("key", "place", F.explode("seeds").alias("seed"))
         .join(seeds, "seed")
-        .select("key", "place", "item")
+        .select("key", "place", "item", "part")
         .distinct()
     )
     pairs = savepoint(pairs, "candidates")
     aligned = (
         pairs.join(passages.select("key", "place", "words").distinct(), ["key", "place"])
-        .join(items.select("item", "item_words"), "item")
+        .join(items.select("item", "part", "item_words").dropDuplicates(["item", "part"]), ["item", "part"])
         .select("key", "place", "item", "item_words", "words")
         .mapInArrow(_align, "key bigint, place bigint, item bigint, score bigint, item_words bigint")
     )

@@ -347,3 +347,12 @@ def test_copies_edits_and_clean_documents(spark, docs, odd):
     assert decontam.contaminations(table.limit(0), benchmark).count() == 0
     assert decontam.contaminations(table, benchmark.limit(0)).count() == 0
     assert decontam.clean_rows(table, benchmark.limit(0)).count() == len(rows)
+
+
+def test_a_long_item_is_matched_by_parts(spark, docs):
+    words = [f"v{k}" for k in range(1500)]
+    benchmark = spark.createDataFrame([(1, " ".join(words)), (2, "q w e r t y u i o p")], "item_id bigint, text string")
+    inside = " ".join(["x"] * 50 + words[400:1000] + ["y"] * 50)
+    rows = [(10, inside), (11, " ".join(words[:60])), (12, " ".join(f"n{k}" for k in range(500)))]
+    got = decontam.contaminations(docs(rows), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(10, 1)}
