@@ -480,6 +480,7 @@ FROM families f JOIN family_rank r ON f.family = r.family"""
 ORACLE["scan_registry"] = """
 SELECT o_orderkey AS rec_id, o_custkey AS id_vigvac, CAST(o_orderdate AS DATE) AS dt_notificacao FROM orders WHERE o_orderstatus = 'F'"""
 ORACLE["savepoint_roundtrip"] = _sql("SELECT rec_id, id_vigvac, dt_coleta, dt_inicio_sintomas, confirmado FROM imputed")
+ORACLE["part_files"] = _sql("SELECT rec_id, dt_coleta, confirmado FROM lab")
 ORACLE["tagged_union"] = _sql(
     "SELECT cohort AS id, vs_type2, cases, controls FROM cc_counts WHERE cohort IN ('Infection', 'Severe', 'Hosp', 'Death')"
 )

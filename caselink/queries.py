@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import types as T
 
 from caselink import config as C
 from caselink import models
-from caselink.functions import age_band, clean_names, rounded
+from caselink.functions import age_band, rounded
 from caselink.operators import classify, cohorts, exposure, persons, records, regions, reshape
 from caselink.operators import levels as L
 from caselink.operators import series as S
@@ -19,8 +18,15 @@ from caselink.operators import tables
 from caselink.operators import window_rules as W
 from caselink.plans import cohort as P
 from caselink.plans import ledger
-from caselink.session import savepoint, shared_dir, tune
-from caselink.sources import CARRIER_STUDY, carrier, read_parquet, read_tagged
+from caselink.session import savepoint, scratch_folder, tune
+from caselink.sources import (
+    CARRIER_STUDY,
+    carrier,
+    read_lookup,
+    read_parquet,
+    read_tagged,
+    read_wide_table,
+)
 
 CFG = CARRIER_STUDY
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,11 +120,21 @@ def savepoint_roundtrip(spark, sf_dir):
     )
 
 
+@query()
+def part_files(spark, sf_dir):
+    """All part files of a table, out of a folder that holds other files too."""
+    root = scratch_folder(spark, "parts")
+    rows = _lab(spark, sf_dir).select("rec_id", "dt_coleta", "confirmado")
+    rows.repartition(4, "rec_id").write.parquet(root)
+    rows.where("false").coalesce(1).write.mode("append").option("header", True).csv(root)
+    return read_parquet(spark, root, part_glob="part-*.parquet", schema=rows.schema)
+
+
 @query()
 def tagged_union(spark, sf_dir):
     """Result sheets in one folder, read as one table tagged with the sheet name."""
     counts = savepoint(_analysis(spark, sf_dir).transform(tables.case_control_counts), "counts")
-    root = f"{shared_dir(spark)}/sheets/{uuid.uuid4().hex}"
+    root = scratch_folder(spark, "sheets")
     for name in models.effectiveness.OUTCOMES:
         sheet = counts.where(F.col("cohort") == name).drop("cohort")
         sheet.write.parquet(f"{root}/{name}.parquet")
@@ -132,13 +148,21 @@ def clean_column_names(spark, sf_dir):
         {"periodo": "Período", "regiao": "Região ", "variante": "VARIANTE", "classificacao": "Classificação",
          "quantidade": "Quantidade (n)"}
     )
-    return clean_names(raw)
+    path = scratch_folder(spark, "surveillance")
+    raw.write.csv(path, header=True, sep=";")
+    return read_wide_table(spark, path, sep=";").withColumn(
+        "quantidade_n", F.col("quantidade_n").cast("bigint")
+    )
 
 
 @query()
 def region_lookup_join(spark, sf_dir):
+    """Micro-regions from a headed CSV lookup whose codes keep their leading zeros."""
+    lookup = carrier(spark, sf_dir, "mun_region")
+    path = scratch_folder(spark, "lookup")
+    lookup.write.csv(path, header=True)
     lab = _lab(spark, sf_dir).select("rec_id", "cod_ibge")
-    return regions.region_lookup_join(lab, carrier(spark, sf_dir, "mun_region"), CFG)
+    return regions.region_lookup_join(lab, read_lookup(spark, path, lookup.schema), CFG)
 
 
 # --- projections and reshaping ----------------------------------------------------------------

@@ -63,6 +63,11 @@ def _savepoints(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/savepoints/{spark.sparkContext.applicationId}"
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files of this application, deleted with its savepoints."""
+    return f"{_savepoints(spark)}/{uuid.uuid4().hex}/{name}"
+
+
 def savepoint(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and return a frame that reads it back.
 
