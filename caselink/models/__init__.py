@@ -6,6 +6,7 @@ from caselink.models.effectiveness import (
     confounder_ladder,
     extract_ve,
     reference_change,
+    single_factor,
     ve_figure_frame,
     ve_model,
 )
@@ -19,6 +20,7 @@ __all__ = [
     "extract_ve",
     "fit_logit",
     "reference_change",
+    "single_factor",
     "ve_figure_frame",
     "ve_model",
 ]

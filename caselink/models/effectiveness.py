@@ -113,6 +113,33 @@ def by_age(
     return tagged.transform(extract_ve)
 
 
+def single_factor(
+    patterns: DataFrame, cohorts: Sequence[str] = tuple(OUTCOMES), by_age_group: bool = False
+) -> DataFrame:
+    """Log odds ratios of fits with exposure alone, per cohort and, if asked, age group.
+
+    They go through the same fit as all models, but have a closed form to be held against.
+    """
+    groups = AGE_GROUPS if by_age_group else [None]
+    fits = _fit_all(
+        {
+            f"{c}|{a or ''}": lambda c=c, a=a: fit_logit(of_cohort(patterns, c, a), ["vs_type2"], smooths=[])
+            for c in cohorts
+            for a in groups
+        }
+    )
+    contrasts = tagged_union(fits, "key").where(
+        F.col("term").startswith("vs_type2") & (F.col("term") != f"vs_type2{C.NEVER_VACCINATED}")
+    )
+    return contrasts.select(
+        F.split_part("key", F.lit("|"), F.lit(1)).alias("cohort"),
+        *([F.split_part("key", F.lit("|"), F.lit(2)).alias("idade_cat")] if by_age_group else []),
+        F.regexp_replace("term", "^vs_type2", "").alias("vs_type2"),
+        "estimate",
+        "std_error",
+    )
+
+
 def confounder_ladder(patterns: DataFrame, cohort: str = "Infection") -> DataFrame:
     """Exposure terms under four nested adjustment sets, fitted to one compressed frame."""
     frame = of_cohort(patterns, cohort)

@@ -586,6 +586,13 @@ ORACLE["crude_or"] = _sql(f"""
 SELECT cohort, vs_type2, cases, controls, ref_cases, ref_controls, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error,
   round(exp(estimate), 6) AS odds_ratio, round(exp(estimate - {Z} * std_error), 6) AS or_lower, round(exp(estimate + {Z} * std_error), 6) AS or_upper
 FROM crude""")
+FITTED = "cohort IN ('Infection', 'Severe', 'Death', 'Hosp')"
+ORACLE["ve_single_factor"] = _sql(
+    f"SELECT cohort, vs_type2, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error FROM crude WHERE {FITTED}"
+)
+ORACLE["ve_single_factor_age"] = _sql(
+    f"SELECT cohort, idade_cat, vs_type2, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error FROM crude_age WHERE {FITTED}"
+)
 CATEGORIES = [
     "sexo", "raca", "idade_cat", "tipo_teste", "macro_region", "n_comorb", "prev_infected",
     "hosp_event", "death_event", "outcome", "vs_type3",

@@ -727,6 +727,18 @@ def ve_reference_change(spark, sf_dir):
     return models.reference_change(_patterns(spark, sf_dir))
 
 
+@query()
+def ve_single_factor(spark, sf_dir):
+    """Fits with exposure alone, one per cohort."""
+    return models.single_factor(_patterns(spark, sf_dir))
+
+
+@query()
+def ve_single_factor_age(spark, sf_dir):
+    """Fits with exposure alone, one per cohort and age group."""
+    return models.single_factor(_patterns(spark, sf_dir), by_age_group=True)
+
+
 @query()
 def ve_antigen(spark, sf_dir):
     return models.by_outcome(_patterns(spark, sf_dir), ["Infection_antigen", "Severe_antigen"])
