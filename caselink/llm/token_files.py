@@ -44,6 +44,26 @@ _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
 
 
+def _may_touch(piece: bytes) -> bool:
+    """Whether a piece may stand between others of its kind without a change of its ids."""
+    return (
+        len(piece) > 2
+        and piece[0] == 32
+        and (0x21 <= piece[1] <= 0x7E or piece[1] == 0xC3)
+        and (0x21 <= piece[-1] <= 0x7E or (piece[-2] == 0xC3 and piece[-1] >= 0x80))
+    )
+
+
+#: One encoder per worker process and file, so that later tasks know the pieces of earlier ones.
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder_of(path: str) -> PieceEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
+
+
 class PieceEncoder:
     """Encodes slices of documents with a tokenizers file, every distinct piece once."""
 
@@ -54,6 +74,10 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        # A byte-level token has one character for each of its bytes.
+        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes_of[i] = len(token)
         self._clear()
 
     def _clear(self) -> None:
@@ -62,16 +86,23 @@ class PieceEncoder:
         self.ends = np.zeros(1, np.int64)
 
     def _learn(self, pieces: list[bytes]) -> None:
-        new = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
-        sizes = np.array([len(x) for x in new], np.int64)
-        flat = np.fromiter((i for x in new for i in x), np.uint32, int(sizes.sum()))
+        """Encode new pieces: those that may be cut from their neighbours, many to a text."""
+        loose = [p for p in pieces if not _may_touch(p)]
+        touching = [p for p in pieces if _may_touch(p)]
+        texts = [p.decode() for p in loose]
+        texts += [b"".join(touching[k : k + 256]).decode() for k in range(0, len(touching), 256)]
+        new = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter((i for x in new for i in x), np.uint32, sum(map(len, new)))
+        pieces = loose + touching
+        after = np.cumsum(self.bytes_of[flat])
+        ends = np.searchsorted(after, np.cumsum([len(p) for p in pieces])) + 1
         used = int(self.ends[-1])
         while used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[used : used + len(flat)] = flat
         base = len(self.known)
         self.known.update(zip(pieces, range(base, base + len(pieces))))
-        self.ends = np.concatenate([self.ends, used + np.cumsum(sizes)])
+        self.ends = np.concatenate([self.ends, used + ends])
 
     def encode(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice and the number of ids of each document."""
@@ -86,7 +117,7 @@ class PieceEncoder:
             (buf[1:-1] == 32) & (_VISIBLE[buf[:-2]] | letter[:-2]) & (_VISIBLE[buf[2:]] | (buf[2:] == 0xC3))
         )
         cut[offsets] = True
-        edges = np.flatnonzero(cut)
+        edges = np.flatnonzero(cut)  # documents of no bytes share an edge
         starts, ends = edges[:-1], edges[1:]
         code, _ = pd.factorize(Rolling(buf)(starts, ends))
         first = np.zeros(code.max() + 1, np.int64)
@@ -117,7 +148,7 @@ def _writer(path: str, end_id: int, block_ids: int):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = PieceEncoder(path)
+        encoder = encoder_of(path)
         kind = np.dtype(f"<u{encoder.width}")
         if end_id >= 1 << (8 * encoder.width):
             raise ValueError("the end id does not fit the id width")
