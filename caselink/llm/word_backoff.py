@@ -4,9 +4,9 @@ A model holds, for each language, the log frequencies of words, and of character
 for n from ``LONGEST`` down to 1. A word of the model is scored by its word frequencies. An unseen
 word is cut into n-grams of the greatest length of which the model knows one, and scored by their mean
 log frequencies; if it knows none of a length, shorter ones are tried. Counts are summed over all
-training documents; the model then keeps the ``WORDS`` commonest words and ``GRAMS`` commonest n-grams
-of each length, which bounds what is sent to the tasks. The rest are unseen words to it, which is
-what the backoff is for.
+training documents; the model then keeps the commonest words and n-grams of each length, all of a frequency
+class or none, as many classes as fit into ``WORDS`` and ``GRAMS``. That bounds what is sent to the
+tasks. The rest are unseen words to it, which is what the backoff is for.
 
 A document's language is the one of the greatest summed score; ``score`` is its posterior share for
 equal priors, from 0 to 1. Ties go to the first language by name. A null text, or one without a letter,
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from caselink.session import savepoint
 
 LONGEST = 5
-WORDS = 60_000
-GRAMS = 30_000
+WORDS = 100_000
+GRAMS = 40_000
 #: Words whose scores a task remembers.
 CACHE = 200_000
 FLUSH = 150_000
@@ -81,28 +81,47 @@ class Model:
 
     def __init__(self, langs: list[str], words: dict[str, int], grams: list[dict[str, int]], scores: np.ndarray):
         self.langs, self.words, self.grams, self.scores = langs, words, grams, scores
+        self.rows: list[tuple[float, ...]] = []
 
-    def unseen(self, word: str) -> np.ndarray:
+    def unseen(self, word: str) -> list[float]:
+        if not self.rows:
+            # Plain numbers: the sums are of a few rows, too short for array calls.
+            self.rows = list(map(tuple, self.scores.tolist()))
         padded = f"\x02{word}\x03"
-        for n in range(min(LONGEST, len(padded)), 0, -1):
-            known = self.grams[n - 1]
-            rows = [known[g] for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g in known]
-            if rows:
-                return self.scores[rows].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
-
-    def word(self, word: str) -> np.ndarray:
+        length = len(padded)
+        for n in range(min(LONGEST, length), 0, -1):
+            get = self.grams[n - 1].get
+            found = [r for r in [get(padded[i : i + n]) for i in range(length - n + 1)] if r is not None]
+            if found:
+                share = 1.0 / len(found)
+                return [sum(column) * share for column in zip(*[self.rows[r] for r in found])]
+        return [0.0] * len(self.langs)
+
+    def word(self, word: str) -> np.ndarray | list[float]:
         row = self.words.get(word)
         return self.unseen(word) if row is None else self.scores[row]
 
 
 def _commonest(table: DataFrame, unit: str, most: int, langs: list[str]) -> tuple[list[str], np.ndarray]:
-    """The commonest units over all languages, and their counts by language."""
+    """The commonest units over all languages, and their counts by language.
+
+    Units are classed by the logarithm of their count. The sizes of the classes, at most about a
+    thousand numbers, tell which classes fit; no task or driver ranks more than it keeps.
+    """
     wide = table.groupBy(unit).agg(
         F.sum("n").alias("total"),
         *[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)],
     )
-    rows = wide.orderBy(F.desc("total"), unit).limit(most).collect()
+    wide = savepoint(wide.withColumn("class", F.floor(F.log2("total") * 16).cast("int")), f"{unit}_counts")
+    sizes = sorted(wide.groupBy("class").count().collect(), reverse=True)
+    least, kept = None, 0
+    for row in sizes:
+        kept += row["count"]
+        if kept > most:
+            break
+        least = row["class"]
+    rows = wide.where(F.col("class") >= least).collect() if least is not None else []
+    rows.sort(key=lambda r: (-r.total, r[unit]))
     counts = np.array([[r[f"n{i}"] for i in range(len(langs))] for r in rows], np.float64)
     return [r[unit] for r in rows], counts.reshape(len(rows), len(langs))
 
