@@ -9,8 +9,8 @@ dense table of 256 x 256 numbers per language, and discounts are four numbers pe
 sent to all tasks. Shards join the counts to the 5-grams of the packs and return one log probability
 for each; packs add them up by document. No step holds more than a pack or a shard.
 
-The threshold of a language is a quantile of the perplexities of trusted texts that the model has not
-seen. A document above it is not kept. Empty and null texts have no perplexity and are not kept; texts of a language without
+The threshold of a language and length class is a quantile of the perplexities of trusted texts that
+the model has not seen, chosen by how many rejected texts lie above it. A document above it is not kept. Empty and null texts have no perplexity and are not kept; texts of a language without
 trusted text have none and are kept, since nothing is known about them; a null language is a language
 of its own. Repeated rows count as often as they occur; an empty table gives no rows.
 """
@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselink.llm.meeting import partitions, runs
@@ -31,7 +31,12 @@ from caselink.llm.texts import mix, slices
 from caselink.session import savepoint
 
 ORDER = 5
+#: The quantile where too few texts are known to be rejected to choose one.
 QUANTILE = 0.995
+#: The quantiles to choose from: 0.5 to 10 % of unseen trusted texts are lost.
+CHOICE = (0.9, 0.91, 0.92, 0.93, 0.94, 0.95, 0.96, 0.97, 0.98, 0.99, 0.995)
+#: Trusted and rejected texts that a length class, or else a language, needs for limits of its own.
+LEAST = 20
 PACK_CHARS = 6 << 20
 _PAD = ORDER - 1
 
@@ -436,28 +441,90 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return read
 
 
-def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def _length_class(n_chars) -> Column:
+    """Texts of up to 255 characters are one class; classes above end at powers of four."""
+    return F.greatest(F.lit(3), F.floor(F.log2(F.greatest(n_chars, F.lit(1))) / 2)).cast("int")
+
+
+def thresholds(known: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """``lang, common, by_class`` from ``known(lang, n_chars, perplexity, aside, rejected)``.
+
+    Of the quantiles of ``CHOICE``, taken over the trusted texts set aside, the one of the greatest
+    sum of quantile and share of rejected texts above it; the largest of equals. A length class of
+    fewer than ``LEAST`` rejected texts takes over its language's quantile, one of fewer than
+    ``LEAST`` trusted ones its language's threshold too (``common``).
+    """
+    steps = [*CHOICE, quantile]
+    both = known.select(
+        "lang", F.explode(F.array(_length_class(F.col("n_chars")), F.lit(-1))).alias("class"), "perplexity", "aside", "rejected"
+    )
+
+    def limit(rows):
+        return F.percentile_approx(F.when(rows & ~F.col("rejected"), F.col("perplexity")), steps, 100_000)
+
+    limits = savepoint(
+        both.groupBy("lang", "class").agg(
+            F.coalesce(limit(F.col("aside")), limit(~F.col("aside"))).alias("limits"),
+            F.count_if(F.col("aside") & ~F.col("rejected")).alias("n_clean"),
+            F.count_if("rejected").alias("n_rejected"),
+        ),
+        "limits",
+    )
+    of = limits.select(F.col("lang").alias("of_lang"), F.col("class").alias("of_class"), "limits")
+    above = (
+        both.where("rejected")
+        .join(of, F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("class") == F.col("of_class")))
+        .groupBy("of_lang", "of_class")
+        .agg(F.array(*[F.count_if(F.col("perplexity") > F.col("limits")[i]) for i in range(len(CHOICE))]).alias("above"))
+    )
+    gains = F.array(
+        *[F.struct((F.lit(q) + F.col("above")[i] / F.col("n_rejected")).alias("gain"), F.lit(i).alias("at")) for i, q in enumerate(CHOICE)]
+    )
+    enough = (F.col("n_clean") >= LEAST) & (F.col("n_rejected") >= LEAST)
+    chosen = limits.join(
+        above, F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("class") == F.col("of_class")), "left"
+    ).select("lang", "class", "limits", "n_clean", F.when(enough, F.array_max(gains)["at"]).alias("at"))
+    rows = F.collect_list(F.struct("class", "limits", "n_clean", "at"))
+    common = F.filter("rows", lambda r: r["class"] == -1)[0]
+    at = F.coalesce(F.col("whole.at"), F.lit(len(CHOICE)))
+    own = F.filter("rows", lambda r: (r["class"] >= 0) & (r["n_clean"] >= LEAST))
+    return (
+        chosen.groupBy("lang")
+        .agg(rows.alias("rows"))
+        .select("lang", "rows", common.alias("whole"))
+        .select(
+            "lang",
+            F.get("whole.limits", at).alias("common"),
+            F.map_from_entries(
+                F.transform(own, lambda r: F.struct(r["class"], F.get(r["limits"], F.coalesce(r["at"], at))))
+            ).alias("by_class"),
+        )
+    )
+
+
+def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, rejected: DataFrame | None = None) -> DataFrame:
     """``doc_id, lang, n_chars, perplexity, threshold, kept`` per row of ``docs``.
 
     A fifth of the trusted ids, by hash, is not learnt from and gives the quantiles, since texts that
     a model has seen are easier to it than others; a language without any in that fifth uses the
-    trusted texts that it has.
+    trusted texts that it has. ``rejected(doc_id)`` names texts known to be bad, by which the
+    quantiles are chosen; ids that are trusted too count as trusted. Without them it is ``quantile``.
     """
     fifth = trusted.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("aside"))
     learnt = fifth.where(~F.col("aside"))
     scored = savepoint(perplexities(docs, learnt).drop("place", "pack"), "perplexities")
-    own = scored.where("perplexity IS NOT NULL").join(fifth.distinct(), "doc_id")
-
-    def limit(rows):
-        return F.percentile_approx(F.when(rows, F.col("perplexity")), quantile, 100_000)
-
-    limits = savepoint(
-        own.groupBy("lang").agg(
-            F.coalesce(limit(F.col("aside")), limit(~F.col("aside"))).alias("threshold")
-        ),
-        "thresholds",
-    ).withColumnRenamed("lang", "of_lang")
+    marks = fifth.withColumn("rejected", F.lit(False))
+    if rejected is not None:
+        marks = marks.unionByName(rejected.select("doc_id", F.lit(False).alias("aside"), F.lit(True).alias("rejected")))
+    marks = marks.groupBy("doc_id").agg(F.max("aside").alias("aside"), F.min("rejected").alias("rejected"))
+    known = savepoint(
+        scored.where("perplexity IS NOT NULL").join(marks, "doc_id").select("lang", "n_chars", "perplexity", "aside", "rejected"),
+        "labelled_perplexities",
+    )
+    limits = savepoint(thresholds(known, quantile), "thresholds").withColumnRenamed("lang", "of_lang")
     kept = (F.col("n_chars") > 0) & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
-    return scored.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")), "left").select(
-        "doc_id", "lang", "n_chars", "perplexity", "threshold", kept.alias("kept")
+    return (
+        scored.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
+        .withColumn("threshold", F.coalesce(F.try_element_at("by_class", _length_class(F.col("n_chars"))), "common"))
+        .select("doc_id", "lang", "n_chars", "perplexity", "threshold", kept.alias("kept"))
     )

@@ -133,8 +133,10 @@ def op1_site_style_text(spark, sf_dir):
 @query
 def op4_kneser_ney_quality(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    trusted = _table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
-    return kneser_ney.judge(docs, trusted)
+    labels = _table(spark, sf_dir, "labels")
+    trusted = labels.where("quality = 1 AND toxic = 0").select("doc_id")
+    rejected = labels.where("quality = 0 OR toxic = 1").select("doc_id")
+    return kneser_ney.judge(docs, trusted, rejected=rejected)
 
 
 @query

@@ -285,6 +285,35 @@ def test_thresholds_keep_clean_text_of_each_language(spark, docs):
     assert kneser_ney.judge(docs(rows).limit(0), trusted).count() == 0
 
 
+def test_thresholds_are_chosen_by_rejected_texts_and_length(spark):
+    frame = "lang string, n_chars bigint, perplexity double, aside boolean, rejected boolean"
+    rows = []
+    for n_chars, spread in ((2000, 0.1), (100, 1.0)):
+        rows += [("aa", n_chars, 5 + spread * i / 200, True, False) for i in range(200)]
+        rows += [("aa", n_chars, 5 + spread * (0.943 + i / 200), False, True) for i in range(100)]
+    rows += [("aa", 9000, 5.0, True, False)] + [("bb", 300, float(i), True, False) for i in range(1000)]
+    got = {r.lang: r for r in kneser_ney.thresholds(spark.createDataFrame(rows, frame)).collect()}
+    assert set(got["aa"].by_class) == {3, 5}  # too few texts of 9,000 characters for limits of their own
+    for (n_chars, spread), k in (((2000, 0.1), 5), ((100, 1.0), 3)):
+        limit = got["aa"].by_class[k]
+        assert 5 + 0.89 * spread <= limit <= 5 + 0.95 * spread
+        bad = [r[2] for r in rows if r[1] == n_chars and r[4]]
+        assert sum(x > limit for x in bad) >= 0.95 * len(bad)
+    # Nothing is known to be bad: the quantile that is given.
+    assert got["bb"].common == got["bb"].by_class[4] == 994.0
+
+
+def test_rejected_texts_near_trusted_ones_are_caught(spark, docs):
+    rng = random.Random(13)
+    text = lambda bad: " ".join("".join(rng.choices(["ka", "ri", "mo", "te", "zu"], k=2)) if not bad or rng.random() > 0.04 else "xqj" for _ in range(200))
+    rows = [(i, text(i >= 600), "aa") for i in range(800)]
+    trusted = spark.createDataFrame([(i,) for i in range(500)], "doc_id bigint")
+    rejected = spark.createDataFrame([(i,) for i in [3, *range(600, 700)]], "doc_id bigint")
+    got = {r.doc_id: r for r in kneser_ney.judge(docs(rows), trusted, rejected=rejected).collect()}
+    assert sum(not got[i].kept for i in range(700, 800)) >= 95
+    assert sum(got[i].kept for i in range(500, 600)) >= 85
+
+
 # --- decontamination ----------------------------------------------------------------------------
 
 
