@@ -119,8 +119,7 @@ def op3_token_files(spark, sf_dir):
 def op2_language_id(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     docs = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
-    model = word_backoff.train(docs.where(~F.col("held_out")))
-    found = word_backoff.predict(docs.select("doc_id", "held_out", "text"), model)
+    found = word_backoff.identify(docs.where(~F.col("held_out")), docs.select("doc_id", "held_out", "text"))
     return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 

@@ -131,6 +131,26 @@ def test_nothing_to_learn_from(docs):
     assert word_backoff.predict(empty, model).count() == 0
 
 
+def test_identify_learns_from_every_word_and_equals_an_uncut_model(docs, odd):
+    rng = random.Random(14)
+    rows = [(i, " ".join("".join(rng.choices(p, k=rng.randint(1, 4))) for _ in range(40)), lang) for i in range(20) for lang, p in (("aa", ["ka", "ri"]), ("bb", ["schu", "ung"]))]
+    # A hot language whose many words push the rare one of a small language out of a model cut by totals.
+    rows += [(100 + i, " ".join(f"{rng.choice('aeiou')}{a}{b}xx" for a in "abcdefghij" for b in "klmnop"), "aa") for i in range(20)]
+    rows += [(200, "xxq", "cc")]
+    asked = [*odd, (30, "xxq"), (31, "xxq xxq"), (32, "karika zzz"), (33, "日本"), (34, "ka " * 3000), *[(40 + i, r[1]) for i, r in enumerate(rows)]]
+    whole = word_backoff.train(docs(rows))
+    want = Counter((str(r.row.doc_id), r.lang_pred, round(r.score, 4)) for r in word_backoff.predict(docs(asked), whole).collect())
+    assert [{len(g) for g in grams} for grams in whole.grams] == [{1}, {2}, {3}, {4}, {5}]
+    cut = word_backoff.train(docs(rows), words=3, grams=3)
+    assert "xxq" not in cut.words
+    got = word_backoff.identify(docs(rows), docs(asked)).collect()
+    assert Counter((str(r.row.doc_id), r.lang_pred, round(r.score, 4)) for r in got) == want
+    assert {r.lang_pred for r in got if r.row.doc_id in (30, 31)} == {"cc"}
+    empty = docs(rows).limit(0)
+    assert {r.lang_pred for r in word_backoff.identify(empty, docs(asked)).collect()} == {"und"}
+    assert word_backoff.identify(docs(rows), empty).count() == 0
+
+
 # --- token files --------------------------------------------------------------------------------
 
 
