@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import os
 import sys
-from datetime import date, timedelta
 
 import pytest
 
@@ -11,22 +10,7 @@ sys.path.insert(0, ROOT)
 
 from caselink import build_session  # noqa: E402
 from caselink.session import release  # noqa: E402
-
-LAB_SCHEMA = (
-    "rec_id bigint, id_vigvac bigint, dt_notificacao date, dt_coleta date, dt_inicio_sintomas date, "
-    "idade int, sexo string, raca int, confirmado string, cod_ibge string, tipo_teste string, "
-    "dt_interna_dt date, evolucao string, dt_evoluca date, gestante int, puerpera int, diabetes int, "
-    "obesidade int, imunossupressao int, dcardiaca int, drc int, sistema string"
-)
-VACC_SCHEMA = (
-    "id_vigvac bigint, d_idade int, d1_data_aplicacao date, d2_data_aplicacao date, "
-    "d3_data_aplicacao date, d1_nome_vacina string, d2_nome_vacina string, d3_nome_vacina string"
-)
-DAY0 = date(1996, 1, 1)
-
-
-def day(offset: int | None) -> date | None:
-    return None if offset is None else DAY0 + timedelta(days=offset)
+from study_rows import LAB_SCHEMA, VACC_SCHEMA, day  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -87,11 +71,3 @@ def vacc(spark):
         return spark.createDataFrame(rows, VACC_SCHEMA)
 
     return make
-
-
-def person_tests(person: int, *results: tuple[int, str], **extra) -> list[dict]:
-    """Short form: (day, 'C' or 'N') tests of one person."""
-    names = {"C": "Confirmado", "N": "Negativo"}
-    return [
-        {"id_vigvac": person, "dt_coleta": d, "confirmado": names[r], **extra} for d, r in results
-    ]

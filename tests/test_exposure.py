@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import day, person_tests
+from study_rows import day, person_tests
 
 from caselink import config as C
 from caselink.operators import exposure as E

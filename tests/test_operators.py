@@ -6,7 +6,7 @@ from dataclasses import replace
 from datetime import date
 
 import pytest
-from conftest import DAY0, day, person_tests
+from study_rows import DAY0, day, person_tests
 
 from caselink import config as C
 from caselink.functions import age_band, clean_name, clean_names, month_start, paste, week_centre
@@ -168,8 +168,7 @@ def test_lumping(spark):
     }
 
 
-def test_lumping_past_the_inline_limit(spark, monkeypatch):
-    monkeypatch.setattr("caselink.operators.levels.MAX_INLINE", 1)
+def test_lumping_joins_the_kept_levels(spark):
     assert levels(spark, {"a": 9, "b": 5, "c": 2, "d": 1}, 2) == {"a": "a", "b": "b", "c": "Other", "d": "Other"}
 
 

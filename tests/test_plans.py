@@ -7,7 +7,7 @@ import re
 
 import duckdb
 import pytest
-from conftest import day
+from study_rows import day
 
 from caselink import config as C
 from caselink.operators import persons, records, series

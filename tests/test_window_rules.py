@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import DAY0, person_tests
+from study_rows import DAY0, person_tests
 
 from caselink.operators import window_rules as W
 from caselink.operators.records import outcome_events
