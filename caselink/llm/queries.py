@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselink.llm import decontam, kneser_ney, packing, rules, run_index, simhash, site_style, substring, token_files, word_backoff
+from caselink.llm import decontam, kneser_ney, mixture, packing, rules, run_index, simhash, site_style, substring, token_files, word_backoff
 from caselink.session import shared_dir, tune
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -144,3 +144,12 @@ def op8_run_index_dedup(spark, sf_dir):
     return cut.select(
         "row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256")
     )
+
+
+@query
+def op13_mixture_packing(spark, sf_dir):
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    tokens = mixture.tokenised(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return mixture.pack_tokens(tokens).drop("ids")

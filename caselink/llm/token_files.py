@@ -7,9 +7,8 @@ table of 64-bit offsets. Blocks are rows of a parquet table, so any store that S
 The ids before a block are known inside its partition; the partitions' totals, one number each, are
 added up when the files are read.
 
-Encoding is that of the tokenizers library. A byte-level tokenizer never joins text across a single
-space between two visible characters, so texts are cut there and each distinct piece is encoded once
-per task; pieces that are told apart by hash are compared byte by byte.
+Encoding is that of the tokenizers library without its special tokens added (``pieces``); a special
+token's own text inside a document has its one id, as in the library.
 
 A null text is empty and has the end id alone. Rows with a null id come first; rows with equal ids
 keep together, in any order. An empty table makes an empty file and no rows.
@@ -17,131 +16,25 @@ keep together, in any order. An empty table makes an empty file and no rows.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselink.llm.elias_fano import EliasFano
 from caselink.llm.meeting import partitions
-from caselink.llm.texts import Rolling, Slice, slices
+from caselink.llm.pieces import encoder_of
+from caselink.llm.texts import slices
 
 BLOCK_IDS = 1 << 20
-CACHE_PIECES = 400_000
 BLOCKS = (
     "part int, block int, before bigint, n_ids bigint, width int, ids binary, doc_ids array<{kind}>, "
     "n_docs bigint, low_bits int, low binary, high binary"
 )
 
-#: Bytes beside a space at which texts may be cut: visible ASCII, and the Latin-1 letters' lead byte
-#: after it, or any tail byte of such a letter before it.
-_VISIBLE = np.zeros(256, bool)
-_VISIBLE[0x21:0x7F] = True
-
-
-def _may_touch(piece: bytes) -> bool:
-    """Whether a piece may stand between others of its kind without a change of its ids."""
-    return (
-        len(piece) > 2
-        and piece[0] == 32
-        and (0x21 <= piece[1] <= 0x7E or piece[1] == 0xC3)
-        and (0x21 <= piece[-1] <= 0x7E or (piece[-2] == 0xC3 and piece[-1] >= 0x80))
-    )
-
-
-#: One encoder per worker process and file, so that later tasks know the pieces of earlier ones.
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
-def encoder_of(path: str) -> PieceEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
-
-
-class PieceEncoder:
-    """Encodes slices of documents with a tokenizers file, every distinct piece once."""
-
-    def __init__(self, path: str, special_as_text: bool = True):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = special_as_text
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        # A byte-level token has one character for each of its bytes.
-        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.bytes_of[i] = len(token)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1, np.int64)
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Encode new pieces: those that may be cut from their neighbours, many to a text."""
-        loose = [p for p in pieces if not _may_touch(p)]
-        touching = [p for p in pieces if _may_touch(p)]
-        texts = [p.decode() for p in loose]
-        texts += [b"".join(touching[k : k + 256]).decode() for k in range(0, len(touching), 256)]
-        new = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = np.fromiter((i for x in new for i in x), np.uint32, sum(map(len, new)))
-        pieces = loose + touching
-        after = np.cumsum(self.bytes_of[flat])
-        ends = np.searchsorted(after, np.cumsum([len(p) for p in pieces])) + 1
-        used = int(self.ends[-1])
-        while used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[used : used + len(flat)] = flat
-        base = len(self.known)
-        self.known.update(zip(pieces, range(base, base + len(pieces))))
-        self.ends = np.concatenate([self.ends, used + ends])
-
-    def encode(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a slice and the number of ids of each document."""
-        buf, offsets = part.buf, part.offsets
-        n = len(buf)
-        if not n:
-            return np.zeros(0, np.uint32), np.zeros(len(part.rows), np.int64)
-        cut = np.zeros(n + 1, bool)
-        letter = np.zeros(n, bool)
-        letter[1:] = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80)
-        cut[1 : n - 1] = (
-            (buf[1:-1] == 32) & (_VISIBLE[buf[:-2]] | letter[:-2]) & (_VISIBLE[buf[2:]] | (buf[2:] == 0xC3))
-        )
-        cut[offsets] = True
-        edges = np.flatnonzero(cut)  # documents of no bytes share an edge
-        starts, ends = edges[:-1], edges[1:]
-        code, _ = pd.factorize(Rolling(buf)(starts, ends))
-        first = np.zeros(code.max() + 1, np.int64)
-        first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-        lead = first[code]
-        size = ends - starts
-        same = (size == size[lead]).all() and np.array_equal(buf, buf[np.arange(n) + np.repeat(starts[lead] - starts, size)])
-        if not same:
-            first = np.arange(len(code))
-            code = first
-        raw = buf.tobytes()
-        pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        if len(self.known) + len(pieces) > CACHE_PIECES:
-            self._clear()
-        missing = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        if missing:
-            self._learn(missing)
-        place = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[code]
-        sizes = self.ends[place + 1] - self.ends[place]
-        total = np.cumsum(sizes)
-        at = np.arange(total[-1]) + np.repeat(self.ends[place] - (total - sizes), sizes)
-        counts = np.concatenate([[0], total])[np.searchsorted(starts, offsets)]
-        return self.ids[at], np.diff(counts)
-
 
 def _writer(path: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,13 +12,14 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from caselink.llm import decontam, kneser_ney, site_style, token_files, word_backoff
+from caselink.llm import decontam, kneser_ney, pieces, site_style, token_files, word_backoff
 from caselink.llm.elias_fano import EliasFano
 from caselink.llm.markup import Page
 from caselink.llm.texts import slices
 
 tokens = pytest.importorskip("public_tokenizers")
 BPE = tokens.path("byte_bpe_50k.json")
+WORDS = tokens.path("word_bpe_49k.json")
 
 
 # --- main text ----------------------------------------------------------------------------------
@@ -165,18 +166,18 @@ def test_elias_fano_round_trip():
             coded.select(n)
 
 
-def test_pieces_encode_like_whole_texts():
+@pytest.mark.parametrize("kind, path", [(pieces.PieceEncoder, BPE), (pieces.WordEncoder, WORDS)])
+def test_pieces_encode_like_whole_texts(kind, path):
     from tokenizers import Tokenizer
 
     rng = random.Random(2)
     parts = [
         " ", "  ", "\n", "\t", " \n ", "a", "the", "é", "É", "'s", "'ll", " 're", "ß", "12", " 7", "…", " ", "　", "日本",
-        "!!", "***", "<|endoftext|>", "\x1c", "don't", "à ", "🙂", " ", "×", "÷", "ª", "́",
+        "!!", "***", "<|endoftext|>", "\x1c", "\x01", "don't", "à ", "🙂", " ", "×", "÷", "ª", "́",
     ]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
-    whole = Tokenizer.from_file(BPE)
-    whole.encode_special_tokens = True
-    encoder = token_files.PieceEncoder(BPE)
+    whole = Tokenizer.from_file(path)
+    encoder = kind(path, table_pieces=3000)  # small, so that pieces are forgotten and met again
     for part in slices(pa.array(texts), 4000):
         ids, counts = encoder.encode(part)
         at = np.r_[0, np.cumsum(counts)]
@@ -188,7 +189,6 @@ def test_token_file_round_trip(spark, docs, odd, tmp_path):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(BPE)
-    whole.encode_special_tokens = True
     rows = [*odd, *((1000 - i, f"text {i} " * (i % 40)) for i in range(200)), (5000, "long " * 30000)]
     path = str(tmp_path / "tokens")
     token_files.write_tokens(docs(rows), path, BPE, block_ids=2000)
