@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselink.llm import decontam, kneser_ney, mixture, packing, rules, run_index, simhash, site_style, substring, token_files, word_backoff
+from caselink.llm import decontam, divergence, kneser_ney, mixture, packing, rules, run_index, simhash, site_style, substring, token_files, word_backoff
 from caselink.session import shared_dir, tune
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -153,3 +153,11 @@ def op13_mixture_packing(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     tokens = mixture.tokenised(docs, public_tokenizers.path("word_bpe_49k.json"))
     return mixture.pack_tokens(tokens).drop("ids")
+
+
+@query
+def op12_source_divergence(spark, sf_dir):
+    return divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+ORACLE["op12_source_divergence"] = divergence.audit_sql()
