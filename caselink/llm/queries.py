@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselink.llm import decontam, divergence, kneser_ney, mixture, packing, rules, run_index, simhash, site_style, substring, token_files, word_backoff
+from caselink.llm import decontam, divergence, kneser_ney, mixture, packing, rules, run_index, simhash, site_style, substring, token_files, whitening, word_backoff
 from caselink.session import shared_dir, tune
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -161,3 +161,8 @@ def op12_source_divergence(spark, sf_dir):
 
 
 ORACLE["op12_source_divergence"] = divergence.audit_sql()
+
+
+@query
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
