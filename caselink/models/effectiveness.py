@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselink import config as C
 from caselink.functions import label_map
-from caselink.models.fit import ADJUSTMENT, PREGNANCY, fit_logit
+from caselink.models.fit import ADJUSTMENT, PREGNANCY, Fitted, FitSpec, fit_all
 from caselink.operators.cohorts import cohort_conditions
 from caselink.operators.reshape import tagged_union
 from caselink.operators.tables import Z_95
@@ -23,14 +22,14 @@ LADDER = {
     "ms": [*ADJUSTMENT, *PREGNANCY],
     "full": [*ADJUSTMENT, *PREGNANCY, "raca"],
 }
-PARALLEL_FITS = 8
+ANTIGEN = ["Infection_antigen", "Severe_antigen"]
 
 
 def extract_ve(terms: DataFrame, product: str = "CV", booster: str = "BNT", prefix: str = "vs_type2") -> DataFrame:
     """Effectiveness in percent from log odds ratios, in reporting order.
 
     The odds ratio and its limits are rounded to three digits first; the upper effectiveness limit
-    comes from the lower odds-ratio limit.
+    comes from the lower odds-ratio limit. Other columns, such as why an estimate is null, stay.
     """
     name = f"{prefix}{product}"
     term = F.col("term")
@@ -41,7 +40,7 @@ def extract_ve(terms: DataFrame, product: str = "CV", booster: str = "BNT", pref
         return (1 - F.round(F.exp(estimate), 3)) * 100
 
     margin = Z_95 * F.col("std_error")
-    keys = [c for c in terms.columns if c not in ("term", "estimate", "std_error", "converged")]
+    keys = [c for c in terms.columns if c not in ("term", "estimate", "std_error")]
     return (
         terms.where(term.contains(name) & reported)
         .withColumns(
@@ -65,75 +64,102 @@ def extract_ve(terms: DataFrame, product: str = "CV", booster: str = "BNT", pref
     )
 
 
-def of_cohort(patterns: DataFrame, cohort: str, age_group: str | None = None) -> DataFrame:
-    kept = patterns.where(cohort_conditions()[cohort])
-    return kept if age_group is None else kept.where(F.col("idade_cat") == age_group)
+def _in_cohort(cohort: str, age_group: str | None = None):
+    inside = cohort_conditions()[cohort]
+    return inside if age_group is None else inside & (F.col("idade_cat") == age_group)
 
 
-def ve_model(patterns: DataFrame, references: dict[str, str] | None = None) -> DataFrame:
-    """The main model; pregnancy terms only if someone is young enough for them."""
-    youngest = patterns.agg(F.min("idade")).first()[0]
-    pregnancy = PREGNANCY if youngest is not None and youngest <= 55 else []
-    return fit_logit(patterns, [*ADJUSTMENT, *pregnancy], references=references)
+def main_spec(
+    cohort: str | None = None,
+    age_group: str | None = None,
+    references: dict[str, str] | None = None,
+    key: dict[str, str] | None = None,
+) -> FitSpec:
+    """The main model of a cohort; pregnancy terms only if someone is young enough for them."""
+    where = None if cohort is None else _in_cohort(cohort, age_group)
+    return FitSpec(key or {}, where, tuple(ADJUSTMENT), references=references or {}, pregnancy=True)
 
 
-def _fit_all(jobs: Mapping[str, Callable[[], DataFrame]], parallel: int = PARALLEL_FITS) -> dict[str, DataFrame]:
-    """Run independent fits a few at a time: each is a chain of short jobs that leaves cores idle."""
-    with ThreadPoolExecutor(parallel) as pool:
-        futures = {name: pool.submit(job) for name, job in jobs.items()}
-        return {name: future.result() for name, future in futures.items()}
+def outcome_specs(cohorts: Sequence[str] = tuple(OUTCOMES), references: dict[str, str] | None = None) -> list[FitSpec]:
+    """One main model per cohort, all ages."""
+    return [main_spec(c, None, references, {"outcome": c}) for c in cohorts]
+
+
+def age_specs(cohorts: Sequence[str] = tuple(OUTCOMES), references: dict[str, str] | None = None) -> list[FitSpec]:
+    """One main model per cohort and age group."""
+    return [main_spec(c, a, references, {"outcome": c, "idade_cat": a}) for c in cohorts for a in AGE_GROUPS]
+
+
+def ladder_specs(cohort: str = "Infection") -> list[FitSpec]:
+    """Four nested adjustment sets for one cohort."""
+    return [FitSpec({"mod": mod}, _in_cohort(cohort), tuple(factors)) for mod, factors in LADDER.items()]
+
+
+def reference_specs(reference: str = "CV_v2_181+") -> list[FitSpec]:
+    """Main models against a late second dose instead of no vaccination, overall and by age group."""
+    cohorts = ["Infection", "Severe", *ANTIGEN]
+    references = {"vs_type2": reference}
+    overall = [main_spec(c, None, references, {"outcome": c, "idade_cat": "Overall"}) for c in cohorts]
+    return overall + age_specs(cohorts, references)
+
+
+def single_specs(cohorts: Sequence[str] = tuple(OUTCOMES), by_age_group: bool = False) -> list[FitSpec]:
+    """Exposure alone, per cohort and, if asked, age group."""
+    groups = AGE_GROUPS if by_age_group else [None]
+    return [
+        FitSpec({"cohort": c, **({"idade_cat": a} if a else {})}, _in_cohort(c, a), ("vs_type2",), ())
+        for c in cohorts
+        for a in groups
+    ]
+
+
+def _keyed_terms(fitted: Fitted, patterns: DataFrame) -> DataFrame:
+    return fitted.keyed(fitted.terms(patterns.sparkSession))
+
+
+def ve_model(patterns: DataFrame, references: dict[str, str] | None = None, cohort: str | None = None) -> DataFrame:
+    """All terms of the main model, of all records or of a cohort."""
+    return _keyed_terms(fit_all(patterns, [main_spec(cohort, None, references)]), patterns)
+
+
+def effects(patterns: DataFrame, specs: Sequence[FitSpec], bias_reduced: bool = False) -> DataFrame:
+    """Effectiveness from each of the models, fitted together."""
+    return _keyed_terms(fit_all(patterns, specs, bias_reduced=bias_reduced), patterns).transform(extract_ve)
 
 
 def by_outcome(
     patterns: DataFrame, cohorts: Sequence[str] = tuple(OUTCOMES), references: dict[str, str] | None = None
 ) -> DataFrame:
     """Effectiveness per cohort, all ages."""
-    fits = _fit_all(
-        {c: lambda c=c: ve_model(of_cohort(patterns, c), references) for c in cohorts}
-    )
-    return tagged_union(fits, "outcome").transform(extract_ve)
+    return effects(patterns, outcome_specs(cohorts, references))
 
 
 def by_age(
     patterns: DataFrame, cohorts: Sequence[str] = tuple(OUTCOMES), references: dict[str, str] | None = None
 ) -> DataFrame:
-    """Effectiveness per cohort and age group. Each group is a distributed fit of its own."""
-    fits = _fit_all(
-        {
-            f"{c}|{a}": lambda c=c, a=a: ve_model(of_cohort(patterns, c, a), references)
-            for c in cohorts
-            for a in AGE_GROUPS
-        }
-    )
-    tagged = tagged_union(fits, "key").select(
-        F.split_part("key", F.lit("|"), F.lit(1)).alias("outcome"),
-        F.split_part("key", F.lit("|"), F.lit(2)).alias("idade_cat"),
-        "term", "estimate", "std_error", "converged",
-    )
-    return tagged.transform(extract_ve)
+    """Effectiveness per cohort and age group; all groups are fitted in the same scans."""
+    return effects(patterns, age_specs(cohorts, references))
+
+
+def reference_change(patterns: DataFrame, reference: str = "CV_v2_181+") -> DataFrame:
+    """Booster effectiveness against a late second dose instead of no vaccination."""
+    return effects(patterns, reference_specs(reference)).where(F.col("term").contains("v3"))
 
 
 def single_factor(
-    patterns: DataFrame, cohorts: Sequence[str] = tuple(OUTCOMES), by_age_group: bool = False
+    patterns: DataFrame, cohorts: Sequence[str] = tuple(OUTCOMES), by_age_group: bool = False, bias_reduced: bool = False
 ) -> DataFrame:
     """Log odds ratios of fits with exposure alone, per cohort and, if asked, age group.
 
     They go through the same fit as all models, but have a closed form to be held against.
     """
-    groups = AGE_GROUPS if by_age_group else [None]
-    fits = _fit_all(
-        {
-            f"{c}|{a or ''}": lambda c=c, a=a: fit_logit(of_cohort(patterns, c, a), ["vs_type2"], smooths=[])
-            for c in cohorts
-            for a in groups
-        }
-    )
-    contrasts = tagged_union(fits, "key").where(
+    fitted = fit_all(patterns, single_specs(cohorts, by_age_group), bias_reduced=bias_reduced)
+    contrasts = _keyed_terms(fitted, patterns).where(
         F.col("term").startswith("vs_type2") & (F.col("term") != f"vs_type2{C.NEVER_VACCINATED}")
     )
     return contrasts.select(
-        F.split_part("key", F.lit("|"), F.lit(1)).alias("cohort"),
-        *([F.split_part("key", F.lit("|"), F.lit(2)).alias("idade_cat")] if by_age_group else []),
+        "cohort",
+        *(["idade_cat"] if by_age_group else []),
         F.regexp_replace("term", "^vs_type2", "").alias("vs_type2"),
         "estimate",
         "std_error",
@@ -141,25 +167,25 @@ def single_factor(
 
 
 def confounder_ladder(patterns: DataFrame, cohort: str = "Infection") -> DataFrame:
-    """Exposure terms under four nested adjustment sets, fitted to one compressed frame."""
-    frame = of_cohort(patterns, cohort)
-    fits = _fit_all({mod: lambda f=f: fit_logit(frame, f) for mod, f in LADDER.items()})
+    """Exposure terms under four nested adjustment sets, fitted together to one compressed frame."""
     term = F.col("term")
     reported = F.when(term.contains("_v3_"), term.contains("BNT")).otherwise(F.lit(True))
     return (
-        tagged_union(fits, "mod")
+        _keyed_terms(fit_all(patterns, ladder_specs(cohort)), patterns)
         .where(term.contains("vs_type2CV") & reported)
-        .select("mod", "term", "estimate", "std_error")
+        .select("mod", "term", "estimate", "std_error", "converged", "reason")
     )
 
 
-def reference_change(patterns: DataFrame, reference: str = "CV_v2_181+") -> DataFrame:
-    """Booster effectiveness against a late second dose instead of no vaccination."""
-    cohorts = ["Infection", "Severe", "Infection_antigen", "Severe_antigen"]
-    references = {"vs_type2": reference}
-    overall = by_outcome(patterns, cohorts, references).withColumn("idade_cat", F.lit("Overall"))
-    grouped = by_age(patterns, cohorts, references)
-    return overall.unionByName(grouped).where(F.col("term").contains("v3"))
+def scores(patterns: DataFrame, specs: Sequence[FitSpec], bias_reduced: bool = False) -> DataFrame:
+    """Records, observed and fitted cases per level of every model: its score equations.
+
+    Fitted cases come from the coefficients in a pass over the records. At the maximum they equal the
+    observed ones in each level of each unpenalised factor, so the table checks all adjusted fits
+    without a second way to fit them. The levels show which terms a fit has, pregnancy among them.
+    """
+    fitted = fit_all(patterns, specs, bias_reduced=bias_reduced)
+    return fitted.keyed(fitted.scores())
 
 
 def ve_figure_frame(sheets: Mapping[str, DataFrame]) -> DataFrame:

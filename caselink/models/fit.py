@@ -1,19 +1,18 @@
-"""Logistic fits with ``pyspark.ml`` over compressed covariate patterns."""
+"""Batches of additive logistic models over compressed covariate patterns."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark import StorageLevel
-from pyspark.errors import UnsupportedOperationException
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GeneralizedLinearRegression
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselink import config as C
-from caselink.models.penalised import NotConverged, penalised_terms
+from caselink.models.margins import Layout, dot, entry_sums, fitted_sums, level_counts, without_levels, without_smooths
+from caselink.models.penalised import Fit, run_fits
+from caselink.models.separation import ZERO, direction_table, off_the_plane, separating_directions
 from caselink.models.splines import Spline, natural_spline
 from caselink.operators.cohorts import COHORT_COLUMNS, with_age_groups
 from caselink.session import savepoint
@@ -21,6 +20,8 @@ from caselink.session import savepoint
 SMOOTHS = ["date_year", "idade"]
 ADJUSTMENT = ["vs_type2", "prev_infected", "sexo", "uf", "n_comorb"]
 PREGNANCY = ["puerpera", "gestante"]
+#: Pregnancy terms are in a model if someone in its cohort is this old or younger.
+PREGNANCY_AGE = 55
 REFERENCES = {
     "vs_type2": C.NEVER_VACCINATED,
     "prev_infected": "No-Prev-Infected",
@@ -31,7 +32,7 @@ REFERENCES = {
     "gestante": "0",
     "raca": C.RACE_LABELS[3],
 }
-TERM_SCHEMA = "term string, estimate double, std_error double, converged boolean"
+TERM_SCHEMA = "fit int, term string, estimate double, std_error double, converged boolean, reason string"
 
 
 def compress(cohort: DataFrame, root: str | None = None) -> DataFrame:
@@ -49,82 +50,316 @@ def compress(cohort: DataFrame, root: str | None = None) -> DataFrame:
     return savepoint(patterns, "patterns", root)
 
 
-@dataclass
-class Levels:
-    """What one cohort holds: cases and records per factor level, and the smooths' distinct values."""
+@dataclass(frozen=True)
+class FitSpec:
+    """One model: which records, which terms. ``key`` names it in tables of several.
 
-    factors: dict[str, dict[str, tuple[int, int]]] = field(default_factory=dict)
-    smooths: dict[str, list[int]] = field(default_factory=dict)
+    Without the reference level of a ``required`` factor none of its contrasts is estimable, and the
+    fit is not made. ``pregnancy`` adds those terms where the cohort is young enough for them.
+    """
 
+    key: dict[str, str] = field(default_factory=dict)
+    where: Column | None = None
+    factors: tuple[str, ...] = ()
+    smooths: tuple[str, ...] = tuple(SMOOTHS)
+    references: dict[str, str] = field(default_factory=dict)
+    required: tuple[str, ...] = ("vs_type2",)
+    pregnancy: bool = False
 
-def observed_levels(patterns: DataFrame, factors: Sequence[str], smooths: Sequence[str]) -> Levels:
-    """Counted in one job; its result is bounded by the level lists and the calendar."""
-    text = patterns.select(
-        "cases", "n", *[F.col(c).cast("string").alias(c) for c in [*factors, *smooths]]
-    )
-    rows = (
-        text.unpivot(["cases", "n"], [*factors, *smooths], "variable", "level")
-        .where(F.col("level").isNotNull())
-        .groupBy("variable", "level")
-        .agg(F.sum("cases").alias("cases"), F.sum("n").alias("n"))
-        .collect()
-    )
-    levels = Levels({f: {} for f in factors}, {s: [] for s in smooths})
-    for row in rows:
-        if row["variable"] in levels.smooths:
-            levels.smooths[row["variable"]].append(int(row["level"]))
-        else:
-            levels.factors[row["variable"]][row["level"]] = (row["cases"], row["n"])
-    for values in levels.smooths.values():
-        values.sort()
-    return levels
+    def reference(self, factor: str) -> str | None:
+        return {**REFERENCES, **self.references}.get(factor)
+
+    def condition(self) -> Column:
+        return F.lit(True) if self.where is None else self.where
+
+
+def _with_pregnancy(patterns: DataFrame, specs: Sequence[FitSpec]) -> list[FitSpec]:
+    asked = [i for i, s in enumerate(specs) if s.pregnancy]
+    if not asked:
+        return list(specs)
+    youngest = patterns.agg(*[F.min(F.when(specs[i].condition(), F.col("idade"))).alias(f"a{i}") for i in asked]).first()
+    out = [replace(s, pregnancy=False) for s in specs]
+    for i in asked:
+        age = youngest[f"a{i}"]
+        if age is not None and age <= PREGNANCY_AGE:
+            out[i] = replace(out[i], factors=(*out[i].factors, *PREGNANCY))
+    return out
+
+
+def _layout(patterns: DataFrame, factors: Sequence[str], width: int) -> Layout:
+    """All levels of all factors, from one job; bounded by the level lists."""
+    text = patterns.select(*[F.col(f).cast("string").alias(f) for f in factors])
+    seen = text.select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("l")) for f in factors])).alias("e"))
+    names: dict[str, list[str]] = {f: [] for f in factors}
+    if factors:
+        for row in seen.select("e.f", "e.l").where("l IS NOT NULL").distinct().collect():
+            names[row.f].append(row.l)
+    return Layout(tuple(factors), tuple(tuple(sorted(names[f])) for f in factors), width)
+
+
+def _coded(patterns: DataFrame, specs: Sequence[FitSpec], layout: Layout, smooths: Sequence[str]) -> DataFrame:
+    """``fit``, a code per factor, the smooths' values, ``n`` and ``cases`` of the complete records of each
+    fit, grouped by the fit's own covariates and written."""
+    member = F.array_compact(F.array(*[F.when(s.condition(), F.lit(i)) for i, s in enumerate(specs)]))
+    rows = patterns.withColumn("fit", F.explode(member))
+    columns = {}
+    for i, factor in enumerate(layout.factors):
+        used = [k for k, s in enumerate(specs) if factor in s.factors]
+        level = F.array_position(F.lit(list(layout.levels[i]) or [""]), F.col(factor).cast("string"))
+        columns[f"f{i}"] = F.when(F.col("fit").isin(used), level).otherwise(0).cast("int")
+    for i, smooth in enumerate(smooths):
+        used = [k for k, s in enumerate(specs) if smooth in s.smooths]
+        columns[f"s{i}"] = F.when(F.col("fit").isin(used), F.col(smooth)).otherwise(0).cast("int")
+    keys = ["fit", *columns]
+    coded = rows.select("fit", *[c.alias(name) for name, c in columns.items()], "n", "cases").dropna(subset=keys)
+    grouped = coded.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("cases").alias("cases"))
+    return savepoint(grouped, "design")
 
 
-def _estimable(
-    patterns: DataFrame, factors: Sequence[str], smooths: Sequence[str]
-) -> tuple[DataFrame, Levels, list[str]]:
+def _estimable(rows: DataFrame, layout: Layout) -> tuple[DataFrame, dict[tuple[int, int], tuple[int, int]], dict[tuple[int, int], str]]:
     """Leave out levels seen only among cases or only among controls, until none is left.
 
     Their coefficient is infinite and takes up all of their records' likelihood, so the other
-    coefficients are those of the fit without them. They are reported as not estimable.
+    coefficients are those of the fit without them.
     """
-    separated: list[str] = []
+    reasons: dict[tuple[int, int], str] = {}
     while True:
-        levels = observed_levels(patterns, factors, smooths)
-        one_sided = {
-            factor: [level for level, (cases, n) in seen.items() if cases in (0, n)]
-            for factor, seen in levels.factors.items()
-        }
-        if not any(one_sided.values()) or not any(levels.factors.values()):
-            return patterns, levels, separated
-        for factor, names in one_sided.items():
-            if names:
-                separated += [f"{factor}{name}" for name in names]
-                patterns = patterns.where(~F.col(factor).cast("string").isin(names))
-
-
-def _indicators(levels: Levels, references: dict[str, str]) -> list[tuple[str, Column]]:
-    """0/1 columns of every level but the reference; factors with one level drop out."""
-    columns = []
-    for factor, seen in levels.factors.items():
-        if len(seen) < 2:
-            continue
-        reference = references.get(factor)
-        if reference not in seen:
-            reference = max(seen, key=lambda level: (seen[level][1], level))
-        columns += [
-            (f"{factor}{level}", (F.col(factor).cast("string") == level).cast("double"))
-            for level in sorted(seen)
-            if level != reference
+        seen = level_counts(rows, layout)
+        one_sided = {at: "no_cases" if cases == 0 else "no_controls" for at, (cases, n) in seen.items() if cases in (0, n)}
+        if not one_sided:
+            return rows, seen, reasons
+        reasons |= one_sided
+        rows = without_levels(rows, layout, list(one_sided))
+
+
+def _with_basis(
+    rows: DataFrame, specs: Sequence[FitSpec], fits: Sequence[int], smooths: Sequence[str], knots: int
+) -> tuple[DataFrame, dict[tuple[int, int], Spline]]:
+    """Attach ``b``, the columns of all smooths, from tables with a row per fit and distinct value."""
+    splines: dict[tuple[int, int], Spline] = {}
+    if not smooths:
+        return rows, splines
+    width = knots - 1
+    seen = rows.select("fit", F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(f"s{i}").alias("v")) for i in range(len(smooths))])).alias("e"))
+    values: dict[tuple[int, int], list[int]] = {}
+    for r in seen.select("fit", "e.s", "e.v").distinct().collect():
+        values.setdefault((r.fit, r.s), []).append(r.v)
+    for i, smooth in enumerate(smooths):
+        table = []
+        for k in fits:
+            if smooth in specs[k].smooths:
+                at = sorted(values.get((k, i), []))
+                spline = splines[k, i] = natural_spline(at, knots)
+                padded = np.zeros((len(at), width))
+                padded[:, : spline.basis.shape[1]] = spline.basis
+            else:
+                at, padded = [0], np.zeros((1, width))
+            table += [(k, v, row) for v, row in zip(at, padded.tolist())]
+        frame = rows.sparkSession.createDataFrame(table, f"_fit int, _v int, b{i} array<double>")
+        rows = rows.join(frame, (F.col("fit") == F.col("_fit")) & (F.col(f"s{i}") == F.col("_v"))).drop("_fit", "_v")
+    parts = [F.col(f"b{i}") for i in range(len(smooths))]
+    codes = [c for c in rows.columns if c.startswith("f")]
+    return savepoint(rows.select(*codes, F.concat(*parts).alias("b"), "n", "cases"), "framed"), splines
+
+
+class Fitted:
+    """The fits of a batch, and what is needed to predict from them."""
+
+    def __init__(self, specs: list[FitSpec], layout: Layout, bias_reduced: bool = False):
+        self.specs, self.layout, self.bias_reduced = specs, layout, bias_reduced
+        self.fits: dict[int, Fit] = {}
+        self.frames: list[tuple[DataFrame, list[int]]] = []
+        self.reasons: dict[tuple[int, int], str] = {}
+        self.separated: dict[int, set[int]] = {}
+        self.cut: list[tuple[DataFrame, dict[int, np.ndarray]]] = []
+        self.lost: dict[int, list[int]] = {}
+
+    def _name(self, entry: int) -> str:
+        if entry == 0:
+            return "(Intercept)"
+        i = max(i for i, start in enumerate(self.layout.offsets) if entry >= start)
+        return f"{self.layout.factors[i]}{self.layout.levels[i][entry - self.layout.offsets[i] - 1]}"
+
+    def terms(self, spark) -> DataFrame:
+        """``fit, term, estimate, std_error, converged, reason``; a null estimate has a reason."""
+        rows = []
+        for (k, entry), reason in self.reasons.items():
+            rows.append((k, self._name(entry), None, None, True, reason))
+        for k, entries in self.lost.items():
+            rows += [(k, self._name(e), None, None, True, "no_reference") for e in entries]
+        for k, fit in self.fits.items():
+            errors = np.sqrt(np.maximum(np.diag(fit.covariance), 0))
+            for entry in fit.columns:
+                if not fit.converged:
+                    rows.append((k, self._name(entry), None, None, False, "not_converged"))
+                elif entry in self.separated.get(k, ()):
+                    rows.append((k, self._name(entry), None, None, True, "separated"))
+                elif entry in fit.aliased:
+                    rows.append((k, self._name(entry), None, None, True, "aliased"))
+                else:
+                    rows.append((k, self._name(entry), float(fit.coefficients[entry]), float(errors[entry]), True, None))
+        return spark.createDataFrame(rows, TERM_SCHEMA)
+
+    def keyed(self, rows: DataFrame) -> DataFrame:
+        """Rows with a ``fit`` number as rows with the keys of the fits."""
+        names = list(dict.fromkeys(n for s in self.specs for n in s.key))
+        if not names:
+            return rows.drop("fit")
+        table = [(k, *[s.key.get(n) for n in names]) for k, s in enumerate(self.specs)]
+        keys = rows.sparkSession.createDataFrame(table, ", ".join(["_fit int", *[f"{n} string" for n in names]]))
+        rest = [c for c in rows.columns if c != "fit"]
+        return rows.join(F.broadcast(keys), F.col("fit") == F.col("_fit")).select(*names, *rest)
+
+    def scores(self) -> DataFrame:
+        """``fit, factor, level, records, observed, fitted`` of converged fits, from a prediction pass.
+
+        A fit's maximum has as many fitted as observed cases in every level; that of a bias-reduced fit
+        when the reduction's part of the score is taken off the fitted ones.
+        """
+        layout, size = self.layout, len(self.specs)
+        out = None
+        for rows, members in self.frames:
+            done = [k for k in members if self.fits[k].converged]
+            coefficients = np.zeros((size, layout.entries))
+            for k in done:
+                coefficients[k] = self.fits[k].coefficients
+            spreads = None
+            if self.bias_reduced:
+                spreads = np.zeros((size, layout.entries, layout.entries))
+                for k in done:
+                    spreads[k] = self.fits[k].covariance
+            found = fitted_sums(rows.where(F.col("fit").isin(done or [-1])), layout, coefficients, spreads)
+            out = found if out is None else out.unionByName(found)
+        for rows, directions in self.cut:
+            # Far along a separating direction a record's probability is zero or one.
+            table = direction_table(layout, directions, size)
+            ends = F.when(dot(without_smooths(layout), table) > 0, F.col("n")).otherwise(0).cast("double")
+            sums = {"records": F.col("n"), "observed": F.col("cases"), "fitted": ends}
+            out = out.unionByName(entry_sums(rows, layout, sums))
+        if out is None:
+            raise ValueError("no model could be fitted")
+        out = out.groupBy("fit", "entry").agg(*[F.sum(c).alias(c) for c in ("records", "observed", "fitted")])
+        names = [
+            (start + 1 + j, factor, level)
+            for start, factor, levels in zip(layout.offsets, layout.factors, layout.levels)
+            for j, level in enumerate(levels)
         ]
+        spark = out.sparkSession
+        table = spark.createDataFrame(names, "_entry int, factor string, level string")
+        joined = out.join(F.broadcast(table), F.col("entry") == F.col("_entry"))
+        return joined.select("fit", "factor", "level", "records", "observed", "fitted")
+
+
+def _columns(spec: FitSpec, k: int, layout: Layout, seen: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """The intercept and every level but the reference; factors with one level drop out."""
+    columns = [0]
+    for start, factor, levels in zip(layout.offsets, layout.factors, layout.levels):
+        if factor not in spec.factors:
+            continue
+        here = {level: start + 1 + j for j, level in enumerate(levels) if (k, start + 1 + j) in seen}
+        if len(here) < 2:
+            continue
+        reference = spec.reference(factor)
+        if reference not in here:
+            reference = max(here, key=lambda level: (seen[k, here[level]][1], level))
+        columns += [entry for level, entry in here.items() if level != reference]
     return columns
 
 
-def _with_basis(patterns: DataFrame, smooth: str, values: list[int], spline: Spline) -> DataFrame:
-    """Attach the spline columns of a smooth from a table with one row per distinct day or year."""
-    rows = [(value, [float(b) for b in row]) for value, row in zip(values, spline.basis)]
-    table = patterns.sparkSession.createDataFrame(rows, f"{smooth} int, _{smooth} array<double>")
-    return patterns.join(F.broadcast(table), smooth)
+def fit_all(
+    patterns: DataFrame,
+    specs: Sequence[FitSpec],
+    knots: int = 10,
+    penalised: bool = True,
+    bias_reduced: bool = False,
+    max_steps: int | None = None,
+) -> Fitted:
+    """Fit all models in as many scans as the slowest needs.
+
+    The smooths' roughness is chosen by restricted maximum likelihood; ``penalised=False`` fits them
+    freely. Levels of one result only, and combinations of levels that separate cases from controls, have
+    no finite estimate; their records leave the fit, whose other estimates are not changed by that.
+    ``bias_reduced`` (Jeffreys' prior) keeps all records and has finite estimates for all levels.
+    """
+    specs = _with_pregnancy(patterns, specs)
+    factors = list(dict.fromkeys(f for s in specs for f in s.factors))
+    smooths = list(dict.fromkeys(f for s in specs for f in s.smooths))
+    layout = _layout(patterns, factors, (knots - 1) * len(smooths))
+    fitted = Fitted(specs, layout, bias_reduced)
+    _fit(fitted, _coded(patterns, specs, layout, smooths), list(range(len(specs))), smooths, knots, penalised, bias_reduced, max_steps)
+    return fitted
+
+
+def _fit(
+    out: Fitted,
+    rows: DataFrame,
+    members: list[int],
+    smooths: Sequence[str],
+    knots: int,
+    penalised: bool,
+    bias_reduced: bool,
+    max_steps: int | None,
+    checked: frozenset[int] = frozenset(),
+) -> None:
+    """Fit the ``members``; those that turn out separated go round again without the separated records."""
+    layout = out.layout
+    if bias_reduced:
+        seen = level_counts(rows, layout)
+    else:
+        rows, seen, reasons = _estimable(rows, layout)
+        out.reasons |= reasons
+    going = []
+    for k in members:
+        spec = out.specs[k]
+        own = [(f, layout.offsets[i]) for i, f in enumerate(layout.factors) if f in spec.required and f in spec.factors]
+        lost = [f for f, _ in own if (spec.reference(f) not in layout.levels[layout.factors.index(f)]) or (k, layout.entry(f, spec.reference(f))) not in seen]
+        if lost:
+            for f in lost:
+                i = layout.factors.index(f)
+                span = range(layout.offsets[i] + 1, layout.offsets[i] + layout.codes[i])
+                out.lost[k] = out.lost.get(k, []) + [e for e in span if (k, e) in seen]
+        else:
+            going.append(k)
+    if not going:
+        return
+    framed, splines = _with_basis(rows.where(F.col("fit").isin(going)), out.specs, going, smooths, knots)
+    fits = {}
+    for k in going:
+        parts = []
+        for i in range(len(smooths)):
+            if (k, i) in splines:
+                spline = splines[k, i]
+                start = layout.smooth_offset + i * (knots - 1)
+                parts.append((start, spline.penalty, spline.rank if penalised else 0))
+        fits[k] = Fit(_columns(out.specs[k], k, layout, seen), parts, layout.entries)
+    watched = not bias_reduced and not set(going) <= checked
+    run_fits(framed, layout, fits, bias_reduced, stop_suspects=watched, max_steps=max_steps)
+    odd = [k for k, f in fits.items() if f.suspect and k not in checked] if watched else []
+    if odd:
+        codes = ["fit", *[f"f{i}" for i in range(len(layout.factors))]]
+        kept = framed.where(F.col("fit").isin(odd)).groupBy(*codes).agg(F.sum("n").alias("n"), F.sum("cases").alias("cases"))
+        kept = savepoint(kept, "factor_patterns")
+        moves = {k: fits[k].move for k in odd}
+        directions = separating_directions(kept, layout, {k: fits[k].columns for k in odd}, moves)
+        left = rows.where(F.col("fit").isin(odd))
+        if directions:
+            off = off_the_plane(layout, directions, len(out.specs))
+            left = left.where(~off)
+            out.cut.append((kept.where(off), directions))
+            for k, direction in directions.items():
+                out.separated.setdefault(k, set()).update(np.flatnonzero(np.abs(direction) > ZERO).tolist())
+            gone = {at for at in seen if at[0] in directions} - set(level_counts(left, layout))
+            out.reasons |= {at: "separated" for at in gone}
+        for k in odd:
+            del fits[k]
+        again = frozenset(checked | (set(odd) - set(directions)))
+        _fit(out, left, odd, smooths, knots, penalised, bias_reduced, max_steps, again)
+    if watched and any(f.suspect for f in fits.values()):
+        # Looked at before and found sound: large, but finite.
+        run_fits(framed, layout, {k: f for k, f in fits.items() if not f.converged}, bias_reduced, max_steps=max_steps)
+    out.fits |= fits
+    if fits:
+        out.frames.append((framed, list(fits)))
 
 
 def fit_logit(
@@ -135,64 +370,12 @@ def fit_logit(
     required: Sequence[str] = ("vs_type2",),
     knots: int = 10,
     penalised: bool = True,
+    bias_reduced: bool = False,
+    max_steps: int | None = None,
 ) -> DataFrame:
-    """Tidy parametric terms of a binomial logit model: estimate and standard error.
-
-    The smooths' roughness is chosen by restricted maximum likelihood; ``penalised=False`` fits them
-    freely with the library's own generalised linear model. Terms that are not estimable have nulls, as
-    have all terms of a fit that has not converged.
-    If the reference level of a ``required`` factor is not estimable in these data, neither is any
-    of its contrasts, and all estimates are null.
-    """
-    spark = patterns.sparkSession
-    references = {**REFERENCES, **(references or {})}
-    complete = patterns.dropna(subset=[*factors, *smooths])
-    usable, levels, separated = _estimable(complete, factors, smooths)
-    rows = [(term, None, None, True) for term in separated]
-
-    lost = [f for f in required if f in factors and references[f] not in levels.factors[f]]
-    if lost:
-        rows += [(f"{f}{level}", None, None, True) for f in lost for level in levels.factors[f]]
-        return spark.createDataFrame(rows, TERM_SCHEMA)
-
-    indicators = _indicators(levels, references)
-    splines = {s: natural_spline(levels.smooths[s], knots) for s in smooths}
-    framed = usable
-    for smooth, spline in splines.items():
-        framed = _with_basis(framed, smooth, levels.smooths[smooth], spline)
-    parts = [F.array(F.lit(1.0), *[column for _, column in indicators])]
-    parts += [F.col(f"_{smooth}") for smooth in smooths]
-    design = framed.select(
-        F.concat(*parts).alias("x"),
-        (F.col("cases") / F.col("n")).alias("rate"),
-        F.col("n").cast("double").alias("n"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    names = ["(Intercept)", *[name for name, _ in indicators]]
-    try:
-        if penalised:
-            rows += penalised_terms(design, names, list(splines.values()))
-        else:
-            rows += free_terms(design, names)
-    except NotConverged:
-        # One unfinished fit of many is no reason to lose the others, nor to publish its numbers.
-        rows += [(name, None, None, False) for name in names]
-    finally:
-        design.unpersist()
-    return spark.createDataFrame(rows, TERM_SCHEMA)
-
-
-def free_terms(design: DataFrame, names: list[str], max_iter: int = 50) -> list[tuple]:
-    """Unpenalised fit with ``pyspark.ml``. Aliased columns leave it without standard errors."""
-    columns = F.slice("x", F.lit(2), F.size("x") - 1)
-    vectors = design.select(array_to_vector(columns).alias("features"), "rate", "n")
-    model = GeneralizedLinearRegression(
-        family="binomial", link="logit", labelCol="rate", weightCol="n", maxIter=max_iter, tol=1e-8
-    ).fit(vectors)
-    estimates = [model.intercept, *model.coefficients]
-    try:
-        errors = model.summary.coefficientStandardErrors
-        errors = [float(e) for e in [errors[-1], *errors[:-1]]]
-    except UnsupportedOperationException:
-        errors = [None] * len(estimates)
-    converged = errors[0] is not None and model.summary.numIterations < max_iter
-    return [(name, float(estimates[i]), errors[i], converged) for i, name in enumerate(names)]
+    """Terms of one model: ``term, estimate, std_error, converged, reason``."""
+    spec = FitSpec(
+        factors=tuple(factors), smooths=tuple(smooths), references=references or {}, required=tuple(required)
+    )
+    fitted = fit_all(patterns, [spec], knots, penalised, bias_reduced, max_steps)
+    return fitted.terms(patterns.sparkSession).drop("fit")

@@ -1,82 +1,25 @@
-"""Penalised logistic fit from distributed cross-products.
+"""Penalised logistic fits, many at a time, from distributed cross-products.
 
-Each iteration is one Spark job: score every pattern under the current coefficients and sum the
-weighted cross-products of its columns and working response, with array arithmetic over the Arrow
-batches of a task. The driver only ever holds matrices whose size is the number of model terms.
+Each iteration is one Spark job for all fits that have not ended (``margins``). The driver only ever
+holds matrices whose size is the number of model terms.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from caselink.models.splines import Spline
+from caselink.models.margins import Layout, Products, logit_products
 
 #: Iterations allowed for a fit, and for the penalty strengths inside each of them.
 MAX_STEPS, MAX_STRENGTH_STEPS = 40, 500
 TOLERANCE = 1e-9  # relative change of the penalised deviance
 ALIASED = 1e-9
-
-
-class NotConverged(RuntimeError):
-    """A fit that used up its iterations; its numbers would not be estimates."""
-
-
-def _partial_products(coefficients: np.ndarray):
-    """Cross-products of one task's patterns under the given coefficients, as one row."""
-    size = len(coefficients)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, deviance = np.zeros((size + 1, size + 1)), 0.0
-        for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-            rate, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            # Kept in the range where probabilities stay off 0 and 1.
-            eta = np.clip(x @ coefficients, -30.0, 30.0)
-            p = 1.0 / (1.0 + np.exp(-eta))
-            spread = p * (1.0 - p)
-            columns = np.column_stack([x, eta + (rate - p) / spread])
-            total += (columns * (n * spread)[:, None]).T @ columns
-            deviance -= 2.0 * float(n @ (rate * np.log(p) + (1.0 - rate) * np.log1p(-p)))
-        yield _product_row(total, deviance)
-
-    return run
-
-
-def _product_row(total: np.ndarray, deviance: float) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([total.tobytes()], pa.binary()), pa.array([deviance])], names=["product", "deviance"]
-    )
-
-
-def _add_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, deviance = None, 0.0
-    for batch in batches:
-        for product, part in zip(batch.column(0), batch.column(1)):
-            matrix = np.frombuffer(product.as_buffer())
-            total = matrix.copy() if total is None else total + matrix
-            deviance += part.as_py()
-    if total is not None:
-        yield _product_row(total, deviance)
-
-
-def cross_products(design: DataFrame, coefficients: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weighted cross-products of the columns and, last, the working response; and the deviance.
-
-    Every task sums its own patterns; the sums are added up in groups of about the root of their
-    number before they reach the driver.
-    """
-    size = len(coefficients) + 1
-    schema = "product binary, deviance double"
-    parts = design.select("x", "rate", "n").mapInArrow(_partial_products(coefficients), schema)
-    groups = max(1, math.isqrt(parts.rdd.getNumPartitions()))
-    rows = parts.repartition(groups).mapInArrow(_add_products, schema).collect()
-    total = sum((np.frombuffer(r.product) for r in rows), np.zeros(size * size))
-    return total.reshape(size, size), float(sum(r.deviance for r in rows))
+#: Log odds ratios beyond this are looked at for separation before the fit goes on.
+SUSPECT = 12.0
 
 
 def independent_columns(product: np.ndarray) -> np.ndarray:
@@ -100,18 +43,17 @@ def independent_columns(product: np.ndarray) -> np.ndarray:
     return np.array(kept, dtype=int)
 
 
-def _solve(
+def _strengths(
     product: np.ndarray, response: np.ndarray, penalties: list[np.ndarray], ranks: list[int], strength: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coefficients, covariance and penalty strengths towards the REML optimum of the working model.
+) -> np.ndarray:
+    """Penalty strengths towards the REML optimum of the working model, all of whose columns are smooth.
 
     Fellner-Schall updates: each raises the restricted likelihood and keeps strengths positive. A
     smooth that is a straight line has no finite optimum and its strength drifts on without an
     effect, so whether a fit has ended is told from its coefficients.
     """
     for _ in range(MAX_STRENGTH_STEPS):
-        total = product + sum(s * p for s, p in zip(strength, penalties))
-        covariance = np.linalg.inv(total)
+        covariance = np.linalg.inv(product + sum(s * p for s, p in zip(strength, penalties)))
         coefficients = covariance @ response
         taken = np.array([s * np.sum(covariance * p) for s, p in zip(strength, penalties)])
         updated = np.array(
@@ -120,60 +62,135 @@ def _solve(
                 for t, p, rank in zip(taken, penalties, ranks)
             ]
         )
-        if not len(strength) or np.max(np.abs(np.log(updated / strength))) < 1e-6:
+        if np.max(np.abs(np.log(updated / strength))) < 1e-6:
             break
         strength = updated
-    return coefficients, covariance, strength
-
+    return strength
 
-def penalised_terms(
-    design: DataFrame, names: Sequence[str], splines: Sequence[Spline], max_steps: int = MAX_STEPS
-) -> list[tuple]:
-    """(term, estimate, standard error, converged) of the parametric terms.
 
-    Raises ``NotConverged`` if the penalised deviance or a coefficient still moves after ``max_steps``
-    iterations.
+def _solve(
+    product: np.ndarray, response: np.ndarray, penalties: list[np.ndarray], ranks: list[int], strength: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients, covariance and penalty strengths of the working model.
 
-    ``design`` has the columns ``x`` (parametric columns, then those of each spline), ``rate`` and
-    ``n``. Standard errors come from the covariance that counts the penalty as prior information.
-    Aliased terms have nulls.
+    The strengths depend on the other columns only through what these leave of the smooth ones.
     """
-    widths = [s.basis.shape[1] for s in splines]
-    size = len(names) + sum(widths)
-    penalties, start = [], len(names)
-    for spline, width in zip(splines, widths):
-        full = np.zeros((size, size))
-        full[start : start + width, start : start + width] = spline.penalty
-        penalties.append(full)
-        start += width
-    used = [i for i, s in enumerate(splines) if s.rank > 0]
-    ranks = [splines[i].rank for i in used]
-
-    coefficients, strength, kept = np.zeros(size), np.ones(len(used)), None
-    converged, previous = False, np.inf
-    for _ in range(max_steps):
-        product, deviance = cross_products(design, coefficients)
-        if kept is None:
-            kept = independent_columns(product[:size, :size])
-        objective = deviance + sum(
-            s * coefficients @ penalties[i] @ coefficients for i, s in zip(used, strength)
+    if len(strength):
+        smooth = np.flatnonzero(sum(np.abs(p).sum(axis=0) for p in penalties) > 0)
+        other = np.setdiff1d(np.arange(len(product)), smooth)
+        across = np.linalg.solve(product[np.ix_(other, other)], product[np.ix_(other, smooth)])
+        left = product[np.ix_(smooth, smooth)] - product[np.ix_(smooth, other)] @ across
+        blocks = [p[np.ix_(smooth, smooth)] for p in penalties]
+        strength = _strengths(left, response[smooth] - across.T @ response[other], blocks, ranks, strength)
+    covariance = np.linalg.inv(product + sum(s * p for s, p in zip(strength, penalties)))
+    return covariance @ response, covariance, strength
+
+
+@dataclass
+class Fit:
+    """One fit of a batch: its columns among all entries, its penalties, and where it has come to."""
+
+    columns: list[int]  # entries of the parametric columns, the intercept first
+    smooths: list[tuple[int, np.ndarray, int]]  # first entry, penalty and rank of each smooth
+    entries: int
+    coefficients: np.ndarray = field(init=False)  # over all entries
+    covariance: np.ndarray = field(init=False)  # the same, zero where there is no estimate
+    move: np.ndarray = field(init=False)  # of the parametric coefficients in the last step
+    converged: bool = False
+    suspect: bool = False
+    aliased: set[int] = field(default_factory=set)
+
+    def __post_init__(self) -> None:
+        self.coefficients = np.zeros(self.entries)
+        self.covariance = np.zeros((self.entries, self.entries))
+        self.move = np.zeros(self.entries)
+        self._used = [s for s in self.smooths if s[2] > 0]
+        self._strength = np.ones(len(self._used))
+        self._kept: np.ndarray | None = None
+        self._previous = np.inf
+        smooth = [c for start, penalty, _ in self.smooths for c in range(start, start + len(penalty))]
+        self._all = np.array([*self.columns, *smooth], dtype=int)
+
+    def _penalty(self, start: int, penalty: np.ndarray) -> np.ndarray:
+        full = np.zeros((self.entries, self.entries))
+        full[start : start + len(penalty), start : start + len(penalty)] = penalty
+        return full
+
+    def _find_independent(self, made: Products) -> None:
+        if self._kept is None:
+            independent = independent_columns(made.matrix[np.ix_(self._all, self._all)])
+            self._kept = self._all[independent]
+            self.aliased = set(self._all.tolist()) - set(self._kept.tolist())
+
+    def spread(self, made: Products) -> None:
+        """The covariance under the present coefficients and strengths."""
+        self._find_independent(made)
+        block = np.ix_(self._kept, self._kept)
+        total = made.matrix[block] + sum(
+            s * self._penalty(start, penalty)[block] for s, (start, penalty, _) in zip(self._strength, self._used)
         )
-        block = np.ix_(kept, kept)
-        last, coefficients = coefficients, np.zeros(size)
-        coefficients[kept], covariance, strength = _solve(
-            product[block], product[kept, size], [penalties[i][block] for i in used], ranks, strength
+        self.covariance = np.zeros((self.entries, self.entries))
+        self.covariance[block] = np.linalg.inv(total)
+
+    def step(self, made: Products) -> None:
+        """Take in the cross-products under the present coefficients."""
+        self._find_independent(made)
+        penalties = [self._penalty(start, penalty) for start, penalty, _ in self._used]
+        objective = made.deviance + sum(
+            s * self.coefficients @ p @ self.coefficients for s, p in zip(self._strength, penalties)
         )
-        moved = np.max(np.abs(coefficients - last) / (1 + np.abs(last)), initial=0.0)
-        converged = bool(abs(previous - objective) < TOLERANCE * (abs(objective) + 0.1) and moved < 1e-6)
-        if converged:
+        kept, block = self._kept, np.ix_(self._kept, self._kept)
+        last, self.coefficients = self.coefficients, np.zeros(self.entries)
+        self.coefficients[kept], covariance, self._strength = _solve(
+            made.matrix[block], made.response[kept], [p[block] for p in penalties], [r for _, _, r in self._used], self._strength
+        )
+        self.covariance = np.zeros((self.entries, self.entries))
+        self.covariance[block] = covariance
+        self.move = np.zeros(self.entries)
+        self.move[self.columns] = (self.coefficients - last)[self.columns]
+        moved = np.max(np.abs(self.coefficients - last) / (1 + np.abs(last)), initial=0.0)
+        settled = abs(self._previous - objective) < TOLERANCE * (abs(objective) + 0.1)
+        self.converged = bool(settled and moved < 1e-6)
+        self._previous = objective
+        # Without the intercept, which takes up what the reference levels have in common.
+        self.suspect = bool(np.max(np.abs(self.coefficients[self.columns[1:]]), initial=0.0) > SUSPECT)
+
+
+def run_fits(
+    rows: DataFrame,
+    layout: Layout,
+    fits: dict[int, Fit],
+    bias_reduced: bool = False,
+    stop_suspects: bool = False,
+    max_steps: int | None = None,
+) -> None:
+    """Iterate all fits over ``rows`` (``fit``, codes, ``b``, ``n``, ``cases``) until each has ended.
+
+    As many scans as the slowest fit needs steps; twice as many where bias is reduced, since leverages
+    take a covariance that is summed first. With ``stop_suspects`` a fit ends, unconverged, where a
+    coefficient becomes implausible.
+    """
+    size = max(fits, default=-1) + 1
+
+    def under_present(going: list[int], spreads: np.ndarray | None = None) -> dict[int, Products]:
+        coefficients = np.zeros((size, layout.entries))
+        for k in going:
+            coefficients[k] = fits[k].coefficients
+        made = logit_products(rows.where(F.col("fit").isin(going)), layout, coefficients, spreads)
+        return {k: made.get(k) or Products(layout) for k in going}
+
+    def covariances(going: list[int]) -> np.ndarray:
+        spreads = np.zeros((size, layout.entries, layout.entries))
+        for k, made in under_present(going).items():
+            fits[k].spread(made)
+            spreads[k] = fits[k].covariance
+        return spreads
+
+    for _ in range(MAX_STEPS if max_steps is None else max_steps):
+        going = [k for k, f in fits.items() if not f.converged and not (stop_suspects and f.suspect)]
+        if not going:
             break
-        previous = objective
-    if not converged:
-        raise NotConverged(f"penalised deviance or coefficients after {max_steps} steps")
-    errors = dict(zip(kept.tolist(), np.sqrt(np.diag(covariance))))
-    return [
-        (name, float(coefficients[i]), float(errors[i]), converged)
-        if i in errors
-        else (name, None, None, converged)
-        for i, name in enumerate(names)
-    ]
+        for k, made in under_present(going, covariances(going) if bias_reduced else None).items():
+            fits[k].step(made)
+    if bias_reduced and fits:
+        covariances(list(fits))

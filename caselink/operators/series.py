@@ -122,6 +122,20 @@ def month_sequence(start: date, end: date, months: int = 1) -> Column:
     return F.sequence(F.lit(start), F.lit(end), F.make_interval(F.lit(0), F.lit(months)))
 
 
+def monthly_counts(df: DataFrame, day: str, start: date, end: date, months: int = 1) -> DataFrame:
+    """``axis_date, n``: rows per step of so many months from ``start``, steps without rows included.
+
+    Rows before ``start`` or after ``end`` are not counted.
+    """
+    counted = df.where(F.col(day).between(F.lit(start), F.lit(end))).groupBy(day).agg(F.count("*").alias("n"))
+    axis = month_sequence(start, end, months)
+    # The last axis date that is not after the day.
+    at = F.array_max(F.filter(axis, lambda x: x <= F.col(day)))
+    seen = counted.groupBy(at.alias("axis_date")).agg(F.sum("n").alias("n"))
+    grid = df.sparkSession.range(1).select(F.explode(axis).alias("axis_date"))
+    return grid.join(seen, "axis_date", "left").select("axis_date", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 # --- vaccine uptake ---------------------------------------------------------------------------
 
 

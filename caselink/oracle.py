@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from caselink.sources import CARRIERS
+from caselink.sources import CARRIERS, CARRIER_STUDY
 from caselink.sources.carriers import input_tables
 
 STEPS: dict[str, str] = {
@@ -593,6 +593,92 @@ ORACLE["ve_single_factor"] = _sql(
 ORACLE["ve_single_factor_age"] = _sql(
     f"SELECT cohort, idade_cat, vs_type2, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error FROM crude_age WHERE {FITTED}"
 )
+
+
+def _bias_reduced(source: str, groups: str) -> str:
+    """With one factor, Jeffreys' prior adds half a case and half a control to every level."""
+    return _sql(f"""
+SELECT {', '.join(f'x.{g}' for g in groups.split(', '))}, x.vs_type2, round(ln(x.p / (1 - x.p)) - ln(u.p / (1 - u.p)), 6) AS estimate,
+  round(sqrt(1 / ((x.cases + x.controls) * x.p * (1 - x.p)) + 1 / ((u.cases + u.controls) * u.p * (1 - u.p))), 6) AS std_error
+FROM (SELECT *, (cases + 0.5e0) / (cases + controls + 1) AS p FROM {source}) x
+JOIN (SELECT *, (cases + 0.5e0) / (cases + controls + 1) AS p FROM {source} WHERE vs_type2 = 'uv') u USING ({groups})
+WHERE x.vs_type2 <> 'uv' AND {FITTED}""")
+
+
+ORACLE["ve_bias_reduced"] = _bias_reduced("cc_counts", "cohort")
+ORACLE["ve_bias_reduced_age"] = _bias_reduced("cc_counts_age", "cohort, idade_cat")
+MAIN_TERMS = ["vs_type2", "prev_infected", "sexo", "uf", "n_comorb"]
+PREGNANT = ["puerpera", "gestante"]
+SCORE_ROUNDS = 8
+
+
+def _scores(fits: list[tuple[dict, str, str | None, list[str], bool]], reference: str = "uv", one_sided: bool = False) -> str:
+    """Records and cases by level in each fit's complete records, less levels of one result only.
+
+    A fit is (keys, cohort, age group, factors, pregnancy terms if someone is 55 or younger). Cases are
+    those observed, which the fitted ones of a score equation must equal. Levels of one result go in
+    rounds, since a round's records may have been another level's last cases.
+    """
+    factors = list(dict.fromkeys(f for _, _, _, own, young in fits for f in [*own, *(PREGNANT if young else [])]))
+    keys = list(fits[0][0])
+    parts = []
+    for number, (key, cohort, age, own, young) in enumerate(fits):
+        named = ", ".join(f"'{key[k]}' AS {k}" for k in keys)
+        inside = IN_COHORT[cohort] + (f" AND {AGE_GROUP} = '{age}'" if age else "")
+        is_young = f"(SELECT coalesce(min(idade) <= 55, FALSE) FROM lumped_analysis WHERE {inside})" if young else "FALSE"
+        columns = []
+        for f in factors:
+            if f in own:
+                columns.append(f"CAST({f} AS VARCHAR) AS {f}, TRUE AS has_{f}")
+            elif young and f in PREGNANT:
+                columns.append(f"CAST({f} AS VARCHAR) AS {f}, {is_young} AS has_{f}")
+            else:
+                columns.append(f"NULL AS {f}, FALSE AS has_{f}")
+        parts.append(
+            f"SELECT {number} AS fit, {named + ', ' if named else ''}{', '.join(columns)}, CAST(confirmado = 'Confirmado' AS BIGINT) AS y "
+            f"FROM lumped_analysis WHERE {inside} AND date_year IS NOT NULL AND idade IS NOT NULL"
+        )
+    whole = " AND ".join(f"(NOT has_{f} OR {f} IS NOT NULL)" for f in factors)
+    both = " AND ".join(f"(NOT has_{f} OR min(y) OVER (PARTITION BY fit, {f}) < max(y) OVER (PARTITION BY fit, {f}))" for f in factors)
+    rounds = [f"score_0 AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE {whole})"]
+    last = 0
+    if not one_sided:
+        last = SCORE_ROUNDS
+        rounds += [f"score_{i} AS (SELECT * FROM score_{i - 1} QUALIFY {both})" for i in range(1, last + 1)]
+    levels = "\nUNION ALL ".join(
+        f"SELECT {', '.join([*keys, ''])}'{f}' AS factor, {f} AS level, COUNT(*) AS records, CAST(SUM(y) AS BIGINT) AS observed, "
+        f"CAST(SUM(y) AS DOUBLE) AS fitted FROM kept WHERE has_{f} GROUP BY ALL"
+        for f in factors
+    )
+    kept = f"kept AS (SELECT * FROM score_{last} WHERE fit IN (SELECT fit FROM score_{last} WHERE vs_type2 = '{reference}'))"
+    body = ",\n".join([*rounds, kept])
+    plain = _sql(f"SELECT 1 FROM lumped_analysis")
+    return plain[: plain.rindex("SELECT 1")].rstrip() + ",\n" + body + "\n" + levels
+
+
+OUTCOME_FITS = [({"outcome": c}, c, None, MAIN_TERMS, True) for c in ("Infection", "Severe", "Death", "Hosp")]
+AGES = ["18-59", "60-79", "80+"]
+CHANGED = ["Infection", "Severe", "Infection_antigen", "Severe_antigen"]
+ORACLE["ve_model_scores"] = _scores([({}, "Infection", None, MAIN_TERMS, True)])
+ORACLE["ve_by_outcome_scores"] = _scores(OUTCOME_FITS)
+ORACLE["ve_by_outcome_bias_reduced_scores"] = _scores(OUTCOME_FITS, one_sided=True)
+ORACLE["ve_antigen_scores"] = _scores([({"outcome": c}, c, None, MAIN_TERMS, True) for c in ("Infection_antigen", "Severe_antigen")])
+ORACLE["ve_by_age_scores"] = _scores(
+    [({"outcome": c, "idade_cat": a}, c, a, MAIN_TERMS, True) for c in ("Infection", "Severe", "Death", "Hosp") for a in AGES]
+)
+ORACLE["ve_reference_change_scores"] = _scores(
+    [({"outcome": c, "idade_cat": "Overall"}, c, None, MAIN_TERMS, True) for c in CHANGED]
+    + [({"outcome": c, "idade_cat": a}, c, a, MAIN_TERMS, True) for c in CHANGED for a in AGES],
+    reference="CV_v2_181+",
+)
+ORACLE["ve_confounder_ladder_scores"] = _scores(
+    [
+        ({"mod": "minimal"}, "Infection", None, ["vs_type2", "sexo"], False),
+        ({"mod": "medium"}, "Infection", None, ["vs_type2", "prev_infected", "sexo"], False),
+        ({"mod": "ms"}, "Infection", None, [*MAIN_TERMS, *PREGNANT], False),
+        ({"mod": "full"}, "Infection", None, [*MAIN_TERMS, *PREGNANT, "raca"], False),
+    ]
+)
 CATEGORIES = [
     "sexo", "raca", "idade_cat", "tipo_teste", "macro_region", "n_comorb", "prev_infected",
     "hosp_event", "death_event", "outcome", "vs_type3",
@@ -663,6 +749,18 @@ ORACLE["epidemic_series"] = _sql("\nUNION ALL ".join([
     _weekly("death", "died", "dt_evoluca", "dt_evoluca > DATE '1995-01-11' AND dt_evoluca < DATE '2001-06-04'", "2001-06-03"),
     _weekly("severe", "severe", "data_severe", f"{CASES} AND data_severe > DATE '1995-02-11' AND data_severe < DATE '2001-06-03'", "2001-06-03"),
 ]))
+
+
+def _axis(step: str, months: int) -> str:
+    start, end = f"DATE '{CARRIER_STUDY.axis_start}'", f"DATE '{CARRIER_STUDY.axis_end}'"
+    return f"""
+SELECT '{step}' AS step, CAST(axis AS DATE) AS axis_date, COUNT(l.rec_id) AS n
+FROM (SELECT unnest(generate_series({start}, {end}, INTERVAL {months} MONTH)) AS axis)
+LEFT JOIN lab l ON l.confirmado = 'Confirmado' AND l.dt_inicio_sintomas BETWEEN {start} AND {end}
+  AND l.dt_inicio_sintomas >= axis AND l.dt_inicio_sintomas < axis + INTERVAL {months} MONTH GROUP BY ALL"""
+
+
+ORACLE["axis_months"] = _sql(f"{_axis('month', 1)}\nUNION ALL {_axis('quarter', 3)}")
 ORACLE["severe_outcomes"] = _sql("SELECT * FROM severe")
 ORACLE["severe_series_all_results"] = _sql(f"""
 SELECT {_week('data_severe')} AS week, COUNT(*) AS n FROM severe

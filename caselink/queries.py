@@ -655,6 +655,16 @@ def severe_series_all_results(spark, sf_dir):
     return _lab(spark, sf_dir).transform(S.severe_series, CFG)
 
 
+@query()
+def axis_months(spark, sf_dir):
+    """Cases by month and quarter of onset along the series' axis; months without cases stay."""
+    cases = _lab(spark, sf_dir).where((F.col("confirmado") == C.CASE) & F.col("dt_inicio_sintomas").isNotNull())
+    return reshape.tagged_union(
+        {step: S.monthly_counts(cases, "dt_inicio_sintomas", CFG.axis_start, CFG.axis_end, months) for step, months in (("month", 1), ("quarter", 3))},
+        "step",
+    )
+
+
 @query()
 def variant_share(spark, sf_dir):
     return _variants(spark, sf_dir).transform(S.variant_share)
@@ -703,8 +713,7 @@ def ve_figure_frame(spark, sf_dir):
 
 @query()
 def ve_model(spark, sf_dir):
-    patterns = _patterns(spark, sf_dir)
-    return models.ve_model(models.effectiveness.of_cohort(patterns, "Infection"))
+    return models.ve_model(_patterns(spark, sf_dir), cohort="Infection")
 
 
 @query()
@@ -742,3 +751,58 @@ def ve_single_factor_age(spark, sf_dir):
 @query()
 def ve_antigen(spark, sf_dir):
     return models.by_outcome(_patterns(spark, sf_dir), ["Infection_antigen", "Severe_antigen"])
+
+
+@query()
+def ve_bias_reduced(spark, sf_dir):
+    """Exposure alone under Jeffreys' prior, which has an estimate also for levels without cases."""
+    return models.single_factor(_patterns(spark, sf_dir), bias_reduced=True)
+
+
+@query()
+def ve_bias_reduced_age(spark, sf_dir):
+    return models.single_factor(_patterns(spark, sf_dir), by_age_group=True, bias_reduced=True)
+
+
+@query()
+def ve_by_outcome_bias_reduced(spark, sf_dir):
+    """Adjusted effectiveness per cohort under Jeffreys' prior."""
+    return models.effects(_patterns(spark, sf_dir), models.outcome_specs(), bias_reduced=True)
+
+
+# Score equations of the adjusted fits: fitted against observed cases by level.
+
+
+@query(digits=4)
+def ve_model_scores(spark, sf_dir):
+    return models.scores(_patterns(spark, sf_dir), [models.main_spec("Infection")])
+
+
+@query(digits=4)
+def ve_confounder_ladder_scores(spark, sf_dir):
+    return models.scores(_patterns(spark, sf_dir), models.ladder_specs())
+
+
+@query(digits=4)
+def ve_by_outcome_scores(spark, sf_dir):
+    return models.scores(_patterns(spark, sf_dir), models.outcome_specs())
+
+
+@query(digits=4)
+def ve_by_age_scores(spark, sf_dir):
+    return models.scores(_patterns(spark, sf_dir), models.age_specs())
+
+
+@query(digits=4)
+def ve_reference_change_scores(spark, sf_dir):
+    return models.scores(_patterns(spark, sf_dir), models.reference_specs())
+
+
+@query(digits=4)
+def ve_antigen_scores(spark, sf_dir):
+    return models.scores(_patterns(spark, sf_dir), models.outcome_specs(models.effectiveness.ANTIGEN))
+
+
+@query(digits=4)
+def ve_by_outcome_bias_reduced_scores(spark, sf_dir):
+    return models.scores(_patterns(spark, sf_dir), models.outcome_specs(), bias_reduced=True)

@@ -168,24 +168,14 @@ def test_figure_frame(spark):
 def test_aliased_columns(spark, rows):
     twins = [(*r[:3], "11" if r[0] == "AZ_v1_14+" else "35", *r[4:]) for r in rows]
     df = spark.createDataFrame(twins, FRAME)
-    free = terms(fit_logit(df, ["vs_type2", "uf"], smooths=[], penalised=False))
-    assert free["uf11"]["std_error"] is None and not free["uf11"]["converged"]
     got = terms(fit_logit(df, ["vs_type2", "uf"], smooths=[]))
     plain = terms(fit_logit(df, ["vs_type2"], smooths=[]))
-    assert got["uf11"]["estimate"] is None and got["uf11"]["converged"]
+    assert got["uf11"]["estimate"] is None and got["uf11"]["converged"] and got["uf11"]["reason"] == "aliased"
     for name, row in plain.items():
         assert got[name]["estimate"] == pytest.approx(row["estimate"], abs=1e-6)
         assert got[name]["std_error"] == pytest.approx(row["std_error"], abs=1e-6)
 
 
-def test_free_and_penalised_agree_without_smooths(spark, rows):
-    df = spark.createDataFrame(rows, FRAME)
-    free = terms(fit_logit(df, ["vs_type2", "sexo"], smooths=[], penalised=False))
-    for name, row in terms(fit_logit(df, ["vs_type2", "sexo"], smooths=[])).items():
-        assert free[name]["estimate"] == pytest.approx(row["estimate"], abs=1e-6)
-        assert free[name]["std_error"] == pytest.approx(row["std_error"], abs=1e-6)
-
-
 def working_reml(x, y, beta, penalties, strengths):
     """Restricted log-likelihood of the working model at ``beta``, up to a constant."""
     mu = 1 / (1 + np.exp(-x @ beta))
@@ -242,23 +232,192 @@ def test_penalty_is_the_integrated_squared_second_derivative():
     assert coefficients @ spline.penalty @ coefficients == pytest.approx(np.sum(second**2) * step, rel=0.02)
 
 
-def test_a_fit_that_runs_out_of_steps_raises(spark):
-    import pytest
-    from pyspark.sql import functions as F
+def test_an_unfinished_fit_publishes_no_numbers(spark, rows):
+    df = spark.createDataFrame(rows, FRAME)
+    got = fit_logit(df, ["vs_type2", "sexo"], smooths=[], max_steps=1).collect()
+    assert got and all(r["estimate"] is None and not r["converged"] and r["reason"] == "not_converged" for r in got)
+
+
+def test_one_sided_levels_say_why(spark, rows):
+    lonely = [("CV_v1_0:6", "No-Prev-Infected", "F", "35", "0", 0, 0, 10, 30, 5, 0), ("CV_v1_7:13", "No-Prev-Infected", "F", "35", "0", 0, 0, 10, 30, 2, 2)]
+    got = terms(fit_logit(spark.createDataFrame([*rows, *lonely], FRAME), ["vs_type2", "sexo"], smooths=[]))
+    assert {t: r["reason"] for t, r in got.items() if r["estimate"] is None} == {
+        "vs_type2CV_v1_0:6": "no_cases", "vs_type2CV_v1_7:13": "no_controls",
+    }
+
+
+def crossed(cells, smooth=False):
+    """Rows of (exposure, sex, cases, controls); other covariates constant, or days and ages spread."""
+    rows, k = [], 0
+    for label, sex, cases, controls in cells:
+        for case in [1] * cases + [0] * controls:
+            k += 1
+            when, age = (k * 7 % 60, 20 + k * 5 % 40) if smooth else (0, 30)
+            rows.append((label, "No-Prev-Infected", sex, "35", "0", 0, 0, when, age, 1, case))
+    return rows
+
 
-    from caselink.models.penalised import NotConverged, penalised_terms
+#: Every level has cases and controls, but (late, F) has cases only and (uv, M) controls only.
+TORN = [("uv", "F", 30, 40), ("CV_v2_181+", "F", 12, 0), ("uv", "M", 0, 9), ("CV_v2_181+", "M", 25, 20), ("AZ_v1_14+", "F", 9, 11)]
 
-    rows = [([1.0, float(i % 2)], 0.25 + 0.5 * (i % 2), 10.0) for i in range(20)]
-    design = spark.createDataFrame(rows, "x array<double>, rate double, n double").withColumn("n", F.col("n"))
-    with pytest.raises(NotConverged):
-        penalised_terms(design, ["(Intercept)", "treated"], [], max_steps=1)
-    assert all(t[3] for t in penalised_terms(design, ["(Intercept)", "treated"], []))
 
+@pytest.mark.parametrize("smooths", [[], ["date_year", "idade"]])
+def test_separation_by_two_factors(spark, smooths):
+    df = spark.createDataFrame(crossed(TORN, bool(smooths)), FRAME)
+    got = terms(fit_logit(df, ["vs_type2", "sexo"], smooths=smooths))
+    reasons = {t: r["reason"] for t, r in got.items()}
+    assert reasons == {"(Intercept)": None, "vs_type2CV_v2_181+": "separated", "sexoM": "separated", "vs_type2AZ_v1_14+": None}
+    kept = [c for c in TORN if c[:2] not in (("CV_v2_181+", "F"), ("uv", "M"))]
+    if not smooths:
+        assert got["vs_type2AZ_v1_14+"]["estimate"] == pytest.approx(math.log(9 / 11) - math.log(30 / 40), abs=1e-6)
+        rest = terms(fit_logit(spark.createDataFrame(crossed(kept), FRAME), ["vs_type2", "sexo"], smooths=[]))
+        assert got["vs_type2AZ_v1_14+"]["std_error"] == pytest.approx(rest["vs_type2AZ_v1_14+"]["std_error"], abs=1e-6)
 
-def test_an_unfinished_fit_publishes_no_numbers(spark, rows, monkeypatch):
-    from caselink.models import fit
-    from caselink.models.penalised import penalised_terms
 
-    monkeypatch.setattr(fit, "penalised_terms", lambda *a: penalised_terms(*a, max_steps=1))
-    got = fit_logit(spark.createDataFrame(rows, FRAME), ["vs_type2", "sexo"], smooths=[]).collect()
-    assert got and all(r["estimate"] is None and not r["converged"] for r in got)
+def test_large_but_finite_effects_are_not_separated(spark, monkeypatch):
+    from caselink.models import penalised
+
+    monkeypatch.setattr(penalised, "SUSPECT", 0.5)
+    cells = [("uv", "F", 30, 2), ("CV_v2_181+", "F", 2, 60), ("uv", "M", 9, 3), ("CV_v2_181+", "M", 1, 20)]
+    df = spark.createDataFrame(crossed(cells), FRAME)
+    got = terms(fit_logit(df, ["vs_type2", "sexo"], smooths=[]))
+    assert all(r["converged"] and r["reason"] is None for r in got.values())
+    assert got["vs_type2CV_v2_181+"]["estimate"] < -4
+
+
+def test_separation_without_a_hint(spark):
+    """The search itself, from patterns, against brute force over small whole directions."""
+    from itertools import product as every
+
+    from caselink.models.margins import Layout
+    from caselink.models.separation import separating_directions
+
+    layout = Layout(("a", "b"), (("0", "1", "2"), ("0", "1")), 0)
+    rng = np.random.default_rng(6)
+    rows, truth = [], {}
+    for fit in range(6):
+        cells = {(a, b): (int(rng.integers(0, 3)), int(rng.integers(0, 3))) for a in range(3) for b in range(2)}
+        here = [(fit, a + 1, b + 1, cases + controls, cases) for (a, b), (cases, controls) in cells.items() if cases + controls]
+        rows += here
+        truth[fit] = False
+        for d in every((-1, 0, 1, -2, 2), repeat=4):
+            reach = [(d[0] + (d[1] if a == 2 else d[2] if a == 3 else 0) + (d[3] if b == 2 else 0), n, c) for _, a, b, n, c in here]
+            right = all((v == 0) if 0 < c < n else (v >= 0 if c == n else v <= 0) for v, n, c in reach)
+            truth[fit] |= right and any(v for v, _, _ in reach)
+    columns = {k: [0, layout.entry("a", "1"), layout.entry("a", "2"), layout.entry("b", "1")] for k in truth}
+    frame = spark.createDataFrame(rows, "fit int, f0 int, f1 int, n bigint, cases bigint")
+    found = separating_directions(frame, layout, columns)
+    assert {k: k in found for k in truth} == truth and len(set(truth.values())) == 2
+
+
+def test_cross_products_equal_the_dense_ones(spark):
+    from caselink.models.margins import Layout, logit_products
+
+    rng = np.random.default_rng(3)
+    layout = Layout(("a", "b", "c"), (("x", "y", "z"), ("p", "q"), ("k",)), 3)
+    rows, dense = [], []
+    for _ in range(400):
+        fit, a, b, c = int(rng.integers(2)), int(rng.integers(1, 4)), int(rng.integers(1, 3)), 0
+        basis, n = rng.normal(size=3), int(rng.integers(1, 5))
+        cases = int(rng.integers(0, n + 1))
+        rows.append((fit, a, b, c, basis.tolist(), n, cases))
+        x = np.zeros(layout.entries)
+        x[[0, layout.offsets[0] + a, layout.offsets[1] + b]] = 1
+        x[layout.smooth_offset :] = basis
+        dense.append((fit, x, n, cases))
+    coefficients = rng.normal(size=(2, layout.entries)) / 3
+    spreads = np.array([m @ m.T / 50 for m in rng.normal(size=(2, layout.entries, layout.entries))])
+    absent = layout.offsets  # code 0: a fit without the factor has nothing there
+    coefficients[:, absent] = 0
+    spreads[:, absent] = 0
+    spreads[:, :, absent] = 0
+    frame = spark.createDataFrame(rows, "fit int, f0 int, f1 int, f2 int, b array<double>, n bigint, cases bigint")
+    for given in (None, spreads):
+        made = logit_products(frame, layout, coefficients, given)
+        for fit in (0, 1):
+            x, n, cases = (np.array([d[i] for d in dense if d[0] == fit], float) for i in (1, 2, 3))
+            eta = x @ coefficients[fit]
+            p = 1 / (1 + np.exp(-eta))
+            if given is not None:
+                h = n * p * (1 - p) * np.einsum("ij,jk,ik->i", x, given[fit], x)
+                n, cases = n + h, cases + h / 2
+            w = n * p * (1 - p)
+            real = np.ones(layout.entries, bool)
+            real[layout.offsets[2]] = False  # the code of a factor that the fits do not have
+            block = np.ix_(real, real)
+            assert np.allclose(made[fit].matrix[block], (x.T @ (x * w[:, None]))[block])
+            assert np.allclose(made[fit].response[real], (x.T @ (w * eta + cases - n * p))[real])
+            assert made[fit].deviance == pytest.approx(-2 * float(cases @ np.log(p) + (n - cases) @ np.log1p(-p)))
+
+
+def test_no_python_runs_beside_the_driver(spark):
+    from caselink.models.margins import Layout, dot, entry_sums, quadratic
+
+    layout = Layout(("a",), (("x", "y"),), 2)
+    frame = spark.createDataFrame([(0, 1, [0.5, 1.0], 3, 1)], "fit int, f0 int, b array<double>, n bigint, cases bigint")
+    ones = np.ones((1, layout.entries))
+    sums = {"p": dot(layout, ones), "q": quadratic(layout, np.ones((1, layout.entries, layout.entries)))}
+    plan = entry_sums(frame, layout, sums)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert "from_json" not in plan.split("== Optimized Logical Plan ==")[1]  # constants, not parsed by row
+
+
+def test_fits_of_a_batch_equal_single_ones(spark, rows):
+    from caselink.models import FitSpec, fit_all
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, FRAME)
+    specs = [
+        FitSpec({"m": "old"}, F.col("idade") >= 40, ("vs_type2", "sexo")),
+        FitSpec({"m": "all"}, None, ("vs_type2", "prev_infected"), ("idade",)),
+        FitSpec({"m": "plain"}, F.col("date_year") < 50, ("vs_type2", "sexo"), ()),
+        FitSpec({"m": "none"}, F.col("idade") > 1000, ("vs_type2", "sexo")),
+    ]
+    fitted = fit_all(df, specs)
+    together = {(r["m"], r["term"]): r for r in fitted.keyed(fitted.terms(spark)).collect()}
+    for spec in specs[:3]:
+        chosen = df.where(spec.condition())
+        alone = terms(fit_logit(chosen, list(spec.factors), list(spec.smooths)))
+        assert {t for m, t in together if m == spec.key["m"]} == set(alone)
+        for term, row in alone.items():
+            assert together[spec.key["m"], term]["estimate"] == pytest.approx(row["estimate"], abs=1e-9)
+            assert together[spec.key["m"], term]["std_error"] == pytest.approx(row["std_error"], abs=1e-9)
+    assert not [t for m, t in together if m == "none"]
+
+
+def test_scores_balance_also_where_records_are_separated(spark, rows):
+    from caselink.models import FitSpec, scores
+
+    young = [(*r[:5], int(i % 3 == 0), int(i % 4 == 0), *r[7:]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(young, FRAME)
+    got = scores(df, [FitSpec({}, None, ("vs_type2", "sexo"), pregnancy=True)]).collect()
+    assert {r["factor"] for r in got} == {"vs_type2", "sexo", "puerpera", "gestante"}
+    assert all(r["fitted"] == pytest.approx(r["observed"], abs=1e-6) for r in got)
+    torn = scores(spark.createDataFrame(crossed(TORN), FRAME), [FitSpec({}, None, ("vs_type2", "sexo"), ())]).collect()
+    table = {(r["factor"], r["level"]): (r["records"], r["observed"], round(r["fitted"], 6)) for r in torn}
+    assert table["sexo", "M"] == (54, 25, 25.0) and table["vs_type2", "CV_v2_181+"] == (57, 37, 37.0)
+
+
+def firth(x, y):
+    """Newton for Jeffreys' prior with the leverages spelt out, damped."""
+    beta = np.zeros(x.shape[1])
+    for _ in range(4000):
+        p = 1 / (1 + np.exp(-x @ beta))
+        w = p * (1 - p)
+        covariance = np.linalg.inv(x.T @ (x * w[:, None]))
+        h = w * np.einsum("ij,jk,ik->i", x, covariance, x)
+        beta = beta + 0.3 * covariance @ (x.T @ (y - p + h * (0.5 - p)))
+    return beta, np.sqrt(np.diag(covariance))
+
+
+def test_bias_reduced_fit_has_all_levels(spark):
+    cells = [*TORN, ("CV_v1_0:6", "F", 0, 7), ("CV_v1_0:6", "M", 0, 1)]
+    rows = crossed(cells)
+    got = terms(fit_logit(spark.createDataFrame(rows, FRAME), ["vs_type2", "sexo"], smooths=[], bias_reduced=True))
+    names = ["CV_v2_181+", "AZ_v1_14+", "CV_v1_0:6"]
+    x = np.array([[1.0, *[float(r[0] == n) for n in names], float(r[2] == "M")] for r in rows])
+    beta, error = firth(x, np.array([r[-1] for r in rows], float))
+    for i, term in enumerate(["(Intercept)", *[f"vs_type2{n}" for n in names], "sexoM"]):
+        assert got[term]["converged"] and got[term]["reason"] is None
+        assert got[term]["estimate"] == pytest.approx(beta[i], abs=1e-6)
+        assert got[term]["std_error"] == pytest.approx(error[i], abs=1e-6)

@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 # Training-data queries have tests of their own.
 ORACLE = {k: v for k, v in entry_point.oracle_sql().items() if k not in entry_point.LLM_QUERIES}
 QUERIES = {k: v for k, v in entry_point.queries().items() if k not in entry_point.LLM_QUERIES}
-MODELS = ["ve_model", "ve_confounder_ladder", "ve_by_outcome", "ve_by_age", "ve_reference_change", "ve_antigen"]
+MODELS = ["ve_model", "ve_confounder_ladder", "ve_by_outcome", "ve_by_age", "ve_reference_change", "ve_antigen", "ve_by_outcome_bias_reduced"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
