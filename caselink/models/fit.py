@@ -116,20 +116,28 @@ def _coded(patterns: DataFrame, specs: Sequence[FitSpec], layout: Layout, smooth
     return savepoint(grouped, "design")
 
 
-def _estimable(rows: DataFrame, layout: Layout) -> tuple[DataFrame, dict[tuple[int, int], tuple[int, int]], dict[tuple[int, int], str]]:
+def _estimable(
+    rows: DataFrame, layout: Layout
+) -> tuple[DataFrame, dict[tuple[int, int], tuple[int, int]], dict[tuple[int, int], str], list[dict[int, np.ndarray]]]:
     """Leave out levels seen only among cases or only among controls, until none is left.
 
     Their coefficient is infinite and takes up all of their records' likelihood, so the other
-    coefficients are those of the fit without them.
+    coefficients are those of the fit without them. Returns the rows that are left, their level counts,
+    the reasons of the levels that went, and each round's direction: up for cases, down for controls.
     """
     reasons: dict[tuple[int, int], str] = {}
+    directions = []
     while True:
         seen = level_counts(rows, layout)
         one_sided = {at: "no_cases" if cases == 0 else "no_controls" for at, (cases, n) in seen.items() if cases in (0, n)}
         if not one_sided:
-            return rows, seen, reasons
+            return rows, seen, reasons, directions
         reasons |= one_sided
         rows = without_levels(rows, layout, list(one_sided))
+        round_: dict[int, np.ndarray] = {}
+        for (k, entry), reason in one_sided.items():
+            round_.setdefault(k, np.zeros(layout.entries))[entry] = -1.0 if reason == "no_cases" else 1.0
+        directions.append(round_)
 
 
 def _with_basis(
@@ -159,7 +167,9 @@ def _with_basis(
         rows = rows.join(frame, (F.col("fit") == F.col("_fit")) & (F.col(f"s{i}") == F.col("_v"))).drop("_fit", "_v")
     parts = [F.col(f"b{i}") for i in range(len(smooths))]
     codes = [c for c in rows.columns if c.startswith("f")]
-    return savepoint(rows.select(*codes, F.concat(*parts).alias("b"), "n", "cases"), "framed"), splines
+    values_ = [f"s{i}" for i in range(len(smooths))]
+    return savepoint(rows.select(*codes, *values_, F.concat(*parts).alias("b"), "n", "cases"), "framed"), splines
+
 
 
 class Fitted:
@@ -232,8 +242,9 @@ class Fitted:
             out = found if out is None else out.unionByName(found)
         for rows, directions in self.cut:
             # Far along a separating direction a record's probability is zero or one.
-            table = direction_table(layout, directions, size)
-            ends = F.when(dot(without_smooths(layout), table) > 0, F.col("n")).otherwise(0).cast("double")
+            of = layout if "b" in rows.columns else without_smooths(layout)
+            end = dot(of, direction_table(of, directions, size))
+            ends = F.when(end > 0, F.col("n")).otherwise(0).cast("double")
             sums = {"records": F.col("n"), "observed": F.col("cases"), "fitted": ends}
             out = out.unionByName(entry_sums(rows, layout, sums))
         if out is None:
@@ -300,17 +311,28 @@ def _fit(
     bias_reduced: bool,
     max_steps: int | None,
     checked: frozenset[int] = frozenset(),
+    first: bool = True,
 ) -> None:
     """Fit the ``members``; those that turn out separated go round again without the separated records."""
     layout = out.layout
     if bias_reduced:
         seen = level_counts(rows, layout)
     else:
-        rows, seen, reasons = _estimable(rows, layout)
-        out.reasons |= reasons
+        whole = rows
+        rows, seen, reasons, rounds = _estimable(rows, layout)
+        out.reasons |= {at: reason if first else "separated" for at, reason in reasons.items()}
+        # Levels that only a separation has left with one result are part of it.
+        for directions in rounds if not first else []:
+            narrow = {k: d[: layout.smooth_offset] for k, d in directions.items()}
+            off = off_the_plane(without_smooths(layout), narrow, len(out.specs))
+            out.cut.append((whole.where(off), narrow))
+            whole = whole.where(~off)
     going = []
     for k in members:
         spec = out.specs[k]
+        if not first:
+            going.append(k)
+            continue
         own = [(f, layout.offsets[i]) for i, f in enumerate(layout.factors) if f in spec.required and f in spec.factors]
         lost = [f for f, _ in own if (spec.reference(f) not in layout.levels[layout.factors.index(f)]) or (k, layout.entry(f, spec.reference(f))) not in seen]
         if lost:
@@ -336,24 +358,23 @@ def _fit(
     run_fits(framed, layout, fits, bias_reduced, stop_suspects=watched, max_steps=max_steps)
     odd = [k for k, f in fits.items() if f.suspect and k not in checked] if watched else []
     if odd:
-        codes = ["fit", *[f"f{i}" for i in range(len(layout.factors))]]
-        kept = framed.where(F.col("fit").isin(odd)).groupBy(*codes).agg(F.sum("n").alias("n"), F.sum("cases").alias("cases"))
-        kept = savepoint(kept, "factor_patterns")
         moves = {k: fits[k].move for k in odd}
-        directions = separating_directions(kept, layout, {k: fits[k].columns for k in odd}, moves)
+        directions = separating_directions(framed, layout, {k: fits[k].free() for k in odd}, moves)
         left = rows.where(F.col("fit").isin(odd))
         if directions:
             off = off_the_plane(layout, directions, len(out.specs))
-            left = left.where(~off)
-            out.cut.append((kept.where(off), directions))
+            out.cut.append((framed.where(off), directions))
+            # Back to the smooths' values, which the next round's splines are made of.
+            left = framed.where(F.col("fit").isin(odd) & ~off).drop("b")
             for k, direction in directions.items():
-                out.separated.setdefault(k, set()).update(np.flatnonzero(np.abs(direction) > ZERO).tolist())
+                part = np.abs(direction[: layout.smooth_offset])
+                out.separated.setdefault(k, set()).update(np.flatnonzero(part > ZERO).tolist())
             gone = {at for at in seen if at[0] in directions} - set(level_counts(left, layout))
             out.reasons |= {at: "separated" for at in gone}
         for k in odd:
             del fits[k]
         again = frozenset(checked | (set(odd) - set(directions)))
-        _fit(out, left, odd, smooths, knots, penalised, bias_reduced, max_steps, again)
+        _fit(out, left, odd, smooths, knots, penalised, bias_reduced, max_steps, again, first=False)
     if watched and any(f.suspect for f in fits.values()):
         # Looked at before and found sound: large, but finite.
         run_fits(framed, layout, {k: f for k, f in fits.items() if not f.converged}, bias_reduced, max_steps=max_steps)

@@ -95,7 +95,7 @@ class Fit:
     entries: int
     coefficients: np.ndarray = field(init=False)  # over all entries
     covariance: np.ndarray = field(init=False)  # the same, zero where there is no estimate
-    move: np.ndarray = field(init=False)  # of the parametric coefficients in the last step
+    move: np.ndarray = field(init=False)  # of the coefficients in the last step
     converged: bool = False
     suspect: bool = False
     aliased: set[int] = field(default_factory=set)
@@ -116,6 +116,17 @@ class Fit:
         full[start : start + len(penalty), start : start + len(penalty)] = penalty
         return full
 
+    def free(self) -> np.ndarray:
+        """Directions, one a column, that no penalty holds: parametric entries and straight lines."""
+        parts = [np.eye(self.entries)[:, self.columns]]
+        for start, penalty, rank in self.smooths:
+            if len(penalty):
+                _, vectors = np.linalg.eigh(penalty)
+                line = np.zeros((self.entries, len(penalty) - rank))
+                line[start : start + len(penalty)] = vectors[:, : len(penalty) - rank]
+                parts.append(line)
+        return np.column_stack(parts)
+
     def _find_independent(self, made: Products) -> None:
         if self._kept is None:
             independent = independent_columns(made.matrix[np.ix_(self._all, self._all)])
@@ -146,8 +157,7 @@ class Fit:
         )
         self.covariance = np.zeros((self.entries, self.entries))
         self.covariance[block] = covariance
-        self.move = np.zeros(self.entries)
-        self.move[self.columns] = (self.coefficients - last)[self.columns]
+        self.move = self.coefficients - last
         moved = np.max(np.abs(self.coefficients - last) / (1 + np.abs(last)), initial=0.0)
         settled = abs(self._previous - objective) < TOLERANCE * (abs(objective) + 0.1)
         self.converged = bool(settled and moved < 1e-6)

@@ -304,9 +304,10 @@ def test_separation_without_a_hint(spark):
             reach = [(d[0] + (d[1] if a == 2 else d[2] if a == 3 else 0) + (d[3] if b == 2 else 0), n, c) for _, a, b, n, c in here]
             right = all((v == 0) if 0 < c < n else (v >= 0 if c == n else v <= 0) for v, n, c in reach)
             truth[fit] |= right and any(v for v, _, _ in reach)
-    columns = {k: [0, layout.entry("a", "1"), layout.entry("a", "2"), layout.entry("b", "1")] for k in truth}
+    columns = [0, layout.entry("a", "1"), layout.entry("a", "2"), layout.entry("b", "1")]
+    spans = {k: np.eye(layout.entries)[:, columns] for k in truth}
     frame = spark.createDataFrame(rows, "fit int, f0 int, f1 int, n bigint, cases bigint")
-    found = separating_directions(frame, layout, columns)
+    found = separating_directions(frame, layout, spans)
     assert {k: k in found for k in truth} == truth and len(set(truth.values())) == 2
 
 
