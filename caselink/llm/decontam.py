@@ -2,9 +2,12 @@
 
 Every word n-gram of the test items is a seed, rare if few items hold it; the others seed only items
 that have too few rare ones. Tasks test the n-grams of all documents against a Bloom filter of the
-seeds, whose size is a constant, and keep the passages that hold a hit. Hits join the seed table by
-hash, which names the (passage, item) candidates. Each is scored by local alignment of words, so that
-inserted, dropped and replaced words cost a little and do not hide a copy.
+seeds, whose size is a constant, and note the passages that hold a hit. The hits count the seeds in the
+documents. Where a copy must hold so many of an item's seeds that the commonest of them can be left
+out, they are; a document is a candidate for an item if it holds one of the seeds left, and two of all
+where the item has more than ``SHORT`` words. Only then are the words of candidate passages cut out,
+and scored by local alignment, so that inserted, dropped and replaced words cost a little and do not
+hide a copy.
 
 Items of more than ``ITEM_WORDS`` words are cut into parts, each of which counts like an item of its
 own, so that an alignment never grows with the length of an item. A document is contaminated by an item if the best local alignment reaches ``SHARE`` of the item's
@@ -23,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselink.llm.meeting import with_key
-from caselink.llm.texts import Rolling, Slice, slices, word_spans
+from caselink.llm.meeting import runs, with_key
+from caselink.llm.texts import Rolling, Slice, longs, slices, word_spans
 from caselink.session import savepoint
 
 SEED = 3
@@ -38,6 +41,10 @@ RARE_ITEMS, RARE_SEEDS = 2, 8
 STRIDE = 192
 #: Longer items are matched by parts of about this many words.
 ITEM_WORDS = 512
+#: Items of so many words or fewer ask for one seed, longer ones for two.
+SHORT = 8
+#: So many documents with candidates are joined by broadcast, more by shuffle.
+BROADCAST_ROWS = 200_000
 ROOM = 1 << 21
 
 _APART = np.ones(256, bool)
@@ -63,7 +70,7 @@ def _short(words: np.ndarray) -> np.ndarray:
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        item, part_no, words32, seeds = [], [], [], []
+        item, part_no, n_words, words32, seeds = [], [], [], [], []
         keys = batch.column(0).to_pylist()
         for part in slices(batch.column(1)):
             words, first = _words(part)
@@ -73,6 +80,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
                     item.append(keys[row])
                     part_no.append(k)
+                    n_words.append(hi - lo)
                     words32.append(_short(words[lo:hi]).tobytes())
                     at = np.arange(lo, max(lo, hi - SEED + 1))
                     seeds.append(np.unique(grams(at, at + SEED)).view(np.int64))
@@ -80,23 +88,43 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array(item, pa.int64()),
                 pa.array(part_no, pa.int32()),
+                pa.array(n_words, pa.int64()),
                 pa.array(words32, pa.binary()),
                 pa.array(seeds, pa.list_(pa.int64())),
             ],
-            names=["item", "part", "item_words", "seeds"],
+            names=["item", "part", "n_words", "item_words", "seeds"],
         )
 
 
 def seed_table(items: DataFrame) -> DataFrame:
-    """``seed, item, part``: rare seeds of every item, and all seeds of items with few rare ones."""
-    pairs = items.select("item", "part", F.explode("seeds").alias("seed"))
+    """``seed, item, part, n_words``: rare seeds of every item, and all seeds of items with few rare ones."""
+    pairs = items.select("item", "part", "n_words", F.explode("seeds").alias("seed"))
     spread = pairs.groupBy("seed").agg(F.count("*").alias("n_items"))
     by_item = Window.partitionBy("item", "part")
     ranked = pairs.join(spread, "seed").withColumn(
         "rare", F.sum((F.col("n_items") <= RARE_ITEMS).cast("int")).over(by_item)
     )
     return ranked.where((F.col("n_items") <= RARE_ITEMS) | (F.col("rare") < RARE_SEEDS)).select(
-        "seed", "item", "part"
+        "seed", "item", "part", "n_words"
+    )
+
+
+def leading_seeds(seeds: DataFrame, hits: DataFrame, share: float) -> DataFrame:
+    """``seeds`` with ``leads``: whether a document that holds this seed is looked at for the item.
+
+    A copy may miss the perfect score by some points. An inserted word costs one point and breaks two
+    seeds at most, every other edit costs more for each seed that it breaks; so a copy holds all but
+    twice so many of the item's seeds, and one of those that are left when so many less one of the
+    commonest are taken away.
+    """
+    counted = hits.groupBy("seed").agg(F.count("*").alias("n_hits"))
+    by_item = Window.partitionBy("item", "part")
+    least = F.greatest(F.col("n_words") * share, F.least(F.col("n_words"), F.lit(LEAST))) * MATCH
+    broken = 2 * F.floor(F.col("n_words") * MATCH - least)
+    held = F.greatest(F.lit(1), F.count("*").over(by_item) - broken)
+    rank = F.row_number().over(by_item.orderBy(F.coalesce("n_hits", F.lit(0)), "seed"))
+    return seeds.join(counted, "seed", "left").select(
+        "seed", "item", "part", "n_words", (rank <= F.count("*").over(by_item) - held + 1).alias("leads")
     )
 
 
@@ -129,8 +157,8 @@ def _hit(table: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return found
 
 
-def _passages(bloom, room: int):
-    """Passages of ``STRIDE`` words with a hit, and ``room`` words to either side."""
+def _hits(bloom):
+    """``key, place, seed``: the seeds that the filter knows in each stretch of ``STRIDE`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bloom.value
@@ -143,28 +171,39 @@ def _passages(bloom, room: int):
                 if not len(seed):
                     continue
                 at = np.flatnonzero((doc[: len(seed)] == doc[SEED - 1 :]) & _hit(table, seed))
-                if not len(at):
-                    continue
                 place = (at - first[doc[at]]) // STRIDE
-                cut = np.flatnonzero(np.r_[True, (doc[at][1:] != doc[at][:-1]) | (place[1:] != place[:-1])])
+                order = np.lexsort((seed[at], place, doc[at]))
+                doc_, place, seed_ = doc[at][order], place[order], seed[at][order]
+                lead = runs(doc_, place, seed_)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[part.rows[doc_[lead]]]), pa.array(place[lead]), longs(seed_[lead])],
+                    names=["key", "place", "seed"],
+                )
+
+    return run
+
+
+def _cut(room: int):
+    """The words of given stretches of documents, and ``room`` words to either side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, places = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for part in slices(batch.column(1)):
+                words, first = _words(part)
                 short = _short(words)
                 out: list[list] = [[], [], [], []]
-                for a, b in zip(cut, np.r_[cut[1:], len(at)]):
-                    d = doc[at[a]]
-                    start = first[d] + place[a] * STRIDE
-                    lo, hi = max(first[d], start - room), min(first[d + 1], start + STRIDE + room)
-                    out[0].append(keys[part.rows[d]])
-                    out[1].append(int(lo - first[d]))
-                    out[2].append(short[lo:hi].tobytes())
-                    out[3].append(np.unique(seed[at[a:b]]).view(np.int64))
+                for row, begin, end in zip(part.rows.tolist(), first[:-1].tolist(), first[1:].tolist()):
+                    for place in places[row]:
+                        start = begin + place * STRIDE
+                        lo, hi = max(begin, start - room), min(end, start + STRIDE + room)
+                        out[0].append(keys[row])
+                        out[1].append(place)
+                        out[2].append(lo - begin)
+                        out[3].append(short[lo:hi].tobytes())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(out[0], pa.int64()),
-                        pa.array(out[1], pa.int64()),
-                        pa.array(out[2], pa.binary()),
-                        pa.array(out[3], pa.list_(pa.int64())),
-                    ],
-                    names=["key", "place", "words", "seeds"],
+                    [pa.array(x, kind) for x, kind in zip(out, kinds)], names=["key", "place", "from_word", "words"]
                 )
 
     return run
@@ -230,30 +269,34 @@ def contaminations(
     items = savepoint(
         with_key(benchmark.select(item_col, text_col), item_col, text_col)
         .select("key", "text")
-        .mapInArrow(_items, "item bigint, part int, item_words binary, seeds array<bigint>"),
+        .mapInArrow(_items, "item bigint, part int, n_words bigint, item_words binary, seeds array<bigint>"),
         "items",
     )
     seeds = savepoint(seed_table(items), "seeds")
     longest = items.agg(F.max(F.length("item_words"))).first()[0] or 0
     bloom = docs.sparkSession.sparkContext.broadcast(_bloom(seeds))
     keyed = with_key(docs.select(id_col, text_col), id_col, text_col)
-    passages = savepoint(
-        keyed.select("key", "text").mapInArrow(
-            _passages(bloom, (longest // 4) * 5 // 4 + SEED), "key bigint, place bigint, words binary, seeds array<bigint>"
-        ),
-        "passages",
+    hits = savepoint(
+        keyed.select("key", "text").mapInArrow(_hits(bloom), "key bigint, place bigint, seed bigint").distinct(), "hits"
+    )
+    led = savepoint(leading_seeds(seeds, hits, share), "leading_seeds")
+    met = hits.join(led.where("leads"), "seed").groupBy("key", "item", "part").agg(
+        F.countDistinct("seed").alias("n"), F.max("n_words").alias("n_words"), F.collect_set("place").alias("places")
     )
-    pairs = (
-        passages.select("key", "place", F.explode("seeds").alias("seed"))
-        .join(seeds, "seed")
-        .select("key", "place", "item", "part")
-        .distinct()
+    # Of items of more words than SHORT all seeds lead, so that two can be asked for.
+    kept = met.where((F.col("n") >= 2) | (F.col("n_words") <= SHORT))
+    pairs = savepoint(kept.select("key", "item", "part", F.explode("places").alias("place")), "candidates")
+    wanted = savepoint(pairs.groupBy("key").agg(F.collect_set("place").alias("places")), "wanted_passages")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    cut = keyed.join(wanted, "key").select("key", "text", "places").mapInArrow(
+        _cut((longest // 4) * 5 // 4 + SEED), "key bigint, place bigint, from_word bigint, words binary"
     )
-    pairs = savepoint(pairs, "candidates")
+    cut = savepoint(cut.dropDuplicates(["key", "place"]), "passages")
     aligned = (
-        pairs.join(passages.select("key", "place", "words").distinct(), ["key", "place"])
+        pairs.join(cut, ["key", "place"])
         .join(items.select("item", "part", "item_words").dropDuplicates(["item", "part"]), ["item", "part"])
-        .select("key", "place", "item", "item_words", "words")
+        .select("key", F.col("from_word").alias("place"), "item", "item_words", "words")
         .mapInArrow(_align, "key bigint, place bigint, item bigint, score bigint, item_words bigint")
     )
     perfect = F.col("item_words") * MATCH

@@ -405,3 +405,55 @@ def test_a_long_item_is_matched_by_parts(spark, docs):
     rows = [(10, inside), (11, " ".join(words[:60])), (12, " ".join(f"n{k}" for k in range(500)))]
     got = decontam.contaminations(docs(rows), benchmark).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(10, 1)}
+
+
+def test_templated_items_make_few_candidates(spark, docs, monkeypatch):
+    """Items that differ in one word meet the documents that hold that word, not all of their template."""
+    items = [(i, f"what is the capital city of x{i}x") for i in range(60)]
+    rows = [(i, f"one asks what is the capital city of {'x%dx' % i if i < 10 else 'nowhere'} and so on") for i in range(80)]
+    frames = {}
+    kept = decontam.savepoint
+
+    def noted(frame, name, *rest):
+        frames[name] = kept(frame, name, *rest)
+        return frames[name]
+
+    monkeypatch.setattr(decontam, "savepoint", noted)
+    got = decontam.contaminations(docs(rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(10)}
+    assert frames["candidates"].count() < 200
+
+
+def test_contaminations_against_all_pairs(spark, docs):
+    """Edited copies of items of many lengths: what Smith-Waterman over all pairs finds, 0.95 is found."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.choice([4, 7, 8, 9, 12, 20, 40]))] for _ in range(60)]
+
+    def edited(words):
+        out = []
+        for w in words:
+            p = rng.random()
+            out += [] if p < 0.05 else [w, rng.choice(vocabulary)] if p < 0.1 else [rng.choice(vocabulary)] if p < 0.17 else [w]
+        return out
+
+    rows = []
+    for i in range(150):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(5, 400))]
+        if i % 2:
+            item = items[rng.randrange(len(items))]
+            at = rng.randrange(len(words))
+            words[at:at] = item if i % 4 == 1 else edited(item)
+        rows.append((i, " ".join(words)))
+    codes = {w: k for k, w in enumerate(vocabulary)}
+    want = set()
+    for i, text in rows:
+        words = np.array([codes[w] for w in text.split()])
+        for k, item in enumerate(items):
+            score = int(decontam.alignment_scores([np.array([codes[w] for w in item])], [words])[0])
+            perfect = decontam.MATCH * len(item)
+            if score >= max(decontam.SHARE * perfect, min(perfect, decontam.LEAST * decontam.MATCH)):
+                want.add((i, k))
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminations(docs(rows), table).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) > 40
