@@ -17,6 +17,7 @@ of its own. Repeated rows count as often as they occur; an empty table gives no
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,17 +67,19 @@ def _symbols(part) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows are sorted into packs by language; a pack is named by a hash of its documents."""
+    """Rows are sorted into packs by language. A pack is named by its task and its number there: the
+    packs are written once, and packs of equal rows must not share a name."""
+    from pyspark import TaskContext
+
     held: dict[str | None, list] = {}
+    numbers = itertools.count(TaskContext.get().partitionId() << 32)
 
     def flush(lang: str | None) -> pa.RecordBatch:
-        ids, rows, sizes, symbols = zip(*held.pop(lang)[1])
+        ids, sizes, symbols = zip(*held.pop(lang)[1])
         sizes, symbols = np.concatenate(sizes), np.concatenate(symbols)
-        rows = np.concatenate(rows)
-        name = mix(np.array([np.bitwise_xor.reduce(mix(rows.view(np.uint64)))], np.uint64)).view(np.int64)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(name),
+                pa.array([next(numbers)], pa.int64()),
                 pa.array([lang], pa.string()),
                 pa.array([pa.chunked_array(ids).to_pylist()], pa.list_(ids[0].type)),
                 pa.array([sizes.astype(np.int32).tobytes()], pa.binary()),
@@ -87,7 +90,6 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         langs = np.array(batch.column(2).to_pylist(), object)
-        rows = batch.column(3).to_numpy(zero_copy_only=False)
         for lang in dict.fromkeys(langs.tolist()):
             own = np.flatnonzero(np.array([x == lang for x in langs]))
             texts = batch.column(1).take(pa.array(own))
@@ -96,7 +98,7 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 symbols, sizes = _symbols(part)
                 entry = held.setdefault(lang, [0, []])
                 entry[0] += len(symbols)
-                entry[1].append((ids.take(pa.array(part.rows)), rows[own[part.rows]], sizes, symbols))
+                entry[1].append((ids.take(pa.array(part.rows)), sizes, symbols))
                 if entry[0] >= PACK_CHARS:
                     yield flush(lang)
     for lang in list(held):
@@ -394,7 +396,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     n_shards = partitions(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     packs = savepoint(
-        docs.select("doc_id", "text", F.col("lang").cast("string"), F.xxhash64("doc_id", "text").alias("row")).mapInArrow(
+        docs.select("doc_id", "text", F.col("lang").cast("string")).mapInArrow(
             _packs, f"pack bigint, lang string, doc_ids array<{kind}>, sizes binary, symbols binary"
         ),
         "packs",

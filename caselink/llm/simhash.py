@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselink.llm.components import components
+from caselink.llm.meeting import with_key
 from caselink.session import savepoint
 
 BITS = 64
@@ -290,13 +291,13 @@ def classes(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_
 def representatives(docs: DataFrame) -> DataFrame:
     """One whole row of ``docs`` per group of near copies: the row with the smallest id.
 
-    Equal rows with that id leave one row. All columns are kept; rows with a null id stay, since
-    nothing can name them.
+    Rows are told apart by id and text, so repeated and null ids are rows like others: each group keeps
+    one, of the smallest id, a null id last. Equal rows leave one row. All columns are kept.
     """
-    first = savepoint(
-        classes(docs).where("doc_id = component_id").select("doc_id").distinct(), "first_of_group"
-    )
-    named = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(
-        docs.where(F.col("doc_id").isNull())
-    )
+    keyed = with_key(docs)
+    named = savepoint(keyed.select("key", "row.doc_id").distinct(), "document_keys")
+    found = classes(keyed.select("key", "text"), id_col="key").select(F.col("doc_id").alias("key"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    first = found.join(named, "key").groupBy("component_id").agg(F.min(order).alias("first")).select("first.key")
+    kept = keyed.dropDuplicates(["key"]).join(savepoint(first, "first_of_group"), "key", "left_semi")
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -83,11 +83,19 @@ def test_classes_equal_brute_force(docs, odd):
     assert sorted((str(r.doc_id), r.fp & (2**64 - 1), str(r.component_id)) for r in got) == expected
 
 
+def test_representatives_lose_no_text(docs):
+    """Rows that copy nothing stay, whatever their ids; of copies the smallest id stays, a null id last."""
+    one, two, three = ("alpha beta gamma delta epsilon zeta", "completely other words stand in this line", "null ids have texts of their own")
+    rows = [(1, one), (1, two), (2, one), (None, three), (None, three), (5, three), (None, "lonely words without any id"), (7, two), (7, two)]
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in simhash.representatives(docs(rows).repartition(4)).collect())
+    assert kept == sorted([(False, 1, one), (False, 1, two), (False, 5, three), (True, 0, "lonely words without any id")])
+
+
 def test_representatives_keep_whole_rows(docs):
     table = docs([(3, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "quite other words here"), (None, "a b c d")])
     kept = simhash.representatives(table)
     assert kept.columns == table.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2"]
     assert simhash.representatives(table.limit(0)).count() == 0
 
 

@@ -457,3 +457,21 @@ def test_contaminations_against_all_pairs(spark, docs):
     table = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminations(docs(rows), table).collect()}
     assert got <= want and len(got) >= 0.95 * len(want) > 40
+
+
+def test_repeated_rows_in_two_languages_keep_their_own_counts(spark, docs):
+    """Rows in pairs, the same rows in several partitions, and packs of two languages at once."""
+    english, german = "the quick brown fox and the lazy dog", "der schnelle braune Fuchs und der faule Hund"
+    rows = [(1, english, "en"), (1, english, "en"), (2, german, "de"), (2, german, "de"), (3, "the dog", "en"), (4, "der Hund", "de")]
+    trusted = spark.createDataFrame([(1,), (2,)], "doc_id bigint")
+    for table in (docs(rows).coalesce(1), docs(rows).repartition(6), docs(rows * 2).repartition(2, "doc_id")):
+        texts = [r for r in table.select("doc_id", "text", "lang").collect()]
+        got = kneser_ney.perplexities(table, trusted).collect()
+        assert len(got) == len(texts)
+        for lang, learnt in (("en", 1), ("de", 2)):
+            own = [r for r in texts if r.lang == lang]
+            want = brute_perplexities([r.text for r in own], [r.text for r in own if r.doc_id == learnt])
+            left = sorted((r.doc_id, p) for r, p in zip(own, want))
+            right = sorted((r.doc_id, r.perplexity) for r in got if r.lang == lang)
+            assert [i for i, _ in left] == [i for i, _ in right]
+            assert np.allclose([p for _, p in left], [p for _, p in right], rtol=2e-4)
