@@ -15,6 +15,7 @@ from caselink import config as C
 from caselink.functions import bigint, label_map, rounded
 from caselink.operators.cohorts import COHORT_COLUMNS, expand_cohorts, with_age_groups
 from caselink.operators.persons import first_of_person
+from caselink.operators.quantiles import exact_quantiles, same_keys
 
 Z_95 = 1.959963984540054
 
@@ -224,30 +225,29 @@ def baseline_table(
 
 
 def _quartiles(df, by, by_values, numbers, strata) -> DataFrame:
-    """Quartile rows. The exact percentile keeps one counter per distinct value, not per record."""
+    """Quartile rows of all strata at once, exact in bounded memory."""
     quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-    measures = {}
-    for number in numbers:
-        column = F.col(number)
-        points = _by_stratum(
-            by_values, by, column, lambda c: F.percentile(c, list(quartiles.values()))
-        )
-        sizes = _by_stratum(by_values, by, column, F.count)
-        for stratum in points:
-            measures[(number, stratum)] = (points[stratum], sizes[stratum])
-    aggregates = []
-    cells = []
-    for i, ((number, stratum), (point, size)) in enumerate(measures.items()):
-        aggregates += [point.alias(f"_p{i}"), size.alias(f"_n{i}")]
-        cells += [
-            F.struct(
-                F.lit(number).alias("variable"),
-                F.lit(level).alias("level"),
-                F.lit(stratum).alias("stratum"),
-                F.col(f"_n{i}").alias("n"),
-                F.col(f"_n{i}").alias("n_known"),
-                rounded(F.get(F.col(f"_p{i}"), j)).alias("stat"),
-            )
-            for j, level in enumerate(quartiles)
+    own = F.when(F.col(by).isin(list(by_values)), F.col(by))
+    cells = [
+        F.struct(F.lit(number).alias("variable"), stratum.alias("stratum"), F.col(number).cast("double").alias("value"))
+        for number in numbers
+        for stratum in (own, F.when(own.isNotNull(), F.lit("Overall")))
+    ]
+    values = df.select(*strata, F.inline(F.array(*cells))).where(F.col("stratum").isNotNull())
+    found = exact_quantiles(values, [*strata, "variable", "stratum"], "value", list(quartiles.values()))
+    grid = F.array(
+        *[
+            F.struct(F.lit(number).alias("variable"), F.lit(level).alias("level"), F.lit(i).alias("place"), F.lit(stratum).alias("stratum"))
+            for number in numbers
+            for i, level in enumerate(quartiles)
+            for stratum in [*by_values, "Overall"]
         ]
-    return df.groupBy(*strata).agg(*aggregates).select(*strata, F.inline(F.array(*cells)))
+    )
+    groups = df.select(*strata).distinct() if strata else df.sparkSession.range(1)
+    rows = groups.select(*strata, F.inline(grid))
+    keys = [*strata, "variable", "stratum"]
+    named = found.select(*[F.col(k).alias("_" + k) for k in keys], F.col("n").alias("_n"), "quantiles")
+    n = F.coalesce("_n", F.lit(0))
+    return rows.join(named, same_keys(keys), "left").select(
+        *strata, "variable", "level", "stratum", n.alias("n"), n.alias("n_known"), rounded(F.get("quantiles", F.col("place"))).alias("stat")
+    )

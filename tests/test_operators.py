@@ -297,3 +297,25 @@ def test_readers(spark, tmp_path):
 
     spark.range(3).write.parquet(f"{tmp_path}/parts")
     assert read_parquet(spark, f"{tmp_path}/parts", ["id"], part_glob="part-*.parquet").count() == 3
+
+
+def test_exact_quantiles_equal_sql(spark):
+    import duckdb
+    import numpy as np
+    import pandas as pd
+
+    from caselink.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(4)
+    rows = [("all different", float(x)) for x in rng.normal(size=3000)]
+    rows += [("geometric", float(10.0 ** k)) for k in range(-150, 150)]
+    rows += [("mostly one", 5.0)] * 2000 + [("mostly one", float(x)) for x in rng.uniform(0, 10, 400)]
+    rows += [("ages", float(x)) for x in rng.integers(18, 90, 2500)] + [("one", 3.0), ("two", 1.0), ("two", 2.0), (None, 7.0), (None, 9.5), ("unknown", None)]
+    got = exact_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(5), ["g"], "v", [0.25, 0.5, 0.75, 1.0, 0.333])
+    frame = pd.DataFrame(rows, columns=["g", "v"])
+    want = duckdb.sql("SELECT g, count(v) AS n, quantile_cont(v, [0.25, 0.5, 0.75, 1.0, 0.333]) AS q FROM frame WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY g").fetchall()
+    assert {(r["g"], r["n"]) for r in got.collect()} == {(g, n) for g, n, _ in want}
+    table = {g: q for g, _, q in want}
+    for r in got.collect():
+        assert r["quantiles"] == pytest.approx(table[r["g"]], rel=1e-9)
+    assert exact_quantiles(spark.createDataFrame([], "g string, v double"), ["g"], "v", [0.5]).collect() == []
