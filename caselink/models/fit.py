@@ -15,7 +15,7 @@ from caselink.models.penalised import Fit, run_fits
 from caselink.models.separation import ZERO, direction_table, off_the_plane, separating_directions
 from caselink.models.splines import Spline, natural_spline
 from caselink.operators.cohorts import COHORT_COLUMNS, with_age_groups
-from caselink.session import savepoint
+from caselink.session import savepoint, shared_stage
 
 SMOOTHS = ["date_year", "idade"]
 ADJUSTMENT = ["vs_type2", "prev_infected", "sexo", "uf", "n_comorb"]
@@ -47,7 +47,7 @@ def compress(cohort: DataFrame, root: str | None = None) -> DataFrame:
         .agg(F.count("*").alias("n"))
         .withColumn("cases", F.when(F.col("confirmado") == C.CASE, F.col("n")).otherwise(F.lit(0)))
     )
-    return savepoint(patterns, "patterns", root)
+    return shared_stage(patterns, "patterns", root)
 
 
 @dataclass(frozen=True)

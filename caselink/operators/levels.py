@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselink.session import savepoint
+from caselink.session import shared_stage
 
 
 def level_weights(df: DataFrame, column: str, weight: str | None = None) -> DataFrame:
@@ -24,7 +24,7 @@ def lump_levels(
     levels below it and the join all read that table, so they agree also for inexact sums, and Spark
     joins the kept levels by their true size.
     """
-    weights = savepoint(level_weights(df, column, weight), "level_weights")
+    weights = shared_stage(level_weights(df, column, weight), "level_weights")
     text = F.col(column).cast("string")
     top = weights.orderBy(F.desc("_w")).take(keep)
     below = weights.where(F.col("_w") < top[-1]["_w"]).take(2) if top else []

@@ -19,7 +19,7 @@ from caselink.operators import window_rules as W
 from caselink.operators.levels import lump_levels
 from caselink.operators.persons import keep_first
 from caselink.operators.reshape import row_sum
-from caselink.session import savepoint
+from caselink.session import shared_stage
 
 OUTPUT = [
     "rec_id", "id_vigvac", "seq_no", "dt_notificacao", "dt_coleta", "dt_inicio_sintomas", "idade",
@@ -174,10 +174,11 @@ def prepare_rows(
 ) -> DataFrame:
     """The analysis table with comorbidity counts lumped.
 
-    The levels need counts over the whole linked table, so that table becomes a savepoint. Otherwise
-    the counts and the final table would each run the rules from the raw notifications.
+    The levels need counts over the whole linked table, so that table becomes a stage, which every query
+    on the same inputs reads. Otherwise the counts and the final table would each run the rules from the
+    raw notifications.
     """
-    linked = savepoint(
+    linked = shared_stage(
         lab.transform(clean_tests, cfg).transform(link_vaccination, vacc, cfg), "linked", root
     )
     return linked.transform(lump_levels, "n_comorb", keep=2, other="2+").transform(

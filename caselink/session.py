@@ -1,7 +1,8 @@
-"""Session settings and the shared folder used for savepoints."""
+"""Session settings, and savepoints and shared stages in the shared folder."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 
@@ -79,7 +80,115 @@ def savepoint(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all savepoints of this application; frames that read them are of no use afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_savepoints(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _path(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, for the few small files that say what a stage's state is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def content_key(df: DataFrame) -> str | None:
+    """A hash of what ``df`` computes: its plan, the files that it reads with their times and sizes, and the
+    settings that its values depend on. None if that is not all there is to it: rows that the driver
+    sent, or values that differ from run to run.
+    """
+    spark = df.sparkSession
+    fields = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", str(1 << 20))  # whole lists of columns
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan()
+        parts = [plan.canonicalized().toString()]
+        # The text of a plan does not hold the code of Python functions.
+        if not plan.deterministic() or any(word in parts[0] for word in ("Python", "Pandas", "InArrow")):
+            return None
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", fields)
+    leaves = plan.collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() != "LogicalRelation":
+            return None
+        relation = leaf.relation()
+        if relation.getClass().getSimpleName() != "HadoopFsRelation":
+            return None
+        parts.append(relation.location().rootPaths().mkString("\n"))
+        parts.append(relation.location().allFiles().mkString("\n"))
+    parts += [df.schema.json(), spark.version]
+    parts += [str(spark.conf.get(c, None)) for c in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.caseSensitive")]
+    return hashlib.sha256("\x00".join(parts).encode()).hexdigest()[:32]
+
+
+def _read_marker(spark: SparkSession, home: str) -> str | None:
+    place, files = _path(spark, f"{home}/committed")
+    if not files.exists(place):
+        return None
+    stream = files.open(place)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def _write_file(spark: SparkSession, path: str, text: str = "") -> None:
+    place, files = _path(spark, path)
+    stream = files.create(place, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def shared_stage(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
+    """Like :func:`savepoint`, but written once for all queries, also of other applications, that compute
+    the same from the same files.
+
+    A stage is found by its content key. It is read only through a marker that names one whole
+    write, set when that write has ended; of two writers at once the marker names either. Applications
+    that use a stage leave an owner file there, before they look for the marker; ``release`` takes it
+    away, and the last one deletes the stage.
+    """
+    spark = df.sparkSession
+    key = content_key(df)
+    if key is None:
+        return savepoint(df, name, root)
+    home = f"{root or shared_dir(spark)}/stages/{name}-{key}"
+    _write_file(spark, f"{home}/owners/{spark.sparkContext.applicationId}")
+    found = _read_marker(spark, home)
+    if found is None:
+        attempt = f"attempt-{uuid.uuid4().hex}"
+        df.write.parquet(f"{home}/{attempt}")
+        draft = f"{home}/draft-{uuid.uuid4().hex}"
+        _write_file(spark, draft, attempt)
+        (source, files), (target, _) = _path(spark, draft), _path(spark, f"{home}/committed")
+        if not files.rename(source, target):
+            files.delete(source, False)
+        found = _read_marker(spark, home) or attempt
+    return spark.read.schema(df.schema).parquet(f"{home}/{found}")
+
+
+def _release_stages(spark: SparkSession, root: str) -> None:
+    place, files = _path(spark, f"{root}/stages")
+    if not files.exists(place):
+        return
+    for status in files.listStatus(place):
+        home = status.getPath().toString()
+        own, _ = _path(spark, f"{home}/owners/{spark.sparkContext.applicationId}")
+        if not files.delete(own, False):
+            continue
+        owners, _ = _path(spark, f"{home}/owners")
+        if len(files.listStatus(owners)):
+            continue
+        # Unmark first: who looks from now on writes anew, who looked before has left an owner file.
+        marked = _read_marker(spark, home)
+        files.delete(_path(spark, f"{home}/committed")[0], False)
+        if not len(files.listStatus(owners)):
+            files.delete(status.getPath(), True)
+        elif marked:
+            _write_file(spark, f"{home}/committed", marked)
+
+
+def release(spark: SparkSession, root: str | None = None) -> None:
+    """Delete all savepoints of this application, and the shared stages that no other one uses; frames
+    that read them are of no use afterwards. ``root`` as given to :func:`shared_stage`."""
+    path, files = _path(spark, _savepoints(spark))
+    files.delete(path, True)
+    _release_stages(spark, root or shared_dir(spark))
