@@ -5,12 +5,14 @@ Of every node the tree counts the pages that have it, its presentation styles (s
 elements) and its content features (text blocks below it). A node's importance joins two entropies
 over the m pages that have it: that of its presentation styles, and one minus the mean entropy of its
 features, both to base m. Something that looks and reads the same on every page has importance 0.
-Branches below ``LEAST`` are removed from each page. Nodes on fewer than ``PAGES`` pages are not judged,
-and where the tree would leave nothing, as on a host of copies of one page, labels alone decide.
+Branches below ``LEAST`` are removed from each page, inside a marked article as well as around it. Equal
+pages of a host count once, so that copies of one article do not pass for furniture. Nodes on fewer than
+``PAGES`` different pages, and those more than ``DEPTH`` elements deep, are not judged by themselves. Where the
+tree would leave nothing of a page, labels alone decide.
 
-Two kinds of label speak for themselves: names of page furniture (menus, adverts, forms and so on)
-make a branch unimportant, and elements that mark the article make theirs important, so that copies
-of one article do not pass for furniture. If a page marks its article, only that is its text.
+Labels are what is known beforehand: names of page furniture (menus, adverts, forms and so on) make a
+branch unimportant, and if a page marks its article, only what is in it can be text. The element that
+marks the article, and those around it, are not judged, only what they hold.
 
 The counts are summed by task and by Spark; the unimportant nodes of the sites are written, and Spark
 joins them to the pages by their true size. A null url is a host of its own, a null or empty page has
@@ -20,12 +22,12 @@ no text, repeated pages count as often as they occur, and an empty table gives n
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselink.llm.markup import Page
@@ -35,6 +37,7 @@ PAGES = 5
 LEAST = 0.2
 #: Weight of a node's own presentation beside the content below it.
 OWN = 0.1
+DEPTH = 64
 FLUSH = 150_000
 
 #: Elements, roles and words in class names or ids that name page furniture.
@@ -47,6 +50,8 @@ FURNITURE_WORDS = set(
     "respond disqus widget toolbar pagination pager copyright search".split()
 )
 ARTICLE = {"article", "main"}
+_NO_NAMES: frozenset[str] = frozenset()
+_UNSIGNED = (1 << 64) - 1
 _WORDS = re.compile(r"[a-z]+")
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.I)
 
@@ -66,15 +71,20 @@ class Styled:
     def __init__(self, source: str | None):
         page = self.page = Page(source)
         n = len(page.parent)
+        # A path's hash is chained from its parent's, so that deep pages take no more than flat ones.
         self.path = [0] * n
-        label = [""] * n
+        # The element itself, or its nearest ancestor that is not too deep to be judged.
+        self.judged = [0] * n
+        depth = [0] * n
         furniture, article = [False] * n, [False] * n
         inside = [False] * n
         for i in range(1, n):
             up, tag, attrs = page.parent[i], page.tag[i], page.attrs[i]
-            names = _names(attrs) if attrs else set()
-            label[i] = f"{label[up]}>{tag}.{'.'.join(sorted(names))}"
-            self.path[i] = xxhash.xxh64_intdigest(label[i]) - (1 << 63)
+            names = _names(attrs) if attrs else _NO_NAMES
+            depth[i] = depth[up] + 1
+            own = f"{tag}.{'.'.join(sorted(names))}" if names else tag
+            self.path[i] = xxhash.xxh64_intdigest(own, seed=self.path[up] & _UNSIGNED) - (1 << 63)
+            self.judged[i] = i if depth[i] <= DEPTH else self.judged[up]
             inside[i] = inside[up] or article[up]
             words = names & FURNITURE_WORDS
             if inside[i]:
@@ -119,7 +129,8 @@ class Styled:
             marked[i] = marked[up] or self.article[i]
             gone[i] = gone[up] or self.furniture[i] or (
                 bool(unimportant)
-                and not (marked[i] or self.holds[i] or page.tag[i] in ("html", "body"))
+                and not (self.article[i] or self.holds[i] or page.tag[i] in ("html", "body"))
+                and self.judged[i] == i
                 and self.path[i] in unimportant
             )
         only = any(self.article[i] and not gone[i] for i in range(n))
@@ -137,28 +148,24 @@ class Styled:
         return "\n".join(b for b in joined if b)
 
     def counts(self) -> set[tuple[int, int, int]]:
-        """``(node, kind, feature)``: 0 the node itself, 1 a presentation style, 2 a text block.
-
-        Nodes inside a marked article are left out, since they are not judged.
-        """
+        """``(node, kind, feature)``: 0 the node itself, 1 a presentation style, 2 a text block."""
         page = self.page
         n = len(page.parent)
-        marked = [False] * n
         children: list[list[str]] = [[] for _ in range(n)]
         for i in range(1, n):
             up = page.parent[i]
-            marked[i] = marked[up] or self.article[i]
             if not children[up] or children[up][-1] != page.tag[i]:
                 children[up].append(page.tag[i])
         out = set()
         for i in range(1, n):
-            if not marked[i]:
+            if self.judged[i] == i:
                 out.add((self.path[i], 0, 0))
                 out.add((self.path[i], 1, xxhash.xxh64_intdigest(" ".join(children[i])) - (1 << 63)))
         for _, node, text in page.runs:
-            if marked[node] or not node or text.isspace():
+            if not node or text.isspace():
                 continue
             feature = xxhash.xxh64_intdigest(" ".join(text.split())) - (1 << 63)
+            node = self.judged[node]
             while node:
                 out.add((self.path[node], 2, feature))
                 node = page.parent[node]
@@ -166,7 +173,7 @@ class Styled:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter = Counter()
+    found: defaultdict = defaultdict(float)
 
     def flush() -> pa.RecordBatch:
         host, node, kind, feature = zip(*found)
@@ -176,7 +183,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(node, pa.int64()),
                 pa.array(kind, pa.int32()),
                 pa.array(feature, pa.int64()),
-                pa.array(list(found.values()), pa.int64()),
+                pa.array(list(found.values()), pa.float64()),
             ],
             names=["host", "node", "kind", "feature", "n"],
         )
@@ -184,20 +191,39 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return row
 
     for batch in batches:
-        for url, source in zip(batch.column(0), batch.column(1)):
+        for url, source, copies in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
             host = host_of(url.as_py())
-            found.update((host, *x) for x in Styled(source.as_py()).counts())
+            for x in Styled(source.as_py()).counts():
+                found[(host, *x)] += 1.0 / copies
             if len(found) > FLUSH:
                 yield flush()
     if found:
         yield flush()
 
 
+def _host(url_col: str) -> Column:
+    """The same in Spark, for joins before a page is read."""
+    return F.lower(
+        F.regexp_extract(
+            F.coalesce(F.col(url_col).cast("string"), F.lit("")),
+            r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)",
+            1,
+        )
+    )
+
+
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, node, pages, importance`` of the merged trees of all hosts."""
+    """``host, node, pages, importance`` of the merged trees of all hosts; ``pages`` counts different ones."""
+    # Of equal pages of a host one counts: as many shares of one as there are copies.
+    page = F.struct(_host(url_col).alias("host"), F.xxhash64(html_col).alias("page"))
+    copies = savepoint(
+        pages.groupBy(page.alias("of")).agg(F.count("*").alias("copies")).where("copies > 1").select("of.*", "copies"), "page_copies"
+    )
+    marked = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"), page.alias("of"))
+    once = marked.join(copies, (F.col("of.host") == F.col("host")) & (F.col("of.page") == F.col("page")), "left")
     merged = (
-        pages.select(F.col(url_col).cast("string"), F.col(html_col))
-        .mapInArrow(_merge, "host string, node bigint, kind int, feature bigint, n bigint")
+        once.select("url", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
+        .mapInArrow(_merge, "host string, node bigint, kind int, feature bigint, n double")
         .groupBy("host", "node", "kind", "feature")
         .agg(F.sum("n").alias("n"))
     )
@@ -222,7 +248,7 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         (F.col("pages") > 1) & (F.col("features") > 0), 1 - F.col("feature_logs") / F.col("features") / base
     ).otherwise(style)
     importance = style * OWN + content * (1 - OWN)
-    return sums.select("host", "node", F.col("pages").cast("bigint").alias("pages"), importance.alias("importance"))
+    return sums.select("host", "node", F.round("pages").cast("bigint").alias("pages"), importance.alias("importance"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,15 +273,8 @@ def main_text(pages: DataFrame, least: float = LEAST, url_col: str = "url", html
         .agg(F.collect_list("node").alias("nodes")),
         "unimportant_nodes",
     )
-    host = F.lower(
-        F.regexp_extract(
-            F.coalesce(F.col(url_col).cast("string"), F.lit("")),
-            r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)",
-            1,
-        )
-    )
     boxed = pages.select(
-        host.alias("host"),
+        _host(url_col).alias("host"),
         F.col(html_col).alias("html"),
         F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != html_col]).alias("row"),
     )

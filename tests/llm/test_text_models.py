@@ -76,7 +76,7 @@ def test_the_tree_finds_what_no_label_names(spark):
 
 
 def test_importance_equals_its_definition(spark):
-    rows = [(i, "http://a.b/", f"<div><p>t{i % 3}</p>" + "<i></i>" * (i % 2) + "</div>") for i in range(8)]
+    rows = [(i, "http://a.b/", f"<!-- {i} --><div><p>t{i % 3}</p>" + "<i></i>" * (i % 2) + "</div>") for i in range(8)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     importances = {round(r.importance, 9) for r in site_style.style_tree(pages).collect() if r.pages == 8}
 
@@ -90,6 +90,116 @@ def test_importance_equals_its_definition(spark):
     assert round(0.1 * 0.0 + 0.9 * content, 9) in importances
 
 
+def plain_main_text(rows, least=site_style.LEAST, enough=site_style.PAGES):
+    """The method by its definition: trees as dictionaries of paths spelt out, one page after another."""
+    trees = defaultdict(list)
+    for url, source in dict.fromkeys((site_style.host_of(u), h) for u, h in rows):
+        trees[url].append(source)
+
+    def paths(page):
+        out = [""]
+        for i in range(1, len(page.parent)):
+            names = "." + ".".join(sorted(site_style._names(page.attrs[i]))) if site_style._names(page.attrs[i]) else ""
+            out.append(f"{out[page.parent[i]]}/{page.tag[i]}{names}")
+        return out
+
+    low = defaultdict(set)
+    for host, sources in trees.items():
+        seen, styles, features = Counter(), defaultdict(Counter), defaultdict(Counter)
+        for source in sources:
+            page = Page(source)
+            path, kids, below = paths(page), defaultdict(list), defaultdict(set)
+            for i in range(1, len(path)):
+                up = page.parent[i]
+                kids[up] += [page.tag[i]] if kids[up][-1:] != [page.tag[i]] else []
+            for _, node, text in page.runs:
+                while node and text.strip():
+                    below[path[node]].add(" ".join(text.split()))
+                    node = page.parent[node]
+            seen.update(set(path[1:]))
+            for p in set(path[1:]):
+                styles[p].update({" ".join(kids[i]) for i in range(1, len(path)) if path[i] == p})
+                features[p].update(below[p])
+        for p, m in seen.items():
+            def entropy(counts):
+                return -sum(c / sum(counts) * math.log(c / sum(counts)) for c in counts) / math.log(m)
+
+            if m >= enough:
+                own = entropy(styles[p].values())
+                words = [c for c in features[p].values()]
+                content = 1 - sum(c * math.log(c) for c in words) / sum(words) / math.log(m) if words else own
+                if site_style.OWN * own + (1 - site_style.OWN) * content < least:
+                    low[host].add(p)
+    out = []
+    for url, source in rows:
+        styled = site_style.Styled(source)
+        page, path = styled.page, paths(styled.page)
+
+        def text(bad):
+            def gone(i):
+                return i and (gone(page.parent[i]) or styled.furniture[i] or (path[i] in bad and not styled.article[i] and not styled.holds[i] and page.tag[i] not in ("html", "body")))
+
+            def marked(i):
+                return i and (marked(page.parent[i]) or styled.article[i])
+
+            only = any(styled.article[i] and not gone(i) for i in range(1, len(path)))
+            blocks = defaultdict(str)
+            for block, node, t in page.runs:
+                if not gone(node) and (marked(node) or not only):
+                    blocks[block] += t
+            return "\n".join(b for b in (" ".join(blocks[k].split()) for k in sorted(blocks)) if b)
+
+        out.append(text(low[site_style.host_of(url)]) or text(set()))
+    return out
+
+
+def sites():
+    """Hosts whose pages carry unlabelled lines of the site, within the marked article and around it."""
+    rows = []
+    for i in range(14):
+        article = f"<article><h1>Title {i}</h1><div class=q>Read our letter every week</div><p>Words of page {i} and {i * 3}</p><p>More {i % 4}</p></article>"
+        rows.append((f"http://a.org/{i}", f"<div class=top>The site</div>{article}<div class=z>Terms</div>"))
+        rows.append((f"http://b.org/{i}", f"<div class=top>Other site</div><div><p>Plain page {i}</p><div class=q>Same line</div></div>"))
+    rows += [("http://copies.org/", "<article><p>One article</p><p>in many copies</p></article>")] * 9
+    rows += [(f"http://few.org/{i}", "<div>Few</div><p>pages</p>" + "x" * i) for i in range(3)]
+    return [*rows, (None, None), (None, "<p>no host</p>"), ("nonsense", "")]
+
+
+def test_the_tree_decides_inside_marked_articles(spark, monkeypatch):
+    rows = sites()
+    frame = spark.createDataFrame(rows, "url string, html string").repartition(3)
+    got = Counter((r.row.url, r.text) for r in site_style.main_text(frame).collect())
+    assert got == Counter((u, t) for (u, _), t in zip(rows, plain_main_text(rows)))
+    texts = {u: t for u, t in got}
+    assert texts["http://a.org/3"] == "Title 3\nWords of page 3 and 9\nMore 3"
+    assert texts["http://b.org/3"] == "Plain page 3" and texts["http://copies.org/"] == "One article\nin many copies"
+    without = {(r.row.url, r.text) for r in site_style.main_text(frame, least=-1.0).collect()}
+    assert ("http://a.org/3", "Title 3\nRead our letter every week\nWords of page 3 and 9\nMore 3") in without
+
+
+def test_a_table_of_pages_equals_a_plain_version(spark):
+    import os
+
+    folder = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("needs the test tables")
+    pages = spark.read.parquet(folder)
+    rows = [(r.url, r.html) for r in pages.select("url", "html").collect()]
+    got = Counter((r.row.url, r.text) for r in site_style.main_text(pages).collect())
+    assert got == Counter((u, t) for (u, _), t in zip(rows, plain_main_text(rows)))
+
+
+@pytest.mark.parametrize("source", ["<a " * 200000, "<font>" * 100000, "<a ' \" " * 100000 + ">", "<font>" * 50000 + "</b>" * 90000, "<" * 500000, "<! " * 200000])
+def test_malformed_pages_take_linear_time(source):
+    import time
+
+    started = time.process_time()
+    styled = site_style.Styled(source)
+    styled.text()
+    assert len(styled.counts()) <= 3 * site_style.DEPTH
+    assert time.process_time() - started < 4
+
+
 # --- languages ----------------------------------------------------------------------------------
 
 
