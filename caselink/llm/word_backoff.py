@@ -1,8 +1,8 @@
 """Language identification by word-first backoff.
 
-``identify`` learns from all words and n-grams of its training documents, and its counts stay on Spark:
-packs of documents send their distinct words to the word table, unseen words go on to the tables of
-n-grams, longest first, and packs add up what comes back. ``train`` and ``predict`` do the same by a
+``identify`` learns from all words and n-grams of its training documents, and its counts stay on Spark
+(``backoff_tables``): packs of documents send their distinct words to the word table, the n-grams of
+unseen words go on to the tables of n-grams, and packs add up what comes back. ``train`` and ``predict`` do the same by a
 model of bounded size that every task holds, which cuts the rare words and n-grams.
 
 A model holds, for each language, the log frequencies of words, and of character n-grams of words
@@ -28,12 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from caselink.llm.texts import mix
+from caselink.llm import backoff_tables as tables
+from caselink.llm.meeting import partitions
 from caselink.session import savepoint
 
 LONGEST = 5
@@ -42,8 +42,6 @@ GRAMS = 40_000
 #: Words whose scores a task remembers.
 CACHE = 200_000
 FLUSH = 150_000
-#: Words of documents in a pack.
-PACK_WORDS = 600_000
 UNKNOWN = "und"
 
 _LETTERS = regex.compile(r"\p{L}+")
@@ -206,70 +204,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return boxed.mapInArrow(_predict(shared), f"row {row}, lang_pred string, score double")
 
 
-def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as places in the distinct words of their pack; a pack is named by a hash of its rows."""
-    held: list[pa.Array] = []
-    names: list[np.ndarray] = []
-    sizes: list[int] = []
-    places: list[np.ndarray] = []
-    index: dict[str, int] = {}
-    size = 0
-
-    def flush() -> pa.RecordBatch:
-        rows = pa.concat_arrays(held)
-        # Chained by place, so that repeated rows do not cancel each other.
-        marks = np.concatenate(names).view(np.uint64) + np.arange(len(rows), dtype=np.uint64)
-        name = mix(np.array([mix(marks).sum(dtype=np.uint64)], np.uint64)).view(np.int64)
-        numbers = np.concatenate(places) if places else np.zeros(0, np.int32)
-        out = pa.RecordBatch.from_arrays(
-            [
-                pa.array(name),
-                pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
-                pa.array([np.array(sizes, np.int32).tobytes()], pa.binary()),
-                pa.array([zstandard.ZstdCompressor(level=3).compress(numbers.tobytes())], pa.binary()),
-                pa.array([list(index)], pa.list_(pa.string())),
-            ],
-            names=["pack", "rows", "sizes", "places", "words"],
-        )
-        for x in (held, names, sizes, places, index):
-            x.clear()
-        return out
-
-    for batch in batches:
-        marks = batch.column(2).to_numpy(zero_copy_only=False)
-        begin = 0
-        for i, text in enumerate(batch.column(1)):
-            text = text.as_py()
-            tokens = _tokens(text) if text else []
-            for w in tokens:
-                if w not in index:
-                    index[w] = len(index)
-            sizes.append(len(tokens))
-            if tokens:
-                places.append(np.fromiter(map(index.__getitem__, tokens), np.int32, len(tokens)))
-            size += len(tokens)
-            if size >= PACK_WORDS:
-                held.append(batch.column(0).slice(begin, i + 1 - begin))
-                names.append(marks[begin : i + 1])
-                begin, size = i + 1, 0
-                yield flush()
-        if begin < batch.num_rows:
-            held.append(batch.column(0).slice(begin))
-            names.append(marks[begin:])
-    if held:
-        yield flush()
-
-
-def _wide(table: DataFrame, keys: list[str], langs: list[str]) -> DataFrame:
-    counts = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
-    return table.groupBy(*keys).agg(*counts)
-
-
-def _scores(totals: list[int], units: int) -> list:
-    """Logs of smoothed relative frequencies, by the totals of each language."""
-    return [F.log((F.col(f"n{i}") + 0.5) / F.lit(t + 0.5 * units)).cast("float").alias(f"s{i}") for i, t in enumerate(totals)]
-
-
 def _grams_of(n: int):
     """The n-grams of ``word`` between its two end marks."""
     padded = F.concat(F.lit("\x02"), "word", F.lit("\x03"))
@@ -278,60 +212,29 @@ def _grams_of(n: int):
     return F.when(F.char_length(padded) >= n, cut)
 
 
-def word_scores(learnt: DataFrame, asked: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], DataFrame]:
-    """The languages of ``learnt``, and ``word, s0, s1, ...`` for the words of ``asked(word)``.
+def _as_read(docs: DataFrame) -> bool:
+    """Whether rows come as files hold them, so that reading them again gives the same tasks."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return all(line.lstrip("+-: ").split(" ")[0] in ("Project", "Filter", "Relation") for line in plan if line.strip())
 
-    All words and n-grams of ``learnt`` count. A word of which not even a letter is known has no row.
-    """
-    counted = savepoint(word_counts(learnt, lang_col, text_col), "word_counts")
-    sums = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted(sums)
-    names = [f"s{i}" for i in range(len(langs))]
-    if not langs:
-        return langs, asked.limit(0)
-    table = savepoint(_wide(counted, ["word"], langs), "word_table")
-    words = table.select("word", *_scores([sums[x] for x in langs], table.count()))
-    asked = savepoint(asked.distinct(), "asked_words")
-    left = savepoint(asked.join(words, "word", "left_anti"), "unseen_words")
-    found = asked.join(words, "word")
-    for n in range(LONGEST, 0, -1):
-        grams = savepoint(
-            _wide(counted.select("lang", "n", F.explode(_grams_of(n)).alias("gram")), ["gram"], langs), "gram_table"
-        )
-        row = grams.agg(F.count("*").alias("units"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(langs))]).first()
-        if not row.units:
-            continue
-        known = grams.select("gram", *_scores([row[f"n{i}"] for i in range(len(langs))], row.units))
-        hits = savepoint(
-            left.select("word", F.explode(_grams_of(n)).alias("gram"))
-            .join(known, "gram")
-            .groupBy("word")
-            .agg(*[F.avg(x).cast("float").alias(x) for x in names]),
-            "backed_off_words",
-        )
-        found = found.unionByName(hits)
-        left = savepoint(left.join(hits, "word", "left_anti"), "unseen_words")
-    return langs, found
 
+def _add_up(scale: tables.Scale, schema: pa.Schema):
+    langs = scale.langs
 
-def _add_up(langs: list[str], schema: pa.Schema):
     def run(key, packs: pa.Table, answers: pa.Table) -> pa.Table:
-        at = answers["at"].to_numpy()
         out = []
         for i in range(packs.num_rows):
-            rows, words = packs["rows"][i].values, len(packs["words"][i])
+            rows = packs["rows"][i].values
             sizes = np.frombuffer(packs["sizes"][i].as_py(), np.int32)
-            places = np.frombuffer(zstandard.ZstdDecompressor().decompress(packs["places"][i].as_py()), np.int32)
-            scores = np.zeros((words, len(langs)), np.float32)
-            for k in range(len(langs)):
-                scores[at, k] = answers[f"s{k}"].to_numpy()
             best, share = [UNKNOWN] * len(sizes), np.zeros(len(sizes))
-            some = np.flatnonzero(sizes) if langs else []
-            ends = np.cumsum(sizes, dtype=np.int64)
-            for d in some:
-                total = scores[places[ends[d] - sizes[d] : ends[d]]].sum(axis=0, dtype=np.float64)
-                k = int(total.argmax())
-                best[d], share[d] = langs[k], 1.0 / np.exp(np.maximum(total - total[k], -700.0)).sum()
+            if langs:
+                scores = tables.word_scores(scale, packs["words"][i].as_py(), answers.to_pylist())
+                places = tables.unpress(packs["places"][i].as_py(), np.int32)
+                ends = np.cumsum(sizes, dtype=np.int64)
+                for d in np.flatnonzero(sizes):
+                    total = scores[places[ends[d] - sizes[d] : ends[d]]].sum(axis=0, dtype=np.float64)
+                    k = int(total.argmax())
+                    best[d], share[d] = langs[k], 1.0 / np.exp(np.maximum(total - total[k], -700.0)).sum()
             out.append(pa.table([rows, pa.array(best, pa.string()), pa.array(share)], names=["row", "lang_pred", "score"]))
         return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
 
@@ -339,24 +242,46 @@ def _add_up(langs: list[str], schema: pa.Schema):
 
 
 def identify(learnt: DataFrame, docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """``row, lang_pred, score`` of ``docs`` by all words and n-grams of ``learnt``; see ``predict``."""
+    """``row, lang_pred, score`` of ``docs`` by all words and n-grams of ``learnt``; see ``predict``.
+
+    Documents are read twice, once to ask for the scores of their words and once to add them up; rows
+    that do not come straight from files are written first.
+    """
+    buckets = max(1, partitions(docs) // 4)
+    known = learnt.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    counted = known.select(F.col(lang_col).cast("string"), text_col).mapInArrow(tables.learn(buckets), tables.LEARNT)
+    parts = savepoint(counted.repartitionById(buckets, "bucket").mapInArrow(tables.tabulate(buckets), tables.TABLE), "word_tables")
+    words = parts.where("kind = 0")
+    grams = savepoint(
+        parts.where("kind > 0").repartitionById(buckets, "bucket").mapInArrow(tables.merge_grams, tables.TABLE), "gram_tables"
+    )
+    sums = words.unionByName(grams).groupBy("kind", "lang").agg(F.sum("total").alias("total"), F.sum("units").alias("units")).collect()
+    langs = sorted({r.lang for r in sums})
+    totals = {r.kind: [0] * len(langs) for r in sums}
+    units = dict.fromkeys(totals, 0)
+    for r in sums:  # a row for each language and length
+        totals[r.kind][langs.index(r.lang)] = r.total
+        units[r.kind] += r.units
+    scale = tables.Scale(langs, totals, units)
+
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
-    boxed = docs.select(row.alias("row"), F.col(text_col).alias("text"), F.xxhash64(*docs.columns).alias("mark"))
+    boxed = docs.select(row.alias("row"), F.col(text_col).alias("text"))
+    if not _as_read(docs):
+        boxed = savepoint(boxed, "documents")
     kind = boxed.schema["row"].dataType
-    packs = savepoint(
-        boxed.mapInArrow(
-            _packs, f"pack bigint, rows array<{kind.simpleString()}>, sizes binary, places binary, words array<string>"
-        ),
-        "packs",
+    asked = boxed.mapInArrow(tables.ask(buckets), tables.ASKED)
+    answers = savepoint(
+        asked.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(tables.answer_words(langs), tables.ANSWER), "word_answers"
+    )
+    sent = answers.where(f"kind = {tables.UNSEEN}").mapInArrow(tables.ask_grams(buckets), tables.ANSWER)
+    backed = sent.groupBy("bucket").cogroup(grams.groupBy("bucket")).applyInArrow(tables.answer_grams(langs), tables.ANSWER)
+    whole = answers.unionByName(backed).withColumnRenamed("pack", "of_pack")
+    packs = boxed.mapInArrow(
+        tables.pack, f"pack bigint, rows array<{kind.simpleString()}>, sizes binary, places binary, words bigint"
     )
-    sent = packs.select("pack", F.posexplode("words").alias("at", "word"))
-    langs, scores = word_scores(learnt, sent.select("word"), lang_col, text_col)
-    names = [f"s{i}" for i in range(len(langs))]
-    known = savepoint(scores, "word_scores")
-    answers = sent.join(known, "word").select(F.col("pack").alias("of_pack"), "at", *names)
     schema = pa.schema([("row", to_arrow_type(kind)), ("lang_pred", pa.string()), ("score", pa.float64())])
     return (
         packs.groupBy("pack")
-        .cogroup(answers.groupBy("of_pack"))
-        .applyInArrow(_add_up(langs, schema), f"row {kind.simpleString()}, lang_pred string, score double")
+        .cogroup(whole.groupBy("of_pack"))
+        .applyInArrow(_add_up(scale, schema), f"row {kind.simpleString()}, lang_pred string, score double")
     )
