@@ -29,8 +29,8 @@ LEARNT = "bucket int, lang string, words binary, ns binary"
 TABLE = "kind int, bucket int, lang string, hashes binary, ns binary, total bigint, units bigint"
 ASKED = "bucket int, pack bigint, at binary, words binary"
 ANSWER = "pack bigint, kind int, bucket int, at binary, payload binary"
-#: Kinds of answers: counts of known words, the text of unseen ones, and (from 1 on) known n-grams.
-KNOWN, UNSEEN = -1, 0
+#: Kinds of answers: counts of known words, the text of unseen ones, and n-grams, asked for or known.
+KNOWN, UNSEEN, GRAMS = -1, 0, 1
 
 _LETTER: np.ndarray | None = None
 
@@ -389,34 +389,41 @@ def answer_words(langs: list[str]):
 
 
 def ask_grams(buckets: int):
-    """Distinct n-grams of unseen words, by the n-grams' buckets; ``at`` holds their hashes."""
+    """Distinct n-grams of a pack's unseen words, a row for each of the n-grams' buckets.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                words, _ = unblock([r["payload"]])
-                for n in range(1, LONGEST + 1):
-                    hashes = np.unique(words.grams(n)[0])
-                    where = bucket_of(hashes, buckets)
-                    for k in np.unique(where).tolist():
-                        out.append((r["pack"], n, k, hashes[where == k].tobytes(), None))
-            if out:
-                yield _rows(out, ANSWER_SCHEMA)
+    ``at`` holds the hashes, by length, and ``payload`` the number of each length.
+    """
+
+    def run(key, unseen: pa.Table) -> pa.Table:
+        rows = unseen.to_pylist()
+        words, _ = unblock([r["payload"] for r in rows])
+        hashes = [np.unique(words.grams(n)[0]) for n in range(1, LONGEST + 1)]
+        where = [bucket_of(h, buckets) for h in hashes]
+        out = []
+        for k in np.unique(np.concatenate(where)).tolist():
+            own = [h[w == k] for h, w in zip(hashes, where)]
+            sizes = np.array([len(h) for h in own], np.int64)
+            out.append((rows[0]["pack"], GRAMS, k, np.concatenate(own).tobytes(), sizes.tobytes()))
+        return pa.Table.from_batches([_rows(out, ANSWER_SCHEMA)])
 
     return run
 
 
 def answer_grams(langs: list[str]):
-    """Counts of the asked n-grams of a bucket that are known."""
+    """The asked n-grams of a bucket that are known, and in ``payload`` their numbers and counts."""
 
     def run(key, asked: pa.Table, table: pa.Table) -> pa.Table:
         blocks, out = table.to_pylist(), []
         for r in asked.to_pylist():
-            hashes = np.frombuffer(r["at"], np.uint64)
-            counts, known = _lookup([b for b in blocks if b["kind"] == r["kind"]], langs, hashes)
-            if known.any():
-                out.append((r["pack"], r["kind"], r["bucket"], hashes[known].tobytes(), press(counts[known])))
+            cuts = np.cumsum(np.frombuffer(r["payload"], np.int64))[:-1]
+            found, parts = [], []
+            for n, hashes in enumerate(np.split(np.frombuffer(r["at"], np.uint64), cuts), 1):
+                counts, known = _lookup([b for b in blocks if b["kind"] == n], langs, hashes)
+                found.append(hashes[known])
+                parts.append(counts[known].ravel())
+            sizes = np.array([len(h) for h in found], np.int64)
+            if sizes.any():
+                out.append((r["pack"], GRAMS, r["bucket"], np.concatenate(found).tobytes(), press(np.concatenate([sizes, *parts]))))
         return pa.Table.from_batches([_rows(out, ANSWER_SCHEMA)]) if out else ANSWER_SCHEMA.empty_table()
 
     return run
@@ -440,8 +447,12 @@ def word_scores(scale: Scale, words: int, answers: list[dict]) -> np.ndarray:
     for r in answers:
         if r["kind"] == KNOWN:
             scores[unpress(r["at"], np.int32)] = scale(0, unpress(r["payload"], np.int64).reshape(-1, width))
-        elif r["kind"] != UNSEEN:
-            tables.setdefault(r["kind"], []).append((np.frombuffer(r["at"], np.uint64), unpress(r["payload"], np.int64).reshape(-1, width)))
+        elif r["kind"] == GRAMS:
+            numbers = unpress(r["payload"], np.int64)
+            sizes, counts = numbers[:LONGEST], numbers[LONGEST:].reshape(-1, width)
+            cuts = np.cumsum(sizes)[:-1]
+            for n, part in enumerate(zip(np.split(np.frombuffer(r["at"], np.uint64), cuts), np.split(counts, cuts)), 1):
+                tables.setdefault(n, []).append(part)
     unseen = [r for r in answers if r["kind"] == UNSEEN]
     if not unseen:
         return scores
@@ -451,6 +462,8 @@ def word_scores(scale: Scale, words: int, answers: list[dict]) -> np.ndarray:
         if n not in tables or not len(left):
             continue
         hashes = np.concatenate([h for h, _ in tables[n]])
+        if not len(hashes):
+            continue
         order = np.argsort(hashes)
         known, logs = hashes[order], scale(n, np.concatenate([c for _, c in tables[n]])[order])
         grams, word = left.grams(n)

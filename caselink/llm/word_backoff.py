@@ -273,7 +273,7 @@ def identify(learnt: DataFrame, docs: DataFrame, lang_col: str = "lang", text_co
     answers = savepoint(
         asked.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(tables.answer_words(langs), tables.ANSWER), "word_answers"
     )
-    sent = answers.where(f"kind = {tables.UNSEEN}").mapInArrow(tables.ask_grams(buckets), tables.ANSWER)
+    sent = answers.where(f"kind = {tables.UNSEEN}").groupBy("pack").applyInArrow(tables.ask_grams(buckets), tables.ANSWER)
     backed = sent.groupBy("bucket").cogroup(grams.groupBy("bucket")).applyInArrow(tables.answer_grams(langs), tables.ANSWER)
     whole = answers.unionByName(backed).withColumnRenamed("pack", "of_pack")
     packs = boxed.mapInArrow(
