@@ -394,7 +394,7 @@ def ask_grams(buckets: int):
     ``at`` holds the hashes, by length, and ``payload`` the number of each length.
     """
 
-    def run(key, unseen: pa.Table) -> pa.Table:
+    def run(unseen: pa.Table) -> pa.Table:
         rows = unseen.to_pylist()
         words, _ = unblock([r["payload"] for r in rows])
         hashes = [np.unique(words.grams(n)[0]) for n in range(1, LONGEST + 1)]
