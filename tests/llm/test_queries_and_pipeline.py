@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import os
 import re
+import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
+from test_mixture import library_ids
 from test_near_and_substring import closure, cut_words, fingerprint
 from test_rules_and_packing import brute_pack
+from test_whitening import check as check_whitening
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
@@ -32,6 +36,15 @@ COLUMNS = {
         "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean",
     },
     10: {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+    11: {
+        "vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double",
+        "explained": "double", "identity_error": "double",
+    },
+    12: {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint", "rank": "int"},
+    13: {
+        "doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint",
+        "sequence_id": "bigint", "offset": "bigint",
+    },
 }
 
 
@@ -39,7 +52,7 @@ def documents(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_query_covers_its_table(spark, n):
     name = next(q for q in entry_point.queries() if q.startswith(f"op{n}_"))
     df = entry_point.queries()[name](spark, SF)
@@ -50,6 +63,27 @@ def test_query_covers_its_table(spark, n):
         pages = spark.read.parquet(f"{SF}/pages.parquet")
         assert len(rows) == pages.count()
         assert all(r.n_chars == len(r.text) for r in rows)
+    elif n == 11:
+        vectors = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+        check_whitening([(r.vec_id, r.embedding) for r in vectors], rows)
+    elif n == 12:
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+        sql = f"SELECT lang, source, part, item, value, rank FROM ({entry_point.oracle_sql()[name]})"
+        assert sorted(tuple(r) for r in df.select("lang", "source", "part", "item", "value", "rank").collect()) == sorted(con.execute(sql).fetchall())
+    elif n == 13:
+        texts = {r.doc_id: r.text for r in documents(spark).collect()}
+        ids = dict(zip(texts, library_ids(texts.values())))
+        assert sum(r.length for r in rows) == sum(map(len, ids.values()))
+        for r in rows:
+            part = np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4")
+            assert len(part) == r.length and zlib.crc32(part.tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+        ends = {}
+        for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == ends.get(r.sequence_id, 0)
+            ends[r.sequence_id] = r.offset + r.length
+        sizes = [ends[k] for k in sorted(ends)]
+        assert sizes == sorted(sizes, reverse=True) and all(n & (n - 1) == 0 and n <= 2048 for n in sizes)
     elif n not in (6, 7):
         assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in documents(spark).select("doc_id").collect())
     else:
