@@ -118,8 +118,11 @@ def op3_token_files(spark, sf_dir):
 @query
 def op2_language_id(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    docs = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
-    found = word_backoff.identify(docs.where(~F.col("held_out")), docs.select("doc_id", "held_out", "text"))
+    # A null id has no remainder: it is not held out, and not learnt from either.
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    docs = docs.withColumn("held_out", held_out)
+    learnt = docs.where(F.col("doc_id").isNotNull() & ~F.col("held_out"))
+    found = word_backoff.identify(learnt, docs.select("doc_id", "held_out", "text"))
     return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
