@@ -31,6 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from caselink.llm import backoff_tables as tables
 from caselink.llm.meeting import partitions
@@ -279,7 +280,9 @@ def identify(learnt: DataFrame, docs: DataFrame, lang_col: str = "lang", text_co
     packs = boxed.mapInArrow(
         tables.pack, f"pack bigint, rows array<{kind.simpleString()}>, sizes binary, places binary, words bigint"
     )
-    schema = pa.schema([("row", to_arrow_type(kind)), ("lang_pred", pa.string()), ("score", pa.float64())])
+    # As the declared type has it: all fields may be null.
+    nullable = to_arrow_type(DataType.fromDDL(kind.simpleString()))
+    schema = pa.schema([("row", nullable), ("lang_pred", pa.string()), ("score", pa.float64())])
     return (
         packs.groupBy("pack")
         .cogroup(whole.groupBy("of_pack"))
