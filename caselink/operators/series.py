@@ -5,7 +5,7 @@ Time series are counted per day first. Windows then run over at most one row per
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,8 +26,7 @@ from caselink.operators import exposure as E
 from caselink.operators.levels import lump_levels
 from caselink.operators.persons import keep_first
 from caselink.operators.records import impute_dates
-from caselink.operators.reshape import doses_to_long, stack_frames, tagged_union
-from caselink.session import savepoint
+from caselink.operators.reshape import doses_to_long, stack_frames
 
 # --- histograms -------------------------------------------------------------------------------
 
@@ -290,40 +289,35 @@ def notified_tests(lab: DataFrame, cfg: StudyConfig) -> DataFrame:
 EVENT_COLUMNS = ["rec_id", "id_vigvac", "confirmado", "dt_interna_dt", "evolucao", "dt_evoluca"]
 
 
-def event_records(tests: DataFrame) -> DataFrame:
-    """Per person, admission date and result, the first record and the one of the earliest outcome.
+def event_records(tests: DataFrame, samples: bool = False) -> DataFrame:
+    """Per person, admission date and result, the first record and the one of the earliest outcome:
+    ``id_vigvac, confirmado, of, day, first, ended`` with ``of`` = ``admission``.
 
-    Both come from one grouping, whose partial minima keep a person with very many records from
-    filling a task. No admission date forms a group too. Written once, since all series read it.
+    No admission date forms a group too. With ``samples`` the cases are also grouped by sample date
+    (``of`` = ``sample``), from the same read and in the same exchange. Partial minima keep a person
+    with very many records from filling a task.
     """
-    record = F.struct(*EVENT_COLUMNS)
+    record = F.struct(*EVENT_COLUMNS, "dt_inicio_sintomas")
     outcome_order = F.struct(F.col("dt_evoluca").isNull(), "dt_evoluca", "rec_id")
-    rows = tests.groupBy("id_vigvac", "dt_interna_dt", "confirmado").agg(
-        F.min_by(record, "rec_id").alias("admitted"), F.min_by(record, outcome_order).alias("ended")
+    groups = [F.struct(F.lit("admission").alias("of"), F.col("dt_interna_dt").alias("day"))]
+    if samples:
+        by_sample = F.struct(F.lit("sample").alias("of"), F.col("dt_coleta").alias("day"))
+        groups.append(F.when(F.col("confirmado") == C.CASE, by_sample))
+    return (
+        tests.withColumn("group", F.explode(F.array_compact(F.array(*groups))))
+        .groupBy("id_vigvac", "confirmado", "group.of", "group.day")
+        .agg(F.min_by(record, "rec_id").alias("first"), F.min_by(record, outcome_order).alias("ended"))
     )
-    return savepoint(rows.select("admitted", "ended"), "event_records")
-
-
-def admissions(events: DataFrame) -> DataFrame:
-    """One record per person, admission date and result; no admission forms a group too."""
-    return events.select("admitted.*")
 
 
-def deaths(events: DataFrame) -> DataFrame:
-    """Fatal cases, the earliest outcome per person, admission date and result."""
-    return events.select("ended.*").where(
-        (F.col("confirmado") == C.CASE) & F.col("evolucao").isin("2", "3")
-    )
+def _died() -> Column:
+    """Fatal cases, by the earliest outcome per person, admission date and result."""
+    return (F.col("confirmado") == C.CASE) & F.col("ended.evolucao").isin("2", "3")
 
 
-def _severe(events: DataFrame, admitted_only: bool = False) -> DataFrame:
-    admitted = events.transform(admissions)
-    if admitted_only:
-        admitted = admitted.where(F.col("dt_interna_dt").isNotNull())
-    only_death = events.transform(deaths).join(admitted.select("id_vigvac"), "id_vigvac", "left_anti")
-    return stack_frames(only_death.select(*EVENT_COLUMNS), admitted.select(*EVENT_COLUMNS)).withColumn(
-        "data_severe", F.coalesce("dt_interna_dt", "dt_evoluca")
-    )
+def _death_alone(admitted: Column) -> Column:
+    """Deaths of persons without an admission; who has no id is never known to have had one."""
+    return _died() & ~(F.col("id_vigvac").isNotNull() & admitted)
 
 
 def severe_outcomes(lab: DataFrame, cfg: StudyConfig, admitted_only: bool = False) -> DataFrame:
@@ -332,7 +326,20 @@ def severe_outcomes(lab: DataFrame, cfg: StudyConfig, admitted_only: bool = Fals
     Records without an admission date count as admissions here, as in the original analysis;
     ``admitted_only`` leaves them out.
     """
-    return lab.transform(notified_tests, cfg).transform(event_records).transform(_severe, admitted_only)
+    events = lab.transform(notified_tests, cfg).transform(event_records)
+    counts = F.lit(True)
+    if admitted_only:
+        counts = F.col("day").isNotNull()
+        person = Window.partitionBy("id_vigvac")
+        events = events.withColumn("admitted", F.max(counts).over(person))
+    else:
+        events = events.withColumn("admitted", counts)
+    both = F.array(F.when(counts, F.col("first")), F.when(_death_alone(F.col("admitted")), F.col("ended")))
+    return (
+        events.select(F.explode(F.array_compact(both)).alias("event"))
+        .select(*[f"event.{c}" for c in EVENT_COLUMNS])
+        .withColumn("data_severe", F.coalesce("dt_interna_dt", "dt_evoluca"))
+    )
 
 
 def severe_series(lab: DataFrame, cfg: StudyConfig) -> DataFrame:
@@ -346,34 +353,38 @@ def severe_series(lab: DataFrame, cfg: StudyConfig) -> DataFrame:
 def epidemic_series(lab: DataFrame, cfg: StudyConfig) -> DataFrame:
     """Weekly infections, admissions, deaths and severe outcomes of cases.
 
-    The notifications are read twice: for infections, which group by sample date, and for events.
+    One read and one exchange of the notifications: each group of a person gives the dates of the
+    series that it counts in, and those are counted by week.
     """
-    tests = lab.transform(notified_tests, cfg)
-    events = tests.transform(event_records)
     case = F.col("confirmado") == C.CASE
-
-    def between(day: str, low: date, high: date) -> Column:
-        return (F.col(day) > F.lit(low)) & (F.col(day) < F.lit(high))
-
-    infections = keep_first(tests, ["id_vigvac", "dt_coleta", "confirmado"], ["rec_id"]).where(case)
-    admitted = events.transform(admissions).where(
-        case & between("dt_interna_dt", cfg.event_floor, cfg.grid_end)
+    admission = F.col("of") == "admission"
+    first, ended = F.col("first"), F.col("ended")
+
+    def severe_day(record: Column) -> Column:
+        return F.coalesce(record["dt_interna_dt"], record["dt_evoluca"])
+
+    def point(series: str, counts: Column, day: Column, end: date, low: date | None = None, high: date | None = None) -> Column:
+        """A day between both bounds, exclusive, on an axis that holds its ``end``."""
+        kept = counts & (day <= F.lit(end))
+        if low is not None:
+            kept = kept & (day > F.lit(low)) & (day < F.lit(high))
+        return F.when(kept, F.struct(F.lit(series).alias("series"), day.alias("day")))
+
+    severe = (cfg.grid_end, cfg.severe_floor, cfg.grid_end)
+    points = F.array(
+        point("infection", case & (F.col("of") == "sample"), first["dt_inicio_sintomas"], cfg.axis_end),
+        point("hospitalization", case & admission, first["dt_interna_dt"], cfg.axis_end, cfg.event_floor, cfg.grid_end),
+        point("death", admission & _died(), ended["dt_evoluca"], cfg.grid_end, cfg.event_floor, cfg.event_ceiling),
+        point("severe", case & admission, severe_day(first), *severe),
+        point("severe", admission & _death_alone(F.lit(True)), severe_day(ended), *severe),
     )
-    died = events.transform(deaths).where(between("dt_evoluca", cfg.event_floor, cfg.event_ceiling))
-    severe = events.transform(_severe).where(case & between("data_severe", cfg.severe_floor, cfg.grid_end))
-    series: Mapping[str, tuple[DataFrame, str, date]] = {
-        "infection": (infections, "dt_inicio_sintomas", cfg.axis_end),
-        "hospitalization": (admitted, "dt_interna_dt", cfg.axis_end),
-        "death": (died, "dt_evoluca", cfg.grid_end),
-        "severe": (severe, "data_severe", cfg.grid_end),
-    }
-    return tagged_union(
-        {
-            name: weekly_histogram(frame, day, start=cfg.axis_start, end=end)
-            for name, (frame, day, end) in series.items()
-        },
-        "series",
+    dated = (
+        lab.transform(notified_tests, cfg)
+        .transform(event_records, samples=True)
+        .select(F.explode(F.array_compact(points)).alias("point"))
+        .select("point.*")
     )
+    return weekly_histogram(dated, "day", ["series"], start=cfg.axis_start).select("series", "week", "n")
 
 
 # --- variants ---------------------------------------------------------------------------------

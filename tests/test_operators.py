@@ -267,6 +267,18 @@ def test_severe_outcomes_admitted_only(lab):
     assert len(series.severe_outcomes(frame.where("id_vigvac = 1"), CFG, True).collect()) == 1
 
 
+
+def test_deaths_without_a_person_id_stay_severe(lab):
+    """No id matches no admission, so such a death counts beside the record itself; ties and repeated
+    rows of one person, admission date and result count once."""
+    death = {"confirmado": C.CASE, "evolucao": "2", "dt_evoluca": 5}
+    frame = lab([{"id_vigvac": None, **death}, {"id_vigvac": 4, **death}, {"id_vigvac": 4, **death}])
+    for only, expected in ((False, [(None, 1), (None, 1), (4, 2)]), (True, [(None, 1), (4, 2)])):
+        rows = series.severe_outcomes(frame, CFG, only).collect()
+        assert sorted(((r["id_vigvac"], r["rec_id"]) for r in rows), key=lambda r: (r[0] or 0, r[1])) == expected
+    assert series.epidemic_series(frame.where("false"), CFG).count() == 0
+
+
 # --- regions and readers ----------------------------------------------------------------------
 
 

@@ -200,14 +200,17 @@ def test_a_hot_person_is_split_over_join_tasks(spark, lab, tmp_path, step):
             spark.conf.unset(key)
 
 
-def test_epidemic_series_reads_the_notifications_twice(spark, lab, tmp_path):
+def test_epidemic_series_reads_and_moves_the_notifications_once(spark, lab, tmp_path):
     lab([{"rec_id": i, "dt_interna_dt": i % 5} for i in range(50)]).write.parquet(str(tmp_path / "lab"))
     tests = spark.read.parquet(str(tmp_path / "lab"))
     text = plan(series.epidemic_series(tests, CFG))
-    # The events have been read once and written; what is left reads the table for infections only.
-    scans = [line for line in text.splitlines() if "FileScan" in line]
-    assert sum("dt_notificacao" in line for line in scans) == 1
-    assert sum("admitted" in line or "ended" in line for line in scans) == len(scans) - 1
+    assert text.count("FileScan") == 1 and "Join" not in text
+    moved = [e.split("#")[0] for e in exchanges(text)]
+    assert len(moved) == 2 and moved[1] == "hashpartitioning(id_vigvac"  # the other one: by series and week
+    before = text.split("Exchange hashpartitioning(id_vigvac", 1)[1]
+    assert "partial_min_by" in before  # a hot person leaves one row per task and group
+    severe = plan(series.severe_outcomes(tests, CFG))
+    assert severe.count("FileScan") == 1 and len(exchanges(severe)) == 1
 
 
 def test_savepoints_need_a_shared_folder(spark, monkeypatch):
