@@ -7,7 +7,8 @@ the last. A shard then holds everything its 5-grams need down to order 3: contex
 counts and left extensions of the orders 5, 4 and 3 all share those two symbols. Orders 2 and 1 are a
 dense table of 256 x 256 numbers per language, and discounts are four numbers per order, so both are
 sent to all tasks. Shards join the counts to the 5-grams of the packs and return one log probability
-for each; packs add them up by document. No step holds more than a pack or a shard.
+for each; packs add them up by document. The packs' side of a shard grows with the corpus, so it is
+dealt in blocks of bounded bytes. No step holds more than a pack, a block or a shard's counts.
 
 The threshold of a language and length class is a quantile of the perplexities of trusted texts that
 the model has not seen, chosen by how many rejected texts lie above it. A document above it is not kept. Empty and null texts have no perplexity and are not kept; texts of a language without
@@ -39,6 +40,8 @@ CHOICE = (0.9, 0.91, 0.92, 0.93, 0.94, 0.95, 0.96, 0.97, 0.98, 0.99, 0.995)
 #: Trusted and rejected texts that a length class, or else a language, needs for limits of its own.
 LEAST = 20
 PACK_CHARS = 6 << 20
+#: Compressed bytes of the packs' 5-grams of one shard that a task answers at once.
+BLOCK = 64 << 20
 _PAD = ORDER - 1
 
 _SYMBOL = np.arange(256, dtype=np.uint8)
@@ -387,6 +390,15 @@ def _trust_bits(packs: DataFrame, trusted: DataFrame) -> DataFrame:
     return savepoint(marked.mapInArrow(bits, "pack bigint, trusted binary"), "trusted_documents")
 
 
+def _blocks(sent: DataFrame) -> DataFrame:
+    """``shard, blocks``: into how many blocks of about ``BLOCK`` bytes the packs' n-grams of a shard are
+    dealt. A shard of common symbols grows with the corpus, its trained counts with the alphabet only,
+    so each block gets those counts whole. The table has a row per shard, so it is broadcast."""
+    size = F.sum(F.length("grams"))
+    blocks = sent.groupBy("shard").agg(F.ceil(size / F.lit(BLOCK)).cast("int").alias("blocks"))
+    return F.broadcast(savepoint(blocks.select("shard", F.greatest(F.lit(1), "blocks").alias("blocks")), "shard_blocks"))
+
+
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """``doc_id, lang, n_chars, perplexity, trusted`` per row of ``docs(doc_id, text, lang)``.
 
@@ -425,10 +437,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     for r in sums:
         by_lang.setdefault(r.lang, []).append((r.kind, r.cell, r.n))
     shared = spark.sparkContext.broadcast({lang: Lower(rows) for lang, rows in by_lang.items()})
+    blocks = _blocks(sent)
+    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    own_block = F.pmod(F.xxhash64("pack"), F.col("blocks")).cast("int").alias("block")
     answers = (
-        sent.select("shard", "pack", "lang", "grams")
-        .groupBy("shard")
-        .cogroup(counts.select("shard", "lang", "grams", "counts").groupBy("shard"))
+        sent.join(blocks, "shard")
+        .select("shard", own_block, "pack", "lang", "grams")
+        .groupBy("shard", "block")
+        .cogroup(counts.join(blocks, "shard").select("shard", every_block, "lang", "grams", "counts").groupBy("shard", "block"))
         .applyInArrow(_answer(shared), "pack bigint, shard int, logs binary")
     )
     arrow_kind = pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32()

@@ -569,6 +569,26 @@ def test_contaminations_against_all_pairs(spark, docs):
     assert got <= want and len(got) >= 0.95 * len(want) > 40
 
 
+def test_a_hot_shard_is_answered_in_blocks(spark, docs, monkeypatch):
+    """The same perplexities, bit for bit, with each shard whole and in many blocks."""
+    rng = random.Random(16)
+    rows = [(i, "".join(rng.choices("abc de", k=rng.randint(0, 400))), "en" if i % 3 else "de") for i in range(60)]
+    table = docs(rows).repartition(12)
+    trusted = spark.createDataFrame([(i,) for i in range(0, 60, 2)], "doc_id bigint")
+
+    def scores():
+        return sorted((r.doc_id, r.lang, r.n_chars, r.perplexity or -1.0) for r in kneser_ney.perplexities(table, trusted).collect())
+
+    seen = []
+    dealt = kneser_ney._blocks
+    monkeypatch.setattr(kneser_ney, "_blocks", lambda sent: seen.append(dealt(sent)) or seen[-1])
+    whole = scores()
+    monkeypatch.setattr(kneser_ney, "BLOCK", 500)
+    assert scores() == whole and len(whole) == len(rows)
+    assert {r.blocks for r in seen[0].collect()} == {1}
+    assert max(r.blocks for r in seen[1].collect()) > 3
+
+
 def test_repeated_rows_in_two_languages_keep_their_own_counts(spark, docs):
     """Rows in pairs, the same rows in several partitions, and packs of two languages at once."""
     english, german = "the quick brown fox and the lazy dog", "der schnelle braune Fuchs und der faule Hund"
