@@ -555,6 +555,7 @@ ORACLE["age_bands"] = _sql(f"""
 SELECT rec_id, {AGE_GROUP} AS idade_cat, {AGE_TEN} AS idade_10, {BAND.replace('d_idade', 'idade')} AS faixa_etaria,
   {BAND_60.replace('d_idade', 'idade')} AS faixa_60 FROM lab""")
 ORACLE["analysis_table"] = _sql(f"SELECT {_names('', ANALYSIS_COLUMNS)} FROM analysis")
+ORACLE["analysis_table_by_person"] = ORACLE["analysis_table"]
 ORACLE["prepare_cohort"] = _sql(f"""
 SELECT {_names('', ANALYSIS_COLUMNS)}, COALESCE(cod_rgi, '530001') AS cod_rgi FROM lumped_analysis LEFT JOIN regions ON cod_ibge = code""")
 ORACLE["analysis_table_revised"] = _sql("""

@@ -19,7 +19,7 @@ from caselink.operators import window_rules as W
 from caselink.operators.levels import lump_levels
 from caselink.operators.persons import keep_first
 from caselink.operators.reshape import row_sum
-from caselink.session import shared_stage
+from caselink.session import bucketed_stage, shared_stage
 
 OUTPUT = [
     "rec_id", "id_vigvac", "seq_no", "dt_notificacao", "dt_coleta", "dt_inicio_sintomas", "idade",
@@ -34,11 +34,10 @@ OUTPUT = [
 ]
 
 
-def distinct_tests(lab: DataFrame, cfg: StudyConfig) -> DataFrame:
-    """Imputed adult tests, one per person, date and result, with the first positive date.
+def first_tests(lab: DataFrame, cfg: StudyConfig) -> DataFrame:
+    """Imputed adult tests, one per person, date and result.
 
-    The first positive counts tests before the onset floor, so a key whose records all lie below
-    the floor keeps one row until that date is known. Records above the floor win.
+    A key whose records all lie below the onset floor keeps one row. Records above the floor win.
     """
     above_floor = F.col("dt_inicio_sintomas") > F.lit(cfg.onset_floor)
     return (
@@ -47,12 +46,35 @@ def distinct_tests(lab: DataFrame, cfg: StudyConfig) -> DataFrame:
         .transform(
             keep_first, ["id_vigvac", "dt_coleta", "confirmado"], [F.col("_above").desc(), "rec_id"]
         )
-        .withColumn("firstcasedate", W.first_positive_in_window())
-        .where("_above")
         .drop("_above")
     )
 
 
+def distinct_tests(lab: DataFrame, cfg: StudyConfig) -> DataFrame:
+    """Tests above the onset floor, one per person, date and result, with the first positive date, which
+    counts tests below the floor too."""
+    return (
+        lab.transform(first_tests, cfg)
+        .withColumn("firstcasedate", W.first_positive_in_window())
+        .transform(R.onset_floor, cfg)
+    )
+
+
+def tests_by_person(lab: DataFrame, cfg: StudyConfig, root: str | None = None) -> DataFrame:
+    """``first_tests`` as a stage bucketed by person, to be given as ``lab`` to the functions here.
+
+    They keep all of its rows and need no exchange on person: for runs under other gaps, windows or
+    dates than ``first_sample``, ``min_age`` and ``onset_floor``. A person with very many
+    notifications is cut down before the exchange that writes the stage, to two tests a day at most.
+    """
+    return bucketed_stage(lab.transform(first_tests, cfg), "tests", "id_vigvac", root)
+
+
+def doses_by_person(vacc: DataFrame, root: str | None = None) -> DataFrame:
+    """Vaccinated persons as a stage bucketed alike, to be given as ``vacc``."""
+    return bucketed_stage(vacc.transform(E.vaccinated_persons), "doses", "id_vigvac", root)
+
+
 def without_false_negatives(lab: DataFrame, cfg: StudyConfig) -> DataFrame:
     return lab.transform(distinct_tests, cfg).transform(W.keep_where, W.neg_then_pos(cfg))
 

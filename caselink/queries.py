@@ -458,6 +458,13 @@ def analysis_table(spark, sf_dir):
     return _analysis(spark, sf_dir)
 
 
+@query()
+def analysis_table_by_person(spark, sf_dir):
+    """The analysis rows from stages bucketed by person, which further runs under other rules read too."""
+    tests = P.tests_by_person(_lab(spark, sf_dir), CFG)
+    return P.analysis_table(tests, P.doses_by_person(_vacc(spark, sf_dir)), CFG)
+
+
 @query()
 def prepare_cohort(spark, sf_dir):
     return P.prepare_cohort(

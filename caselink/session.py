@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -137,6 +138,41 @@ def _write_file(spark: SparkSession, path: str, text: str = "") -> None:
         stream.close()
 
 
+def _bucketed_table(df: DataFrame, path: str, by: str, buckets: int) -> str:
+    """The session's table over the bucketed files at ``path``, made where it is not known yet. It is
+    external: dropping it leaves the files."""
+    spark = df.sparkSession
+    table = "bucketed_" + hashlib.sha256(path.encode()).hexdigest()[:24]
+    columns = df._jdf.schema().toDDL()
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
+        f"CLUSTERED BY (`{by}`) INTO {buckets} BUCKETS LOCATION '{place}'"
+    )
+    return table
+
+
+def bucketed_stage(df: DataFrame, name: str, by: str, root: str | None = None) -> DataFrame:
+    """A shared stage in as many buckets of ``by`` as the session has shuffle partitions.
+
+    Windows and groupings that have ``by`` among their keys, and joins with a stage of as many buckets, read it
+    without an exchange. A bucket is read by one task, so a value's rows must be bounded before. A
+    frame without a content key is written for this application alone.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def write(path: str) -> None:
+        table = _bucketed_table(df, path, by, buckets)
+        # Rows are dealt as they are bucketed: one file a bucket, whatever the number of tasks before.
+        df.repartition(buckets, by).write.insertInto(table)
+
+    def read(path: str) -> DataFrame:
+        return spark.table(_bucketed_table(df, path, by, buckets))
+
+    return _stage(df, f"{name}-{by}-{buckets}", root, write, read)
+
+
 def shared_stage(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
     """Like :func:`savepoint`, but written once for all queries, also of other applications, that compute
     the same from the same files.
@@ -146,23 +182,32 @@ def shared_stage(df: DataFrame, name: str, root: str | None = None) -> DataFrame
     that use a stage leave an owner file there, before they look for the marker; ``release`` takes it
     away, and the last one deletes the stage.
     """
+    read = df.sparkSession.read.schema(df.schema).parquet
+    return _stage(df, name, root, df.write.parquet, read)
+
+
+def _stage(
+    df: DataFrame, name: str, root: str | None, write: Callable[[str], None], read: Callable[[str], DataFrame]
+) -> DataFrame:
     spark = df.sparkSession
     key = content_key(df)
     if key is None:
-        return savepoint(df, name, root)
+        path = f"{root or _savepoints(spark)}/{uuid.uuid4().hex}/{name}"
+        write(path)
+        return read(path)
     home = f"{root or shared_dir(spark)}/stages/{name}-{key}"
     _write_file(spark, f"{home}/owners/{spark.sparkContext.applicationId}")
     found = _read_marker(spark, home)
     if found is None:
         attempt = f"attempt-{uuid.uuid4().hex}"
-        df.write.parquet(f"{home}/{attempt}")
+        write(f"{home}/{attempt}")
         draft = f"{home}/draft-{uuid.uuid4().hex}"
         _write_file(spark, draft, attempt)
         (source, files), (target, _) = _path(spark, draft), _path(spark, f"{home}/committed")
         if not files.rename(source, target):
             files.delete(source, False)
         found = _read_marker(spark, home) or attempt
-    return spark.read.schema(df.schema).parquet(f"{home}/{found}")
+    return read(f"{home}/{found}")
 
 
 def _release_stages(spark: SparkSession, root: str) -> None:
@@ -190,5 +235,7 @@ def release(spark: SparkSession, root: str | None = None) -> None:
     """Delete all savepoints of this application, and the shared stages that no other one uses; frames
     that read them are of no use afterwards. ``root`` as given to :func:`shared_stage`."""
     path, files = _path(spark, _savepoints(spark))
+    for table in spark.catalog.listTables(pattern="bucketed_*"):
+        spark.sql(f"DROP TABLE IF EXISTS {table.name}")
     files.delete(path, True)
     _release_stages(spark, root or shared_dir(spark))

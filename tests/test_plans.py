@@ -7,7 +7,7 @@ import re
 
 import duckdb
 import pytest
-from study_rows import day
+from study_rows import crowd, day, exchanges, plan
 
 from caselink import config as C
 from caselink.operators import persons, records, series
@@ -20,43 +20,6 @@ from caselink.sources import CARRIER_STUDY as CFG
 SF = "/root/testdata/sf0.001"
 
 
-def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-def exchanges(text: str) -> list[str]:
-    return re.findall(r"Exchange (hashpartitioning\([^)]*\)|\w+)", text)
-
-
-def crowd(lab, vacc, size=400):
-    """One person with a third of all records, many of them on the same few days."""
-    tests = []
-    for i in range(size):
-        person = 7 if i % 3 == 0 else 100 + i % 60
-        on = (i * 13) % 120 if person == 7 else (i * 37) % 900
-        case = (i // 3) % 5 == 0 if person == 7 else (i + person) % 3 == 0
-        tests.append(
-            {
-                "id_vigvac": person,
-                "dt_coleta": on if i % 11 else None,
-                "dt_notificacao": on,
-                "dt_inicio_sintomas": on - i % 4,
-                "confirmado": C.CASE if case else C.CONTROL,
-                "idade": 16 + i % 70 if person != 7 else 50,
-                "cod_ibge": "350001" if i % 17 else None,
-                "dt_interna_dt": on + i % 40 if i % 6 == 0 else None,
-                "evolucao": str(1 + i % 3) if i % 6 == 0 else None,
-                "dt_evoluca": on + i % 70 if i % 6 == 0 else None,
-            }
-        )
-    doses = [
-        {"id_vigvac": p, "d1_data_aplicacao": p % 90, "d2_data_aplicacao": 60 + p % 90 if p % 2 else None,
-         "d1_nome_vacina": C.CORONAVAC, "d2_nome_vacina": C.CORONAVAC if p % 2 else None}
-        for p in [7, *range(100, 140)]
-    ]
-    return lab(tests), vacc(doses)
-
-
 def in_duckdb(lab_rows, vacc_rows, sql: str) -> list[tuple]:
     connection = duckdb.connect()
     connection.register("lab_rows", lab_rows.toArrow())

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from caselink import session
-from caselink.session import content_key, release, savepoint, shared_stage
+from caselink.plans import cohort as P
+from caselink.session import bucketed_stage, content_key, release, savepoint, shared_stage
+from caselink.sources import CARRIER_STUDY as CFG
+from study_rows import crowd, exchanges, plan
 
 
 @pytest.fixture
@@ -98,3 +103,58 @@ def test_queries_prepare_the_cohort_once(spark):
     release(spark)
     assert homes(root) == []
     assert savepoint(spark.range(3), "after").count() == 3
+
+
+@pytest.fixture
+def staged(spark, lab, vacc, tmp_path):
+    """A crowd with a hot person in files: the inputs, and their stages by person."""
+    for name, frame in zip(("lab", "vacc"), crowd(lab, vacc, 900)):
+        frame.write.parquet(str(tmp_path / name))
+    tests, doses = (spark.read.parquet(str(tmp_path / name)) for name in ("lab", "vacc"))
+    root = str(tmp_path / "shared")
+    return tests, doses, P.tests_by_person(tests, CFG, root), P.doses_by_person(doses, root), root
+
+
+def test_rules_and_join_read_stages_by_person_without_an_exchange(spark, staged):
+    tests, doses, by_person, doses_by_person, root = staged
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        direct, read = P.analysis_table(tests, doses, CFG), P.analysis_table(by_person, doses_by_person, CFG)
+        assert len(exchanges(plan(direct))) == 3
+        assert exchanges(plan(read)) == [] and plan(read).count("SortMergeJoin") == 1
+        assert "Bucketed: true" in plan(read)
+        assert sorted(map(str, read.collect())) == sorted(map(str, direct.collect())) != []
+        # Other rules from the same stages, and the same as from the inputs.
+        other = replace(CFG, positive_gap=30, outcome_window=14)
+        again = P.analysis_table(P.tests_by_person(tests, other, root), doses_by_person, other)
+        assert sorted(map(str, again.collect())) == sorted(map(str, P.analysis_table(tests, doses, other).collect()))
+        assert len(homes(root)) == 2 and all(len(attempts(root, home)) == 1 for home in homes(root))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_hot_person_is_cut_down_before_its_bucket(spark, staged):
+    tests, _, by_person, _, _ = staged
+    assert tests.where("id_vigvac = 7").count() == tests.count() // 3
+    days = by_person.where("id_vigvac = 7").groupBy("dt_coleta").count().collect()
+    assert days and max(r["count"] for r in days) <= 2
+    text = plan(P.first_tests(tests, CFG))
+    before, after = text.split("Exchange", 1)[1], text.split("Exchange", 1)[0]
+    assert "WindowGroupLimit" in before and "Partial" in before and "Final" in after
+    assert re.search(r"Exchange hashpartitioning\(id_vigvac#\d+L?, dt_coleta#\d+, confirmado#\d+", text)
+
+
+def test_bucketed_stages_keep_nulls_and_empty_tables(spark, tmp_path):
+    root = str(tmp_path / "shared")
+    rows = [(None, "a"), (1, None), (1, "it's"), (None, None)] + [(i, str(i)) for i in range(40)]
+    spark.createDataFrame(rows, "id bigint, `odd name` string").write.parquet(str(tmp_path / "rows"))
+    frame = spark.read.parquet(str(tmp_path / "rows"))
+    kept = bucketed_stage(frame, "rows", "id", root)
+    assert kept.schema == frame.schema and sorted(map(str, kept.collect())) == sorted(map(str, frame.collect()))
+    assert exchanges(plan(kept.groupBy("id").count())) == []
+    empty = bucketed_stage(frame.where("id < 0"), "rows", "id", root)
+    assert empty.columns == frame.columns and empty.count() == 0
+    loose = bucketed_stage(spark.createDataFrame(rows, "id bigint, x string"), "loose", "id")
+    assert loose.count() == len(rows)
+    release(spark, root)
+    assert homes(root) == [] and not spark.catalog.listTables(pattern="bucketed_*")
