@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,12 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+#: Files' bytes, and shuffled bytes, that one task of a stage takes. Its sorts and tables hold them unpacked, in
+#: several steps of a plan at once: a hundred times as much was measured.
+TASK_BYTES = 4 << 20
+SPLIT_BYTES = 16 << 20
+MOST_PARTITIONS = 20_000
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every job here relies on; safe to call repeatedly."""
@@ -46,6 +53,46 @@ def build_session(app: str = "caselink", master: str | None = None, **conf: str)
     return tune(builder.getOrCreate())
 
 
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Run what is inside under other settings of the session."""
+    before = {key: spark.conf.get(key, None) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def _file_bytes(df: DataFrame) -> int:
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    found = [leaves.apply(i) for i in range(leaves.size())]
+    return sum(int(str(leaf.stats().sizeInBytes())) for leaf in found if leaf.getClass().getSimpleName() == "LogicalRelation")
+
+
+@contextmanager
+def bounded_tasks(df: DataFrame, copies: int = 1) -> Iterator[None]:
+    """Write ``df`` inside: as many tasks as the files that it reads call for, so that what one holds does not
+    grow with them. ``copies`` is how often the plan repeats a row. Adaptive execution merges what turns out small.
+    """
+    spark = df.sparkSession
+    partitions = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    asked = int(spark.conf.get(partitions, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(MOST_PARTITIONS, -(-_file_bytes(df) * copies // TASK_BYTES))
+    conf = {
+        partitions: str(max(asked, wanted)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(SPLIT_BYTES),
+    }
+    with settings(spark, conf):
+        yield
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
@@ -183,7 +230,12 @@ def shared_stage(df: DataFrame, name: str, root: str | None = None) -> DataFrame
     away, and the last one deletes the stage.
     """
     read = df.sparkSession.read.schema(df.schema).parquet
-    return _stage(df, name, root, df.write.parquet, read)
+
+    def write(path: str) -> None:
+        with bounded_tasks(df):
+            df.write.parquet(path)
+
+    return _stage(df, name, root, write, read)
 
 
 def _stage(

@@ -158,3 +158,22 @@ def test_bucketed_stages_keep_nulls_and_empty_tables(spark, tmp_path):
     assert loose.count() == len(rows)
     release(spark, root)
     assert homes(root) == [] and not spark.catalog.listTables(pattern="bucketed_*")
+
+
+def test_a_stage_takes_as_many_tasks_as_its_files_call_for(spark, tmp_path):
+    """Not the session's four, each with a quarter of whatever the input is."""
+    import glob
+
+    from caselink.session import settings
+
+    raw = str(tmp_path / "raw")
+    spark.range(500_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).write.parquet(raw)
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.files.maxPartitionBytes")}
+    rows = spark.read.parquet(raw).groupBy("id").agg(F.first("text").alias("text"))
+    stage = shared_stage(rows, "wide", str(tmp_path / "stages"))
+    assert stage.count() == 500_000
+    assert len(glob.glob(f"{tmp_path}/stages/stages/wide-*/attempt-*/part-*")) > 4
+    assert {k: spark.conf.get(k, None) for k in before} == before
+    with pytest.raises(ValueError), settings(spark, {"spark.sql.files.maxPartitionBytes": "1m"}):
+        raise ValueError
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes", None) == before["spark.sql.files.maxPartitionBytes"]
