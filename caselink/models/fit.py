@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselink import config as C
-from caselink.models.margins import Layout, dot, entry_sums, fitted_sums, level_counts, without_levels, without_smooths
+from caselink.models.margins import COMPILED, Layout, dot, entry_sums, fitted_sums, level_counts, without_levels, without_smooths
 from caselink.models.penalised import Fit, run_fits
 from caselink.models.separation import ZERO, direction_table, off_the_plane, separating_directions
 from caselink.models.splines import Spline, natural_spline
 from caselink.operators.cohorts import COHORT_COLUMNS, with_age_groups
-from caselink.session import savepoint, shared_stage
+from caselink.session import bounded_tasks, savepoint, settings, shared_stage
 
 SMOOTHS = ["date_year", "idade"]
 ADJUSTMENT = ["vs_type2", "prev_infected", "sexo", "uf", "n_comorb"]
@@ -101,19 +101,28 @@ def _coded(patterns: DataFrame, specs: Sequence[FitSpec], layout: Layout, smooth
     """``fit``, a code per factor, the smooths' values, ``n`` and ``cases`` of the complete records of each
     fit, grouped by the fit's own covariates and written."""
     member = F.array_compact(F.array(*[F.when(s.condition(), F.lit(i)) for i, s in enumerate(specs)]))
-    rows = patterns.withColumn("fit", F.explode(member))
+    # A pattern's levels are looked up once, not once for each of its fits.
+    found = [
+        F.array_position(F.lit(list(levels) or [""]), F.col(factor).cast("string")).alias(f"_f{i}")
+        for i, (factor, levels) in enumerate(zip(layout.factors, layout.levels))
+    ]
+    found += [F.col(smooth).alias(f"_s{i}") for i, smooth in enumerate(smooths)]
+    rows = patterns.select(member.alias("_fits"), *found, "n", "cases").select(F.explode("_fits").alias("fit"), "*")
     columns = {}
     for i, factor in enumerate(layout.factors):
         used = [k for k, s in enumerate(specs) if factor in s.factors]
-        level = F.array_position(F.lit(list(layout.levels[i]) or [""]), F.col(factor).cast("string"))
-        columns[f"f{i}"] = F.when(F.col("fit").isin(used), level).otherwise(0).cast("int")
+        columns[f"f{i}"] = F.when(F.col("fit").isin(used), F.col(f"_f{i}")).otherwise(0).cast("int")
+    codes = ["fit", *columns]
     for i, smooth in enumerate(smooths):
         used = [k for k, s in enumerate(specs) if smooth in s.smooths]
-        columns[f"s{i}"] = F.when(F.col("fit").isin(used), F.col(smooth)).otherwise(0).cast("int")
+        columns[f"s{i}"] = F.when(F.col("fit").isin(used), F.col(f"_s{i}")).otherwise(0).cast("int")
     keys = ["fit", *columns]
     coded = rows.select("fit", *[c.alias(name) for name, c in columns.items()], "n", "cases").dropna(subset=keys)
+    # A combination of levels lies in one file, so that a scan sums it in one task.
+    coded = coded.repartition(*codes) if smooths else coded
     grouped = coded.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("cases").alias("cases"))
-    return savepoint(grouped, "design")
+    with bounded_tasks(grouped, copies=len(specs)):
+        return savepoint(grouped, "design")
 
 
 def _estimable(
@@ -142,18 +151,22 @@ def _estimable(
 
 def _with_basis(
     rows: DataFrame, specs: Sequence[FitSpec], fits: Sequence[int], smooths: Sequence[str], knots: int
-) -> tuple[DataFrame, dict[tuple[int, int], Spline]]:
-    """Attach ``b``, the columns of all smooths, from tables with a row per fit and distinct value."""
+) -> tuple[DataFrame, dict[tuple[int, int], Spline], tuple[np.ndarray, ...]]:
+    """Attach ``b``, the columns of all smooths, and ``p0``, ``p1`` and so on, the numbers of their values, from
+    tables with a row per fit and distinct value. Also returns these columns by fit and number."""
     splines: dict[tuple[int, int], Spline] = {}
     if not smooths:
-        return rows, splines
+        return rows, splines, ()
     width = knots - 1
     seen = rows.select("fit", F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(f"s{i}").alias("v")) for i in range(len(smooths))])).alias("e"))
     values: dict[tuple[int, int], list[int]] = {}
     for r in seen.select("fit", "e.s", "e.v").distinct().collect():
         values.setdefault((r.fit, r.s), []).append(r.v)
+    curves = []
     for i, smooth in enumerate(smooths):
         table = []
+        most = max((len(values.get((k, i), [])) for k in fits), default=0)
+        curve = np.zeros((len(specs), max(most, 1), width))
         for k in fits:
             if smooth in specs[k].smooths:
                 at = sorted(values.get((k, i), []))
@@ -162,14 +175,16 @@ def _with_basis(
                 padded[:, : spline.basis.shape[1]] = spline.basis
             else:
                 at, padded = [0], np.zeros((1, width))
-            table += [(k, v, row) for v, row in zip(at, padded.tolist())]
-        frame = rows.sparkSession.createDataFrame(table, f"_fit int, _v int, b{i} array<double>")
+            curve[k, : len(at)] = padded
+            table += [(k, v, number, row) for number, (v, row) in enumerate(zip(at, padded.tolist()))]
+        curves.append(curve)
+        frame = rows.sparkSession.createDataFrame(table, f"_fit int, _v int, p{i} int, b{i} array<double>")
         rows = rows.join(frame, (F.col("fit") == F.col("_fit")) & (F.col(f"s{i}") == F.col("_v"))).drop("_fit", "_v")
     parts = [F.col(f"b{i}") for i in range(len(smooths))]
     codes = [c for c in rows.columns if c.startswith("f")]
-    values_ = [f"s{i}" for i in range(len(smooths))]
-    return savepoint(rows.select(*codes, *values_, F.concat(*parts).alias("b"), "n", "cases"), "framed"), splines
-
+    values_ = [f"{c}{i}" for i in range(len(smooths)) for c in "sp"]
+    framed = savepoint(rows.select(*codes, *values_, F.concat(*parts).alias("b"), "n", "cases"), "framed")
+    return framed, splines, tuple(curves)
 
 
 class Fitted:
@@ -178,10 +193,10 @@ class Fitted:
     def __init__(self, specs: list[FitSpec], layout: Layout, bias_reduced: bool = False):
         self.specs, self.layout, self.bias_reduced = specs, layout, bias_reduced
         self.fits: dict[int, Fit] = {}
-        self.frames: list[tuple[DataFrame, list[int]]] = []
+        self.frames: list[tuple[DataFrame, Layout, list[int]]] = []
         self.reasons: dict[tuple[int, int], str] = {}
         self.separated: dict[int, set[int]] = {}
-        self.cut: list[tuple[DataFrame, dict[int, np.ndarray]]] = []
+        self.cut: list[tuple[DataFrame, Layout, dict[int, np.ndarray]]] = []
         self.lost: dict[int, list[int]] = {}
 
     def _name(self, entry: int) -> str:
@@ -226,9 +241,9 @@ class Fitted:
         A fit's maximum has as many fitted as observed cases in every level; that of a bias-reduced fit
         when the reduction's part of the score is taken off the fitted ones.
         """
-        layout, size = self.layout, len(self.specs)
+        size = len(self.specs)
         out = None
-        for rows, members in self.frames:
+        for rows, layout, members in self.frames:
             done = [k for k in members if self.fits[k].converged]
             coefficients = np.zeros((size, layout.entries))
             for k in done:
@@ -240,19 +255,21 @@ class Fitted:
                     spreads[k] = self.fits[k].covariance
             found = fitted_sums(rows.where(F.col("fit").isin(done or [-1])), layout, coefficients, spreads)
             out = found if out is None else out.unionByName(found)
-        for rows, directions in self.cut:
+        for rows, of, directions in self.cut:
             # Far along a separating direction a record's probability is zero or one.
-            of = layout if "b" in rows.columns else without_smooths(layout)
             end = dot(of, direction_table(of, directions, size))
             ends = F.when(end > 0, F.col("n")).otherwise(0).cast("double")
             sums = {"records": F.col("n"), "observed": F.col("cases"), "fitted": ends}
-            out = out.unionByName(entry_sums(rows, layout, sums))
+            out = out.unionByName(entry_sums(rows, of, sums))
         if out is None:
             raise ValueError("no model could be fitted")
         out = out.groupBy("fit", "entry").agg(*[F.sum(c).alias(c) for c in ("records", "observed", "fitted")])
+        with settings(out.sparkSession, COMPILED):
+            out = savepoint(out, "scores")
+        every = self.layout
         names = [
             (start + 1 + j, factor, level)
-            for start, factor, levels in zip(layout.offsets, layout.factors, layout.levels)
+            for start, factor, levels in zip(every.offsets, every.factors, every.levels)
             for j, level in enumerate(levels)
         ]
         spark = out.sparkSession
@@ -324,8 +341,9 @@ def _fit(
         # Levels that only a separation has left with one result are part of it.
         for directions in rounds if not first else []:
             narrow = {k: d[: layout.smooth_offset] for k, d in directions.items()}
-            off = off_the_plane(without_smooths(layout), narrow, len(out.specs))
-            out.cut.append((whole.where(off), narrow))
+            of = without_smooths(layout)
+            off = off_the_plane(of, narrow, len(out.specs))
+            out.cut.append((whole.where(off), of, narrow))
             whole = whole.where(~off)
     going = []
     for k in members:
@@ -344,7 +362,8 @@ def _fit(
             going.append(k)
     if not going:
         return
-    framed, splines = _with_basis(rows.where(F.col("fit").isin(going)), out.specs, going, smooths, knots)
+    framed, splines, curves = _with_basis(rows.where(F.col("fit").isin(going)), out.specs, going, smooths, knots)
+    layout = replace(layout, curves=curves)
     fits = {}
     for k in going:
         parts = []
@@ -363,9 +382,9 @@ def _fit(
         left = rows.where(F.col("fit").isin(odd))
         if directions:
             off = off_the_plane(layout, directions, len(out.specs))
-            out.cut.append((framed.where(off), directions))
+            out.cut.append((framed.where(off), layout, directions))
             # Back to the smooths' values, which the next round's splines are made of.
-            left = framed.where(F.col("fit").isin(odd) & ~off).drop("b")
+            left = framed.where(F.col("fit").isin(odd) & ~off).drop("b", *[f"p{i}" for i in range(len(smooths))])
             for k, direction in directions.items():
                 part = np.abs(direction[: layout.smooth_offset])
                 out.separated.setdefault(k, set()).update(np.flatnonzero(part > ZERO).tolist())
@@ -380,7 +399,7 @@ def _fit(
         run_fits(framed, layout, {k: f for k, f in fits.items() if not f.converged}, bias_reduced, max_steps=max_steps)
     out.fits |= fits
     if fits:
-        out.frames.append((framed, list(fits)))
+        out.frames.append((framed, layout, list(fits)))
 
 
 def fit_logit(

@@ -422,3 +422,71 @@ def test_bias_reduced_fit_has_all_levels(spark):
         assert got[term]["converged"] and got[term]["reason"] is None
         assert got[term]["estimate"] == pytest.approx(beta[i], abs=1e-6)
         assert got[term]["std_error"] == pytest.approx(error[i], abs=1e-6)
+
+
+@pytest.mark.parametrize("reduced", [False, True])
+def test_cross_products_from_combinations_equal_the_dense_ones(spark, reduced):
+    """Two fits with curves of their own, one without the second factor and the second smooth."""
+    from caselink.models.margins import Layout, fitted_sums, logit_products
+
+    rng = np.random.default_rng(8)
+    curves = (rng.normal(size=(2, 7, 3)), rng.normal(size=(2, 5, 2)))
+    curves[1][1] = 0
+    layout = Layout(("a", "b"), (("x", "y", "z"), ("p", "q")), 5, curves)
+    rows, dense = [], []
+    for _ in range(500):
+        fit, a, when, age, n = int(rng.integers(2)), int(rng.integers(1, 4)), int(rng.integers(7)), int(rng.integers(5)), int(rng.integers(1, 5))
+        b, cases = (0 if fit else int(rng.integers(1, 3))), int(rng.integers(0, n + 1))
+        basis = np.concatenate([curves[0][fit, when], curves[1][fit, age]])
+        rows.append((fit, a, b, when, age, basis.tolist(), n, cases))
+        x = np.zeros(layout.entries)
+        x[[0, layout.offsets[0] + a]] = 1
+        if b:
+            x[layout.offsets[1] + b] = 1
+        x[layout.smooth_offset :] = basis
+        dense.append((fit, x, n, cases))
+    coefficients = rng.normal(size=(2, layout.entries)) / 3
+    spreads = np.array([m @ m.T / 50 for m in rng.normal(size=(2, layout.entries, layout.entries))])
+    coefficients[:, layout.offsets] = 0
+    spreads[:, layout.offsets] = 0
+    spreads[:, :, layout.offsets] = 0
+    frame = spark.createDataFrame(rows, "fit int, f0 int, f1 int, p0 int, p1 int, b array<double>, n bigint, cases bigint")
+    made = logit_products(frame, layout, coefficients, spreads if reduced else None)
+    fitted = {(r.fit, r.entry): r.fitted for r in fitted_sums(frame, layout, coefficients, spreads if reduced else None).collect()}
+    for fit in (0, 1):
+        x, n, cases = (np.array([d[i] for d in dense if d[0] == fit], float) for i in (1, 2, 3))
+        eta = x @ coefficients[fit]
+        p = 1 / (1 + np.exp(-eta))
+        h = n * p * (1 - p) * np.einsum("ij,jk,ik->i", x, spreads[fit], x) if reduced else 0 * n
+        expected = n * p - h * (0.5 - p)
+        n, cases = n + h, cases + h / 2
+        w = n * p * (1 - p)
+        real = np.ones(layout.entries, bool)
+        real[layout.offsets] = False
+        block = np.ix_(real, real)
+        assert np.allclose(made[fit].matrix[block], (x.T @ (x * w[:, None]))[block])
+        assert np.allclose(made[fit].response[real], (x.T @ (w * eta + cases - n * p))[real])
+        assert made[fit].deviance == pytest.approx(-2 * float(cases @ np.log(p) + (n - cases) @ np.log1p(-p)))
+        assert fitted[fit, 0] == pytest.approx(float(expected.sum()))
+
+
+def test_sums_are_made_before_records_are_multiplied(spark):
+    from caselink.models.margins import Layout, fitted_sums
+
+    layout = Layout(("a", "b"), (("x", "y"), ("p", "q")), 0)
+    frame = spark.createDataFrame([(0, 1, 2, 3, 1)], "fit int, f0 int, f1 int, n bigint, cases bigint")
+    ones = np.ones((1, layout.entries))
+    plan = fitted_sums(frame, layout, ones)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("EXP(")  # the step below is the earlier one
+
+
+def test_a_record_is_multiplied_by_its_smooths_only(spark):
+    from caselink.models.margins import Layout, _by_combination
+    from pyspark.sql import functions as F
+
+    layout = Layout(("a", "b"), (("x", "y"), ("p", "q")), 2, (np.ones((1, 4, 1)), np.ones((1, 3, 1))))
+    rows = [(0, 1 + i % 2, 1 + i // 2 % 2, i % 4, i % 3, [1.0, 1.0], 1.0, 1.0, 1.0) for i in range(60)]
+    frame = spark.createDataFrame(rows, "fit int, f0 int, f1 int, p0 int, p1 int, b array<double>, w double, r double, d double")
+    summed = _by_combination(frame, layout)
+    assert summed.agg(F.sum("w")).first()[0] == 60 * 3
+    assert summed.where("key >= 0").count() == 4 and summed.where("key < 0").count() == 7
