@@ -178,7 +178,8 @@ def _with_basis(
             curve[k, : len(at)] = padded
             table += [(k, v, number, row) for number, (v, row) in enumerate(zip(at, padded.tolist()))]
         curves.append(curve)
-        frame = rows.sparkSession.createDataFrame(table, f"_fit int, _v int, p{i} int, b{i} array<double>")
+        # An exchange by fit and value would part the records of a combination, and gather those of a busy day.
+        frame = F.broadcast(rows.sparkSession.createDataFrame(table, f"_fit int, _v int, p{i} int, b{i} array<double>"))
         rows = rows.join(frame, (F.col("fit") == F.col("_fit")) & (F.col(f"s{i}") == F.col("_v"))).drop("_fit", "_v")
     parts = [F.col(f"b{i}") for i in range(len(smooths))]
     codes = [c for c in rows.columns if c.startswith("f")]

@@ -490,3 +490,20 @@ def test_a_record_is_multiplied_by_its_smooths_only(spark):
     summed = _by_combination(frame, layout)
     assert summed.agg(F.sum("w")).first()[0] == 60 * 3
     assert summed.where("key >= 0").count() == 4 and summed.where("key < 0").count() == 7
+
+
+def test_numbering_the_smooths_values_moves_no_record(spark, rows, monkeypatch):
+    """An exchange by fit and value would part the records of a combination of levels, which lie in one file."""
+    from caselink.models import fit
+
+    plans = {}
+
+    def kept(df, name, *rest):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return df
+
+    monkeypatch.setattr(fit, "savepoint", kept)
+    coded = spark.createDataFrame([(0, 1, r[7], r[8], r[9], r[10]) for r in rows[:300]], "fit int, f0 int, s0 int, s1 int, n bigint, cases bigint")
+    framed, _, curves = fit._with_basis(coded, [fit.FitSpec()], [0], fit.SMOOTHS, 4)
+    assert plans["framed"].count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plans["framed"]
+    assert framed.count() == 300 and len(curves) == 2
